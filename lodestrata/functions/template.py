@@ -10,6 +10,7 @@ MUSTACHE = "\\{\\{([^}|]+)(?:\\|(\"[^\"]*\"))?\\}\\}"
 DOT_PATH = "\\$\\.([a-zA-Z_]\\w*(?:\\.\\w+|\\[\\d+\\]|\\[\"[^\"]+\"\\]|\\['[^ ']+'\\])*)"
 ESCAPED_DOT = "\\\\\\$\\."
 ESCAPED_MUSTACHE = "\\\\\\{\\{"
+PLAIN_PATH = "^[a-zA-Z][a-zA-Z0-9]*(?:\\.[a-zA-Z][a-zA-Z0-9]*)*$"
 FUNCTION_REF = "^\\{\\{fn:([a-zA-Z_][a-zA-Z0-9_]*)\\}\\}$"
 
 _MARK, _SEP = "\u0001", "\u0002"
@@ -79,11 +80,14 @@ def resolve_path(json: str | Column, path: str | Column, on_unsafe: str = "error
     as_index = F.concat(F.lit("$"), F.array_join(F.transform(segments, lambda s: F.when(
         s.rlike("^[0-9]+$"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(
         F.concat(F.lit("['"), s, F.lit("']")))), ""))
-    value = F.coalesce(F.get_json_object(doc, as_index), F.get_json_object(doc, as_key))
+    value = F.coalesce(F.call_function("get_json_object", doc, as_index), F.call_function("get_json_object", doc, as_key))
     unsafe = F.exists(segments, lambda s: s.startswith("_"))
     refusal = (F.raise_error(F.concat(F.lit("Unsafe path segment in: "), p)).cast("string")
                if on_unsafe == "error" else F.lit(None).cast("string"))
-    return F.when(unsafe, refusal).otherwise(value)
+    # The plain dotted form needs no taking apart; it is tried first.
+    plain = p.rlike(PLAIN_PATH)
+    return (F.when(plain, F.call_function("get_json_object", doc, F.concat(F.lit("$."), p)))
+            .when(unsafe, refusal).otherwise(value))
 
 
 def _substitute(text: Column, doc: Column, pattern: str, has_default: bool,

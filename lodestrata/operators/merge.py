@@ -91,10 +91,20 @@ def leaf_rows(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
     return df.select(*keys, F.inline(_leaves(F.col(json_col))))
 
 
-def _prefixes(path: str | Column) -> Column:
-    p = F.col(path) if isinstance(path, str) else path
-    return F.transform(F.slice(F.array_repeat(F.lit(1), F.size(p).cast("int")), F.lit(1), F.size(p) - 1),
-                       lambda _, i: F.slice(p, F.lit(1), i + 1))
+def _nodes(layers: DataFrame) -> DataFrame:
+    """One row per document position: its last own write, its last scalar write, the last write below it.
+
+    Every leaf is sent to itself and to each position above it, so one shuffle
+    with map-side combining gives all three.
+    """
+    own = F.size("_at") == F.size("path")
+    sent = layers.select("*", F.posexplode("path").alias("_i", "_")).withColumn(
+        "_at", F.slice("path", F.lit(1), F.col("_i") + 1))
+    return (sent.groupBy("doc_id", F.col("_at").alias("path"))
+            .agg(F.max_by(F.struct("value", "vtype"), F.when(own, F.col("layer"))).alias("_last"),
+                 F.max(F.when(own, F.col("layer"))).alias("layer"),
+                 F.max(F.when(own & (F.col("vtype") != "map"), F.col("layer"))).alias("_scalar"),
+                 F.max(F.when(~own, F.col("layer"))).alias("_below")))
 
 
 def deep_merge(layers: DataFrame) -> DataFrame:
@@ -104,24 +114,22 @@ def deep_merge(layers: DataFrame) -> DataFrame:
     subtree, a later map hides an earlier scalar; every leaf is tested against
     all later layers. A later empty map over a map changes nothing.
     """
-    leaves = last_wins(layers.select("doc_id", "layer", "path", "value", "vtype"), ["doc_id", "path"], ["layer"])
-    below = (leaves.select("doc_id", F.explode(_prefixes("path")).alias("path"), "layer")
-             .groupBy("doc_id", "path").agg(F.max("layer").alias("_below")))
+    nodes = _nodes(layers)
+    leaves = nodes.filter(F.col("layer").isNotNull())
     # A position that is a value in one layer and a map in another: the only places where layers clash.
-    clash = (leaves.filter(F.col("vtype") != "map").join(below, ["doc_id", "path"])
-             .select("doc_id", F.col("path").alias("_at"), F.col("layer").alias("_scalar_layer")))
-    kept = leaves.join(below, ["doc_id", "path"], "left").filter(
-        F.col("_below").isNull() | ((F.col("_below") <= F.col("layer")) & (F.col("vtype") != "map")))
-    hidden = (leaves.select("doc_id", "path", "layer", F.explode(_prefixes("path")).alias("_at"))
-              .join(clash, ["doc_id", "_at"]).filter(F.col("_scalar_layer") > F.col("layer"))
+    clash = (nodes.filter(F.col("_scalar").isNotNull() & F.col("_below").isNotNull())
+             .select("doc_id", F.col("path").alias("_at"), F.col("_scalar").alias("_hides")))
+    hidden = (leaves.select("doc_id", "path", "layer", F.posexplode("path").alias("_i", "_"))
+              .filter(F.col("_i") > 0).withColumn("_at", F.slice("path", F.lit(1), F.col("_i")))
+              .join(clash, ["doc_id", "_at"]).filter(F.col("_hides") > F.col("layer"))
               .select("doc_id", "path").distinct())
-    kept = kept.drop("_below").join(hidden, ["doc_id", "path"], "left_anti")
-    # An empty map shows only where no leaf below it is left.
-    empty = leaves.filter(F.col("vtype") == "map").join(below, ["doc_id", "path"], "left_semi")
-    alive_below = (kept.select("doc_id", F.explode(_prefixes("path")).alias("path")).distinct())
-    shown = (empty.join(alive_below, ["doc_id", "path"], "left_anti")
-             .join(hidden, ["doc_id", "path"], "left_anti"))
-    return kept.unionByName(shown.select(*kept.columns)).select("doc_id", "path", "value", "vtype", "layer")
+    map_leaf = F.col("_last.vtype") == "map"
+    # A value stays unless a later layer has a map there. An empty map over a map shows only
+    # where a scalar in between wiped out everything that was below it.
+    stays = (F.col("_below").isNull() | (~map_leaf & (F.col("_below") <= F.col("layer")))
+             | (map_leaf & (F.col("_below") < F.col("_scalar"))))
+    return (leaves.filter(stays).join(hidden, ["doc_id", "path"], "left_anti")
+            .select("doc_id", "path", "_last.value", "_last.vtype", "layer"))
 
 
 def merge_history(layers: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ JS_CLASS = "^([ \\t]*)(?:export[ \\t]+)?(?:default[ \\t]+)?(?:abstract[ \\t]+)?(
 JS_FUNCTION = "^([ \\t]*)(?:export[ \\t]+)?(?:default[ \\t]+)?(async[ \\t]+)?function[ \\t]*\\*?[ \\t]*(\\w+)[ \\t]*\\(.*\\{[ \\t]*$"
 JS_ARROW = "^([ \\t]*)(?:export[ \\t]+)?(?:const|let|var)[ \\t]+(\\w+)[ \\t]*=[ \\t]*(async[ \\t]+)?\\([^)]*\\)[^=]*=>[ \\t]*\\{[ \\t]*$"
 JS_CONTROL = "^([ \\t]*)(?:\\}[ \\t]*)?(if|else|for|while|switch|try|catch|finally)\\b.*\\{[ \\t]*$"
+# Fixed value: an import whose bracket is still open at the end of the line, or the line after such a one.
+OPEN_IMPORT = "(?m)(?:^[ \\t]*(?:from[ \\t][^\\n(#]*\\(|import[ \\t][^\\n{(#]*\\{)|(?!\\A)\\G)[^)}\\n]*\\n"
+_INNER = "\u0001"
 JS_METHOD = "^([ \\t]*)(?:(?:async|static|public|private|protected|get|set)[ \\t]+)*(\\w+)[ \\t]*\\([^)]*\\)[^;{]*\\{[ \\t]*$"
 
 
@@ -36,19 +39,23 @@ def code_lines(files: DataFrame, *keep: str) -> DataFrame:
         "path", "language", *keep, (F.col("_i") + 1).alias("line"), F.rtrim("text", F.lit("\r")).alias("text"))
 
 
-def import_blocks(lines: DataFrame, block: int = LINE_BLOCK) -> DataFrame:
-    """Runs of two or more import lines; blank lines and comments may lie between them.
+def import_blocks(files: DataFrame, block: int = LINE_BLOCK) -> DataFrame:
+    """Runs of two or more import statements; blank lines and comments may lie between them.
 
-    A run is named by the number of breaking lines before it, a running sum.
+    The inner lines of a bracketed import are marked first. A run is named by
+    the number of breaking lines before it, a running sum.
     """
+    marked = F.regexp_replace("content", OPEN_IMPORT, f"$0{_INNER}")
     text = F.trim("text")
+    lines = code_lines(files.withColumn("content", marked))
+    inner = text.startswith(_INNER)
     is_import = text.rlike("^(import|from)\\s")
-    breaks = ~is_import & (text != "") & ~text.startswith("#") & ~text.startswith("//")
+    breaks = ~is_import & ~inner & (text != "") & ~text.startswith("#") & ~text.startswith("//")
     tagged = running(lines, ["path"], [F.col("line")], F.floor(F.col("line") / block).cast("long"),
                      {"_run": ("sum", F.when(breaks, 1).otherwise(0))})
-    return (tagged.filter(is_import).groupBy("path", "_run")
+    return (tagged.filter(is_import | inner).groupBy("path", "_run")
             .agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"),
-                 F.count(F.lit(1)).alias("import_count"))
+                 F.count_if(is_import).alias("import_count"))
             .filter(F.col("import_count") >= 2).drop("_run"))
 
 

@@ -66,7 +66,18 @@ merged AS (SELECT * FROM kept a WHERE a.vtype <> 'map' OR NOT EXISTS (SELECT 1 F
 
 
 def layers(spark, sf):
-    return view(spark, sf, "layers_text").withColumn("path", F.split("path", "\\."))
+    """The rows of the ``layers_text`` view from one scan of the parts."""
+    leaves = [("true", 0, "name", "p_name", "string"), ("true", 0, "brand", "p_brand", "string"),
+              ("true", 0, "meta.type", "p_type", "string"), ("true", 0, "meta.dim.size", "CAST(p_size AS STRING)", "number"),
+              ("p_partkey % 3 = 0", 1, "meta", "'flat'", "string"), ("p_partkey % 3 = 1", 1, "meta.type", "'X' || p_type", "string"),
+              ("p_partkey % 5 = 0", 1, "tags", "'{}'", "map"), ("p_partkey % 4 = 0", 1, "list", "'[1,2]'", "list"),
+              ("p_partkey % 2 = 0", 2, "meta.extra", "p_brand", "string"), ("p_partkey % 7 = 0", 2, "name.first", "p_name", "string"),
+              ("p_partkey % 11 = 0", 2, "brand", "CAST(NULL AS STRING)", "null"), ("p_partkey % 8 = 0", 2, "list", "'[3]'", "list"),
+              ("p_partkey % 13 = 0", 2, "meta", "'{}'", "map"), ("p_partkey % 10 = 0", 2, "tags.top", "p_type", "string")]
+    rows = F.array_compact(F.array(*[F.when(F.expr(test), F.struct(
+        F.lit(layer).alias("layer"), F.array(*[F.lit(x) for x in path.split(".")]).alias("path"),
+        F.expr(value).alias("value"), F.lit(kind).alias("vtype"))) for test, layer, path, value, kind in leaves]))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.inline(rows))
 
 
 @query("m1_deep_merge", MERGED + "SELECT doc_id, path, value, vtype, layer FROM merged")
@@ -163,11 +174,11 @@ def w5(spark, sf):
     return W.outermost(folds(spark, sf)).select("path", "fold_id", "start", F.col("end").alias("stop"))
 
 
-@query("w6_render_folded", OUTER + """, act AS (SELECT *, lag(stop, 1, 0) OVER (PARTITION BY path ORDER BY start) AS at,
+@query("w6_render_folded", OUTER + """, act AS (SELECT *, lag(stop, 1, 0) OVER (PARTITION BY path ORDER BY start) AS prev,
   '/* ' || preview || CASE WHEN line_count > 1 THEN ' (' || line_count || ' lines) */' ELSE ' */' END AS mark
   FROM top WHERE fold_type IN ('block', 'import', 'literal', 'comment', 'array', 'object')),
 x AS (SELECT * FROM <<fold_files>>),
-parts AS (SELECT act.path, string_agg(substring(x.content, CAST(at + 1 AS BIGINT), CAST(start - at AS BIGINT)) || mark, '' ORDER BY start) AS head, max(stop) AS tail, count(*) AS n
+parts AS (SELECT act.path, string_agg(substring(x.content, CAST(prev + 1 AS BIGINT), CAST(start - prev AS BIGINT)) || mark, '' ORDER BY start) AS head, max(stop) AS tail, count(*) AS n
   FROM act JOIN x ON act.path = x.path GROUP BY act.path)
 SELECT x.path, coalesce(head || substring(x.content, CAST(tail + 1 AS BIGINT)), x.content) AS rendered, CAST(coalesce(n, 0) AS INT) AS fold_count FROM x LEFT JOIN parts ON x.path = parts.path""")
 def w6(spark, sf):
@@ -193,16 +204,16 @@ UNION ALL SELECT c_custkey, 'greet', 'Hi ' || c_name || '!', 1 FROM customer
 UNION ALL SELECT c_custkey, 'seg.now', c_mktsegment, 1 FROM customer
 UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR), 1 FROM customer""")
 def m3(spark, sf):
-    c = view(spark, sf, "contexts")
-    base = c.select(F.col("c_custkey").alias("doc_id"), F.inline(F.array(
-        F.struct(F.array(F.lit("name")).alias("path"), F.col("c_name").alias("value"), F.lit("string").alias("vtype")),
-        F.struct(F.array(F.lit("seg")), F.lit("old"), F.lit("string")),
-        F.struct(F.array(F.lit("overwrite_from_env"), F.lit("name")), F.lit("NAME"), F.lit("string")))))
-    over = c.select(F.col("c_custkey").alias("doc_id"), F.inline(F.array(
-        F.struct(F.array(F.lit("greet")).alias("path"), F.lit("Hi {{user.name}}!").alias("value"), F.lit("string").alias("vtype")),
-        F.struct(F.array(F.lit("seg"), F.lit("now")), F.lit("$.seg"), F.lit("string")),
-        F.struct(F.array(F.lit("nation")), F.col("c_nationkey").cast("string"), F.lit("number")))))
-    out = M.overlay(base, over, c.select(F.col("c_custkey").alias("doc_id"), "context"))
+    c = view(spark, sf, "contexts").withColumn("doc_id", F.col("c_custkey"))
+
+    def leaf(path, value, kind="string"):
+        return F.struct(F.array(*[F.lit(x) for x in path.split(".")]).alias("path"), value.alias("value"), F.lit(kind).alias("vtype"))
+
+    base = c.select("doc_id", F.inline(F.array(leaf("name", F.col("c_name")), leaf("seg", F.lit("old")),
+                                               leaf("overwrite_from_env.name", F.lit("NAME")))))
+    over = c.select("doc_id", F.inline(F.array(leaf("greet", F.lit("Hi {{user.name}}!")), leaf("seg.now", F.lit("$.seg")),
+                                               leaf("nation", F.col("c_nationkey").cast("string"), "number"))))
+    out = M.overlay(base, over, c.select("doc_id", "context"))
     return out.select("doc_id", F.array_join("path", ".").alias("path"), "value", "layer")
 
 

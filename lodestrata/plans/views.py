@@ -59,7 +59,7 @@ VIEWS["contexts"] = """
 SELECT c_custkey, c_name, c_mktsegment, c_nationkey,
        '{"user":{"name":"' || c_name || '","tags":["' || c_mktsegment || '","x"]},"seg":"' || c_mktsegment
        || '","nation":' || CAST(c_nationkey AS STRING) || ',"flag":true,"ref":"$.seg"}' AS context,
-       'Hi ' || c_name || ' {{ user.name }} from {{city|"nowhere"}}{{empty|""}} $.user.tags[0] {{gone}} ' || chr(92) || '{{raw $.seg {{ref}} {{nation}}{{flag}}' AS template
+       'Hi ' || c_name || ' {{ user.name }} from {{city|"nowhere"}}{{empty|""}} $.user.tags[0] {{gone}} ' || chr(92) || '{{raw $.seg {{ref}} {{nation}}{{flag}} {{ ref }}' AS template
 FROM <<customer>>"""
 
 VIEWS["variables"] = """
