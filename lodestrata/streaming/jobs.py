@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions.text import status_class
 from lodestrata.session import scratch_path
@@ -76,7 +77,7 @@ def counter_stream(commands: DataFrame) -> DataFrame:
     return ops.groupBy("key").agg(F.sum(signed).alias("value"))
 
 
-def run_available(stream: DataFrame, keys: list[str] | None, mode: str, name: str, transform=None) -> DataFrame:
+def run_available(stream: DataFrame, keys: list[str] | None, mode: str, name: str) -> DataFrame:
     """Run a stream over the input that is there and give its result as a batch frame.
 
     Each micro-batch overwrites its own folder, so a batch that is run again
@@ -91,7 +92,8 @@ def run_available(stream: DataFrame, keys: list[str] | None, mode: str, name: st
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", marks)
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(out)
     if keys is None:
         return rows.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
