@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the frame holds at most ``rows`` rows; reads no more than ``rows + 1``."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the frame is proven to hold at most ``rows`` rows.
+    """Hint a broadcast when the frame is proven small.
 
-    The check reads at most ``rows + 1`` rows. Beyond the limit the frame comes
-    back as it is and the join shuffles, with AQE splitting skewed keys.
+    Beyond the limit the frame comes back as it is and the join shuffles, with
+    AQE splitting skewed keys.
     """
-    seen = df.limit(rows + 1).count()
-    return F.broadcast(df) if seen <= rows else df
+    return F.broadcast(df) if fits(df, rows) else df

@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores where the scan has fewer splits than there are (one small file, say).
+
+    A table of many files has splits enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _expand(sql: str, name_table: Callable[[str], str]) -> str:
     def put(m):
         name = m.group(1)
@@ -27,9 +36,16 @@ def _expand(sql: str, name_table: Callable[[str], str]) -> str:
     return re.sub(r"<<(\w+)>>", put, sql)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shared view as a DataFrame over the given tables."""
-    return spark.sql(_expand(VIEWS[name], lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+def view(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
+    """A shared view as a DataFrame over the given tables; ``parallel`` spreads the rows it is built from."""
+    if not parallel:
+        return spark.sql(_expand(VIEWS[name], lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+
+    def spread_view(t: str) -> str:
+        spread(table(spark, sf_dir, t)).createOrReplaceTempView(f"spread_{t}")
+        return f"spread_{t}"
+
+    return spark.sql(_expand(VIEWS[name], spread_view))
 
 
 def duck(sql: str) -> str:

@@ -13,10 +13,11 @@ from lodestrata.operators import ordered as W
 from lodestrata.operators import paths as PA
 from lodestrata.operators.registry import Extractors
 from lodestrata.plans.base import VIEWS, query, view
+from lodestrata.session import stable
 
 
 def files(spark, sf):
-    return view(spark, sf, "code_files")
+    return view(spark, sf, "code_files", parallel=True)
 
 
 def _union(source: str, columns: list[str], rows: list[tuple]) -> str:
@@ -240,7 +241,7 @@ def j4(spark, sf):
 def classified(spark, sf):
     m = manifests(spark, sf)
     external = dependencies(spark, sf).select("name").distinct()
-    return J.classify_imports(E.imports(files(spark, sf)), J.stdlib_table(spark), J.internal_packages(m), external)
+    return J.classify_imports(E.imports(files(spark, sf)), J.internal_packages(m), external)
 
 
 @query("j1_classify_imports", "SELECT path, line, module, import_type FROM <<x_classified>>")
@@ -259,7 +260,7 @@ def p18(spark, sf):
     return PA.unknown_only(classified(spark, sf)).select("path", "line", "module")
 
 
-@query("p18_unknown_stats", "SELECT 0 AS total_files, count(*) AS total_imports, 0 AS external_imports, 0 AS internal_imports, 0 AS local_imports, 0 AS stdlib_imports, count(*) AS unknown_imports FROM <<x_classified>> WHERE import_type = 'unknown'")
+@query("p18_unknown_stats", "SELECT CAST(0 AS BIGINT) AS total_files, count(*) AS total_imports, CAST(0 AS BIGINT) AS external_imports, CAST(0 AS BIGINT) AS internal_imports, CAST(0 AS BIGINT) AS local_imports, CAST(0 AS BIGINT) AS stdlib_imports, count(*) AS unknown_imports FROM <<x_classified>> WHERE import_type = 'unknown'")
 def p18_stats(spark, sf):
     return PA.unknown_stats(classified(spark, sf))
 
@@ -296,14 +297,14 @@ def file_rows(spark, sf):
 
 
 @query("a6_outline_stats", """WITH f AS (SELECT language, 39 + off AS l, 9 AS n FROM <<py_files>> UNION ALL SELECT language, 33 + off, 8 FROM <<js_files>>)
-SELECT count(*) AS total_files, CAST(sum(l) AS BIGINT) AS total_lines, CAST(sum(n) AS BIGINT) AS total_nodes, 0 AS files_with_errors, count(*) FILTER (language = 'python') AS python_files,
+SELECT count(*) AS total_files, CAST(sum(l) AS BIGINT) AS total_lines, CAST(sum(n) AS BIGINT) AS total_nodes, CAST(0 AS BIGINT) AS files_with_errors, count(*) FILTER (language = 'python') AS python_files,
 count(*) FILTER (language = 'javascript') AS javascript_files, count(*) FILTER (language = 'typescript') AS typescript_files FROM f""")
 def a6(spark, sf):
     return A.outline_stats(file_rows(spark, sf), scopes(spark, sf))
 
 
 @query("a6_outline_stats_sections", """WITH f AS (SELECT 'python' AS section, 39 + off AS l, 9 AS n FROM <<py_files>> UNION ALL SELECT 'nodejs', 33 + off, 8 FROM <<js_files>>)
-SELECT section, count(*) AS total_files, CAST(sum(l) AS BIGINT) AS total_lines, CAST(sum(n) AS BIGINT) AS total_nodes, 0 AS files_with_errors FROM f GROUP BY section""")
+SELECT section, count(*) AS total_files, CAST(sum(l) AS BIGINT) AS total_lines, CAST(sum(n) AS BIGINT) AS total_nodes, CAST(0 AS BIGINT) AS files_with_errors FROM f GROUP BY section""")
 def a6_sections(spark, sf):
     return A.outline_stats(file_rows(spark, sf), scopes(spark, sf), by_section=True)
 
@@ -353,9 +354,8 @@ def a10(spark, sf):
     return A.group_by_pattern(patterned(spark, sf))
 
 
-def methods(spark, sf):
-    f = files(spark, sf)
-    m = E.members(f, scopes(spark, sf)).filter("kind = 'method'").withColumn(
+def methods(f, m):
+    m = m.filter("kind = 'method'").withColumn(
         "language", F.when(F.col("path").endswith(".py"), "python").otherwise("javascript")).withColumnRenamed("type", "return_type")
     fn = E.functions(f).filter("indent = 0").withColumn("owner", F.lit(None).cast("string"))
     cols = ["path", "language", "owner", "name", "params_text", "return_type", "is_async", "line"]
@@ -370,13 +370,15 @@ UNION ALL SELECT path, 'View' || n, 'loadData', off + 18, 'async def loadData(id
 UNION ALL SELECT path, NULL, 'run' || n, off + 27, 'def run' || n || '(x, ...rest)' FROM <<js_files>>
 UNION ALL SELECT path, NULL, 'arrow' || n, off + 30, 'async def arrow' || n || '(p, [...], {...})' FROM <<js_files>>""")
 def a11(spark, sf):
-    return A.api_surface(methods(spark, sf))
+    f = files(spark, sf)
+    return A.api_surface(methods(f, E.members(f, scopes(spark, sf))))
 
 
 @query("a11_api_counts", """WITH m AS (SELECT 'Item' || n AS section, 2 AS k FROM <<py_files>> UNION ALL SELECT '(functions)', 1 FROM <<py_files>> UNION ALL SELECT 'View' || n, 2 FROM <<js_files>> UNION ALL SELECT '(functions)', 2 FROM <<js_files>>)
 SELECT section, CAST(sum(k) AS BIGINT) AS methods FROM m GROUP BY section UNION ALL SELECT '*', CAST(sum(k) AS BIGINT) FROM m""")
 def a11_counts(spark, sf):
-    return A.api_counts(methods(spark, sf))
+    f = files(spark, sf)
+    return A.api_counts(methods(f, E.members(f, scopes(spark, sf))))
 
 
 @query("a13_capabilities", """SELECT (SELECT count(*) FROM <<code_files>>) AS models, true AS has_dataclass, true AS has_abstract,
@@ -386,9 +388,11 @@ def a11_counts(spark, sf):
 true AS json_serialization, true AS file_persistence, true AS has_guards""")
 def a13(spark, sf):
     f = files(spark, sf)
-    s = scopes(spark, sf)
-    models = E.data_models(E.classes(f), E.members(f, s)).withColumn("ord", F.col("path"))
-    return A.capabilities(models, methods(spark, sf), E.guards(f, s), E.error_classes(f).withColumn("ord", F.col("path")))
+    # Scopes and members feed several facts: computed once, kept in the shared folder.
+    s = stable(W.outline(f))
+    m = stable(E.members(f, s))
+    models = E.data_models(E.classes(f), m).withColumn("ord", F.col("path"))
+    return A.capabilities(models, methods(f, m), E.guards(f, s), E.error_classes(f).withColumn("ord", F.col("path")))
 
 
 def points(spark, sf):

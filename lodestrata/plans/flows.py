@@ -51,7 +51,7 @@ def s8(spark, sf):
     return found.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder"), "language", F.explode(lines).alias("key")).withColumn("key", F.col("key").cast("long"))
 
 
-@query("s9_unwrap_results", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 2 END AS total, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name FROM customer
+@query("s9_unwrap_results", """SELECT c_custkey, CAST(CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 2 END AS BIGINT) AS total, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name FROM customer
 UNION ALL SELECT c_custkey, 2, -c_custkey, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0""")
 def s9(spark, sf):
     c = table(spark, sf, "customer").selectExpr("c_custkey", """CASE WHEN c_custkey % 4 = 0 THEN '{"success":false,"error":{"code":"x"}}' ELSE '{"success":true,"data":{"total":2,"items":[{"id":' || c_custkey || ',"name":"' || c_name
