@@ -1,7 +1,9 @@
 """Table functions over code text: one input row per file, one output row per match.
 
 Input columns are path, language, content. Matching stays inside the row:
-each pattern runs once over the whole text, then the matches are exploded.
+each pattern runs once over the whole text, the matches of all patterns of the
+file's language are put together, then exploded. So the text is scanned once
+and never shuffled.
 """
 
 from __future__ import annotations
@@ -53,118 +55,139 @@ INSTANCE_FIELDS = ("_instance", "instance", "_singleton")
 INSTANCE_GETTERS = ("get_instance", "getInstance", "instance")
 
 
-def regex_rows(files: DataFrame, pattern: str, groups: list[str], keep: list[str] = ("path", "language"),
-               content: str = "content") -> DataFrame:
-    """One row per match: the kept columns, line, start, raw and the groups (null when empty)."""
+def matches(pattern: str, groups: list[str], content: str = "content") -> Column:
+    """All matches of a pattern in the row's text: ARRAY<STRUCT<line,start,raw,groups...>>; empty groups are null."""
     pieces = match_pieces(F.col(content), pattern, len(groups))
     parts = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), F.split(p, _SEP).alias("f")))
-    fields = ",".join(f"g{i}:string" for i in range(len(groups) + 1))
+    fields = ",".join(f"`{g}`:string" for g in ["raw", *groups])
 
     def newlines(text: Column) -> Column:
         return F.length(text) - F.length(F.translate(text, "\n", ""))
 
+    def found(acc: Column, x: Column) -> Column:
+        return F.struct(acc["line"].alias("line"), acc["at"].alias("start"), x["f"][0].alias("raw"),
+                        *[F.nullif(x["f"][i + 1], F.lit("")).alias(g) for i, g in enumerate(groups)])
+
     walked = F.aggregate(
         parts,
         F.struct(F.lit(1).alias("line"), F.lit(0).alias("at"),
                  F.array().cast(f"array<struct<line:int,start:int,{fields}>>").alias("out")),
         lambda acc, x: F.struct(
             (acc["line"] + newlines(x["f"][0])).alias("line"), (acc["at"] + F.length(x["f"][0])).alias("at"),
-            F.when(x["i"] % 2 == 1, F.concat(acc["out"], F.array(F.struct(
-                acc["line"].alias("line"), acc["at"].alias("start"),
-                *[x["f"][i].alias(f"g{i}") for i in range(len(groups) + 1)])))).otherwise(acc["out"]).alias("out")))
-    rows = files.select(*keep, F.inline(walked["out"]))
-    return rows.select(*keep, "line", "start", F.col("g0").alias("raw"),
-                       *[F.nullif(f"g{i + 1}", F.lit("")).alias(n) for i, n in enumerate(groups)])
+            F.when(x["i"] % 2 == 1, F.concat(acc["out"], F.array(found(acc, x)))).otherwise(acc["out"]).alias("out")))
+    return walked["out"]
 
 
-def _python(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("language") == "python")
+def _each(pattern: str, groups: list[str], shape, where=None) -> Column:
+    """Output structs of one pattern: ``shape`` turns a match into a struct."""
+    hits = matches(pattern, groups)
+    return F.transform(F.filter(hits, where) if where is not None else hits, shape)
 
 
-def _script(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("language").isin("javascript", "typescript"))
+def _many(pattern: str, groups: list[str], shape) -> Column:
+    """Output structs of one pattern whose ``shape`` gives an array per match."""
+    return F.flatten(F.transform(matches(pattern, groups), shape))
 
 
-def _names(col: str | Column, alias_mark: str = "\\s+as\\s+|\\s*:\\s*") -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    parts = F.transform(F.split(c, ","), lambda n: F.trim(F.split(
-        F.regexp_replace(F.trim(F.regexp_replace(n, "#[^\\n]*|\\s+", " ")), "^type ", ""), alias_mark)[0]))
-    return F.filter(parts, lambda n: n != "")
+def _extract(files: DataFrame, python: list[Column], script: list[Column]) -> DataFrame:
+    """One pass over the files: the structs of the file's language family, exploded."""
+    rows = F.when(F.col("language") == "python", F.concat(*python)) if python else None
+    if script:
+        is_script = F.col("language").isin("javascript", "typescript")
+        rows = F.when(is_script, F.concat(*script)) if rows is None else rows.when(is_script, F.concat(*script))
+    return files.select("path", "language", F.inline(rows))
 
 
 def _none_array() -> Column:
     return F.array().cast("array<string>")
 
 
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _names(c: Column, alias_mark: str = "\\s+as\\s+|\\s*:\\s*") -> Column:
+    parts = F.transform(F.split(c, ","), lambda n: F.trim(F.split(
+        F.regexp_replace(F.trim(F.regexp_replace(n, "#[^\\n]*|\\s+", " ")), "^type ", ""), alias_mark)[0]))
+    return F.coalesce(F.filter(parts, lambda n: n != ""), _none_array())
+
+
+def _import(m: Column, kind: str, module: Column, items: Column, is_default: Column, alias: Column | None = None) -> Column:
+    return F.struct(m["line"].alias("line"), F.lit(kind).alias("kind"), module.alias("module"), items.alias("items"),
+                    is_default.alias("is_default"), (_no_text() if alias is None else alias).alias("alias"))
+
+
+def _js_import_rows() -> list[Column]:
+    def esm(m):
+        default = F.coalesce(m["first"], m["single"])
+        items = F.concat(F.array_compact(F.array(default)), _names(m["named"]),
+                         F.when(m["space"].isNotNull(), F.array(F.lit("*"))).otherwise(_none_array()))
+        return _import(m, "import", m["module"], items, default.isNotNull(), m["space"])
+
+    return [
+        _each(JS_IMPORT, ["first", "named", "single", "space", "module"], esm),
+        _each(JS_SIDE_EFFECT, ["module"], lambda m: _import(m, "side_effect", m["module"], _none_array(), F.lit(False))),
+        _each(JS_REQUIRE, ["named", "single", "module"], lambda m: _import(
+            m, "require", m["module"], _names(m["named"]), m["named"].isNull(), m["single"])),
+        _each(JS_DYNAMIC, ["module"], lambda m: _import(m, "dynamic", m["module"], _none_array(), F.lit(True))),
+        _each(JS_REEXPORT, ["named", "star", "module"], lambda m: _import(
+            m, "reexport", m["module"], _names(m["named"]), F.lit(False)))]
+
+
+def _py_import_rows() -> list[Column]:
+    def plain(m):
+        def one(name):
+            text = F.regexp_replace(F.trim(name), "\\s+", " ")
+            return _import(m, "import", F.split_part(text, F.lit(" as "), F.lit(1)), _none_array(), F.lit(False),
+                           F.nullif(F.split_part(text, F.lit(" as "), F.lit(2)), F.lit("")))
+        return F.transform(F.split(m["list"], ","), one)
+
+    def from_(m):
+        text = F.coalesce(m["wrapped"], m["listed"])
+        items = _names(text, "\\s+as\\s+")
+        aliases = F.filter(F.transform(F.split(text, ","), lambda n: F.regexp_extract(n, "\\s+as\\s+(\\w+)", 1)), lambda a: a != "")
+        return _import(m, "from", m["module"], items, F.array_contains(items, "*"), F.try_element_at(aliases, F.lit(-1)))
+
+    return [_many(PY_IMPORT, ["list"], plain), _each(PY_FROM, ["module", "wrapped", "listed"], from_)]
+
+
 def js_imports(files: DataFrame) -> DataFrame:
     """Imports of script files: path, language, line, kind, module, items, is_default, alias."""
-    def shape(rows, kind, items, is_default, alias=None):
-        return rows.select("path", "language", "line", F.lit(kind).alias("kind"), "module", items.alias("items"),
-                           is_default.alias("is_default"),
-                           (F.lit(None).cast("string") if alias is None else alias).alias("alias"))
-
-    s = _script(files)
-    esm = regex_rows(s, JS_IMPORT, ["first", "named", "single", "space", "module"])
-    default = F.coalesce("first", "single")
-    esm_items = F.concat(F.array_compact(F.array(default)), F.coalesce(_names("named"), _none_array()),
-                         F.when(F.col("space").isNotNull(), F.array(F.lit("*"))).otherwise(_none_array()))
-    bare = regex_rows(s, JS_SIDE_EFFECT, ["module"])
-    req = regex_rows(s, JS_REQUIRE, ["named", "single", "module"])
-    dyn = regex_rows(s, JS_DYNAMIC, ["module"])
-    again = regex_rows(s, JS_REEXPORT, ["named", "star", "module"])
-    return reduce(DataFrame.unionByName, [
-        shape(esm, "import", esm_items, default.isNotNull(), F.col("space")),
-        shape(bare, "side_effect", _none_array(), F.lit(False)),
-        shape(req, "require", F.coalesce(_names("named"), _none_array()), F.col("named").isNull(), F.col("single")),
-        shape(dyn, "dynamic", _none_array(), F.lit(True)),
-        shape(again, "reexport", F.coalesce(_names("named"), _none_array()), F.lit(False))])
+    return _extract(files, [], _js_import_rows())
 
 
 def py_imports(files: DataFrame) -> DataFrame:
     """Imports of Python files, in the columns of :func:`js_imports`; ``import a, b`` gives two rows."""
-    p = _python(files)
-    plain = regex_rows(p, PY_IMPORT, ["list"]).withColumn("one", F.explode(F.split("list", ",")))
-    one = F.regexp_replace(F.trim("one"), "\\s+", " ")
-    plain = plain.select("path", "language", "line", F.lit("import").alias("kind"),
-                         F.split_part(one, F.lit(" as "), F.lit(1)).alias("module"), _none_array().alias("items"),
-                         F.lit(False).alias("is_default"),
-                         F.nullif(F.split_part(one, F.lit(" as "), F.lit(2)), F.lit("")).alias("alias"))
-    froms = regex_rows(p, PY_FROM, ["module", "wrapped", "listed"])
-    text = F.coalesce("wrapped", "listed")
-    items = _names(text, "\\s+as\\s+")
-    aliases = F.filter(F.transform(F.split(text, ","), lambda n: F.regexp_extract(n, "\\s+as\\s+(\\w+)", 1)), lambda a: a != "")
-    froms = froms.select("path", "language", "line", F.lit("from").alias("kind"), "module", items.alias("items"),
-                         F.array_contains(items, "*").alias("is_default"),
-                         F.try_element_at(aliases, F.lit(-1)).alias("alias"))
-    return plain.unionByName(froms)
+    return _extract(files, _py_import_rows(), [])
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """Imports of all files."""
-    return py_imports(files).unionByName(js_imports(files))
+    """Imports of all files, in one pass."""
+    return _extract(files, _py_import_rows(), _js_import_rows())
 
 
-def _lines_in(col: str) -> Column:
-    c = F.coalesce(F.col(col), F.lit(""))
-    return F.length(c) - F.length(F.translate(c, "\n", ""))
+def _lines_in(c: Column) -> Column:
+    text = F.coalesce(c, F.lit(""))
+    return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
-def _decorators(col: str) -> Column:
-    found = F.regexp_extract_all(F.coalesce(F.col(col), F.lit("")), F.lit("@([\\w.]+)"), F.lit(1))
-    return F.coalesce(found, _none_array())
+def _decorators(c: Column) -> Column:
+    return F.coalesce(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("@([\\w.]+)"), F.lit(1)), _none_array())
 
 
 def classes(files: DataFrame) -> DataFrame:
     """Classes: path, language, name, line, bases, decorators."""
-    py = regex_rows(_python(files), PY_CLASS, ["decor", "indent", "name", "base_list"])
-    bases = F.filter(F.transform(F.split("base_list", ","), lambda b: F.trim(b)),
-                     lambda b: (b != "") & ~b.contains("="))
-    py = py.select("path", "language", "name", (F.col("line") + _lines_in("decor")).alias("line"),
-                   F.coalesce(bases, _none_array()).alias("bases"), _decorators("decor").alias("decorators"))
-    js = regex_rows(_script(files), JS_CLASS, ["name", "base"])
-    js = js.select("path", "language", "name", "line", F.array_compact(F.array("base")).alias("bases"),
-                   _none_array().alias("decorators"))
-    return py.unionByName(js)
+    def py(m):
+        bases = F.filter(F.transform(F.split(m["base_list"], ","), lambda b: F.trim(b)), lambda b: (b != "") & ~b.contains("="))
+        return F.struct(m["name"].alias("name"), (m["line"] + _lines_in(m["decor"])).alias("line"),
+                        F.coalesce(bases, _none_array()).alias("bases"), _decorators(m["decor"]).alias("decorators"))
+
+    def js(m):
+        return F.struct(m["name"].alias("name"), m["line"].alias("line"), F.array_compact(F.array(m["base"])).alias("bases"),
+                        _none_array().alias("decorators"))
+
+    return _extract(files, [_each(PY_CLASS, ["decor", "indent", "name", "base_list"], py)],
+                    [_each(JS_CLASS, ["name", "base"], js)])
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -172,55 +195,62 @@ def functions(files: DataFrame) -> DataFrame:
 
     Columns: path, language, name, line, is_async, params_text, return_type, decorators, indent.
     """
-    py = regex_rows(_python(files), PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"])
-    py = py.select("path", "language", "name", (F.col("line") + _lines_in("decor")).alias("line"),
-                   F.col("async").isNotNull().alias("is_async"), F.coalesce("params_text", F.lit("")).alias("params_text"),
-                   F.trim("return_type").alias("return_type"), _decorators("decor").alias("decorators"),
-                   F.length(F.coalesce("indent", F.lit(""))).alias("indent"))
+    def row(m, line, returns, decorators, indent):
+        return F.struct(m["name"].alias("name"), line.alias("line"), m["async"].isNotNull().alias("is_async"),
+                        F.coalesce(m["params_text"], F.lit("")).alias("params_text"), returns.alias("return_type"),
+                        decorators.alias("decorators"), indent.alias("indent"))
 
-    def shape(rows):
-        return rows.select("path", "language", "name", "line", F.col("async").isNotNull().alias("is_async"),
-                           F.coalesce("params_text", F.lit("")).alias("params_text"),
-                           F.lit(None).cast("string").alias("return_type"), _none_array().alias("decorators"),
-                           F.lit(0).alias("indent"))
+    def py(m):
+        return row(m, m["line"] + _lines_in(m["decor"]), F.trim(m["return_type"]), _decorators(m["decor"]),
+                   F.length(F.coalesce(m["indent"], F.lit(""))))
 
-    js = shape(regex_rows(_script(files), JS_FUNCTION, ["async", "name", "params_text"]))
-    arrows = shape(regex_rows(_script(files), JS_ARROW, ["name", "async", "params_text"]))
-    return py.unionByName(js).unionByName(arrows)
+    def js(m):
+        return row(m, m["line"], _no_text(), _none_array(), F.lit(0))
+
+    return _extract(files, [_each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py)],
+                    [_each(JS_FUNCTION, ["async", "name", "params_text"], js), _each(JS_ARROW, ["name", "async", "params_text"], js)])
 
 
 def members(files: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Methods and fields of classes: path, owner, kind, name, line, is_async, is_static, type, default, params_text.
+    """Methods and fields of classes: path, owner, kind, name, line, is_async, is_static, type, default, params_text, decorators.
 
     A member belongs to the class whose lines hold it directly.
     """
-    none = F.lit(None).cast("string")
-    py_m = functions(_python(files)).filter(F.col("indent") > 0).select(
-        "path", "name", "line", F.lit("method").alias("kind"), "is_async",
-        F.exists("decorators", lambda d: d.isin("staticmethod", "classmethod")).alias("is_static"),
-        F.col("return_type").alias("type"), none.alias("default"), "params_text", "decorators")
-    js_m = regex_rows(_script(files), JS_METHOD, ["words", "name", "params_text"]).filter(~F.col("name").isin(*NOT_METHODS))
-    words = F.coalesce("words", F.lit(""))
-    js_m = js_m.select("path", "name", "line", F.lit("method").alias("kind"), words.contains("async").alias("is_async"),
-                       words.contains("static").alias("is_static"), none.alias("type"), none.alias("default"),
-                       F.coalesce("params_text", F.lit("")).alias("params_text"), _none_array().alias("decorators"))
-
-    def fields(rows):
-        named = rows.filter(~F.col("name").isin("async", "static", "get", "set", "return", "pass", "break", "continue"))
-        return named.select("path", "name", "line", F.lit("field").alias("kind"), F.lit(False).alias("is_async"),
-                            F.coalesce(F.col("words").contains("static"), F.col("type").isNull()).alias("is_static"),
-                            F.trim("type").alias("type"), F.trim("default").alias("default"), none.alias("params_text"),
-                            _none_array().alias("decorators"))
-
-    py_f = fields(regex_rows(_python(files), PY_FIELD, ["words", "name", "type", "default"])
-                  .filter(F.col("type").isNotNull() | F.col("default").isNotNull()))
-    js_f = fields(regex_rows(_script(files), JS_FIELD, ["words", "name", "type", "default"])
-                  .withColumn("words", F.coalesce("words", F.lit(""))))
-    rows = reduce(DataFrame.unionByName, [py_m, js_m, py_f, js_f])
+    def row(kind, m, line, is_async, is_static, type_, default, params_text, decorators):
+        return F.struct(F.lit(kind).alias("kind"), m["name"].alias("name"), line.alias("line"), is_async.alias("is_async"),
+                        is_static.alias("is_static"), type_.alias("type"), default.alias("default"),
+                        params_text.alias("params_text"), decorators.alias("decorators"))
+
+    def py_method(m):
+        decorators = _decorators(m["decor"])
+        return row("method", m, m["line"] + _lines_in(m["decor"]), m["async"].isNotNull(),
+                   F.exists(decorators, lambda d: d.isin("staticmethod", "classmethod")), F.trim(m["return_type"]), _no_text(),
+                   F.coalesce(m["params_text"], F.lit("")), decorators)
+
+    def js_method(m):
+        words = F.coalesce(m["words"], F.lit(""))
+        return row("method", m, m["line"], words.contains("async"), words.contains("static"), _no_text(), _no_text(),
+                   F.coalesce(m["params_text"], F.lit("")), _none_array())
+
+    def field(static):
+        return lambda m: row("field", m, m["line"], F.lit(False), static(m), F.trim(m["type"]), F.trim(m["default"]),
+                             _no_text(), _none_array())
+
+    def is_field(m):
+        return ~m["name"].isin("async", "static", "get", "set", "return", "pass", "break", "continue")
+
+    rows = _extract(
+        files,
+        [_each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py_method, lambda m: m["indent"].isNotNull()),
+         _each(PY_FIELD, ["words", "name", "type", "default"], field(lambda m: m["type"].isNull()),
+               lambda m: is_field(m) & (m["type"].isNotNull() | m["default"].isNotNull()))],
+        [_each(JS_METHOD, ["words", "name", "params_text"], js_method, lambda m: ~m["name"].isin(*NOT_METHODS)),
+         _each(JS_FIELD, ["words", "name", "type", "default"],
+               field(lambda m: F.coalesce(m["words"], F.lit("")).contains("static")), is_field)])
     # The scope around a method header is the method itself, so look one scope further out.
     outer = scopes.filter(F.col("node_type").isin("class", "function", "method", "async function", "async method",
                                                   "arrow fn", "constructor"))
-    held = nearest_scope_above(rows, outer)
+    held = nearest_scope_above(rows.drop("language"), outer)
     return held.filter(F.col("scope_type") == "class").select(
         "path", F.col("scope_name").alias("owner"), "kind", "name", "line", "is_async", "is_static", "type",
         "default", "params_text", "decorators")
@@ -235,21 +265,27 @@ def nearest_scope_above(points: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def constants(files: DataFrame) -> DataFrame:
     """Constants: path, language, name, type, value, line."""
-    py = regex_rows(_python(files), PY_CONSTANT, ["name", "type", "value"])
-    shout = F.col("name").rlike("^[^a-z]*[A-Z][^a-z]*$") | F.col("name").startswith("_") | F.col("type").isNotNull()
-    js = regex_rows(_script(files), JS_CONSTANT, ["name", "type", "value"])
-    return py.filter(shout).unionByName(js).select(
-        "path", "language", "name", F.trim("type").alias("type"), F.trim("value").alias("value"), "line")
+    def row(m):
+        return F.struct(m["name"].alias("name"), F.trim(m["type"]).alias("type"), F.trim(m["value"]).alias("value"),
+                        m["line"].alias("line"))
+
+    def shout(m):
+        return m["name"].rlike("^[^a-z]*[A-Z][^a-z]*$") | m["name"].startswith("_") | m["type"].isNotNull()
+
+    return _extract(files, [_each(PY_CONSTANT, ["name", "type", "value"], row, shout)],
+                    [_each(JS_CONSTANT, ["name", "type", "value"], row)])
 
 
 def exports(files: DataFrame) -> DataFrame:
     """Exported names: path, language, name, line."""
-    s = _script(files)
-    lists = regex_rows(s, JS_EXPORT_LIST, ["names"]).select("path", "language", F.explode(_names("names")).alias("name"), "line")
-    decl = regex_rows(s, JS_EXPORT_DECL, ["name"]).select("path", "language", "name", "line")
-    quoted = F.regexp_extract_all("names", F.lit("['\"]([^'\"]+)['\"]"), F.lit(1))
-    py = regex_rows(_python(files), PY_ALL, ["names"]).select("path", "language", F.explode(quoted).alias("name"), "line")
-    return lists.unionByName(decl).unionByName(py)
+    def named(m, names):
+        return F.transform(names, lambda n: F.struct(n.alias("name"), m["line"].alias("line")))
+
+    quoted = F.lit("['\"]([^'\"]+)['\"]")
+    return _extract(
+        files, [_many(PY_ALL, ["names"], lambda m: named(m, F.coalesce(F.regexp_extract_all(m["names"], quoted, F.lit(1)), _none_array())))],
+        [_many(JS_EXPORT_LIST, ["names"], lambda m: named(m, _names(m["names"]))),
+         _each(JS_EXPORT_DECL, ["name"], lambda m: F.struct(m["name"].alias("name"), m["line"].alias("line")))])
 
 
 def error_classes(files: DataFrame) -> DataFrame:
@@ -263,14 +299,17 @@ def error_classes(files: DataFrame) -> DataFrame:
 
 def guards(files: DataFrame, scopes: DataFrame) -> DataFrame:
     """Guard clauses: path, language, line, function, condition, error, message."""
-    py = regex_rows(_python(files), PY_GUARD, ["condition", "error", "args"])
-    js = regex_rows(_script(files), JS_GUARD, ["condition", "error", "args"])
-    rows = py.unionByName(js).withColumn(
-        "message", F.nullif(F.regexp_extract(F.coalesce("args", F.lit("")), "[\"'`]([^\"'`]+)", 1), F.lit("")))
+    def row(m):
+        message = F.regexp_extract(F.coalesce(m["args"], F.lit("")), "[\"'`]([^\"'`]+)", 1)
+        return F.struct(m["line"].alias("line"), F.trim(m["condition"]).alias("condition"), m["error"].alias("error"),
+                        F.nullif(message, F.lit("")).alias("message"))
+
+    rows = _extract(files, [_each(PY_GUARD, ["condition", "error", "args"], row)],
+                    [_each(JS_GUARD, ["condition", "error", "args"], row)])
     named = scopes.filter(F.col("node_type").isin("function", "method", "async function", "async method", "constructor"))
-    return nearest_scope(rows.select("path", "language", "line", "condition", "error", "message"), named).select(
+    return nearest_scope(rows, named).select(
         "path", "language", "line", F.coalesce("scope_name", F.lit("anonymous")).alias("function"),
-        F.trim("condition").alias("condition"), "error", "message")
+        "condition", "error", "message")
 
 
 def _top_level_item(depth: int = 4) -> str:
