@@ -65,9 +65,10 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: Column,
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Number all rows 1..n in ``order`` without bringing them into one task.
 
-    Rows are range partitioned and sorted; the number inside a partition comes
-    from the row's position, the number of rows in earlier partitions is added
-    from a table with one row per partition.
+    ``order`` must be total (end it with a unique column): then equal leading
+    values split over partitions too. Rows are range partitioned and sorted; the
+    number inside a partition comes from the row's position, the number of rows
+    in earlier partitions is added from a table with one row per partition.
     """
     placed = stable(df.repartitionByRange(*order).sortWithinPartitions(*order)
                     .withColumn("_at", F.monotonically_increasing_id()))

@@ -90,12 +90,18 @@ def search(df: DataFrame, text: str, fields: list[str], size: int, id_col: str,
     statistics, one top-n gives the hits. ``total`` is the number of all hits.
     """
     terms = query_terms(text)
-    counted = df
-    for f in fields:
-        counted = counted.withColumn(f"_tok_{f}", tokens(f))
-    counted = counted.withColumns({
-        **{f"_dl_{f}": F.size(f"_tok_{f}") for f in fields},
-        **{f"_tf_{f}": F.array(*[F.size(F.filter(f"_tok_{f}", _equals(q))) for q in terms]) for f in fields}}).drop(*[f"_tok_{f}" for f in fields])
+
+    def count_terms(rows: DataFrame) -> DataFrame:
+        for f in fields:
+            rows = rows.withColumn(f"_tok_{f}", tokens(f))
+        return rows.withColumns({
+            **{f"_dl_{f}": F.size(f"_tok_{f}") for f in fields},
+            **{f"_tf_{f}": F.array(*[F.size(F.filter(f"_tok_{f}", _equals(q))) for q in terms]) for f in fields}
+        }).drop(*[f"_tok_{f}" for f in fields])
+
+    counted = count_terms(df)
+    # A row without the term's letters cannot hold it: most rows are not taken apart a second time.
+    possible = reduce(lambda a, b: a | b, [F.lower(f).contains(q) for f in fields for q in terms])
     hit = reduce(lambda a, b: a | b, [F.exists(f"_tf_{f}", lambda n: n > 0) for f in fields])
     stats = counted.agg(
         F.struct(
@@ -104,7 +110,9 @@ def search(df: DataFrame, text: str, fields: list[str], size: int, id_col: str,
             *[F.avg(F.when(F.col(f"_dl_{f}") > 0, F.col(f"_dl_{f}"))).alias(f"avg_{f}") for f in fields],
             *[F.count_if(F.col(f"_tf_{f}")[i] > 0).alias(f"df_{f}_{i}")
               for f in fields for i in range(len(terms))]).alias("s")).scalar()
-    scored = counted.filter(hit).withColumn("_s", stats)
+    # Hits sort first and the rest is cut after the top-n: as a filter below it, the
+    # hit test would be moved under the projection and take every text apart again.
+    scored = count_terms(df.filter(possible)).withColumns({"_s": stats, "_hit": hit})
     per_field = []
     for f in fields:
         parts = []
@@ -117,7 +125,7 @@ def search(df: DataFrame, text: str, fields: list[str], size: int, id_col: str,
         per_field.append(reduce(lambda a, b: a + b, parts))
     score = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
     return (scored.withColumn("_score", F.round(score, 6))
-            .orderBy(F.desc("_score"), F.asc(id_col)).limit(size)
+            .orderBy(F.desc("_hit"), F.desc("_score"), F.asc(id_col)).limit(size).filter("_hit")
             .select(F.col(id_col).alias("_id"), F.lit(index).alias("_index"), "_score",
                     F.col("_s.total").alias("total"),
                     F.struct(*[c for c in df.columns if c != id_col]).alias("_source")))

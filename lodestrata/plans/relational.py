@@ -7,7 +7,7 @@ from lodestrata.operators import keyvalue as K
 from lodestrata.operators import ordered as W
 from lodestrata.operators import select as P
 from lodestrata.operators.merge import first_wins, last_wins
-from lodestrata.plans.base import query, table, view
+from lodestrata.plans.base import query, spread, table, view
 from lodestrata.sources import tables as S
 
 NOW = "2024-01-20 00:00:00"
@@ -74,7 +74,7 @@ def p4(spark, sf):
 @query("p5_match", """SELECT doc_id, lang FROM documents
 WHERE list_has_any(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), ['nicht', 'threea', 'eau'])""")
 def p5(spark, sf):
-    return P.match(table(spark, sf, "documents"), "text", "Nicht, threea eau").select("doc_id", "lang")
+    return P.match(spread(table(spark, sf, "documents")), "text", "Nicht, threea eau").select("doc_id", "lang")
 
 
 @query("p6_search", """
@@ -97,7 +97,7 @@ g AS (SELECT f.*, s.*,
 SELECT doc_id AS _id, 'docs' AS _index, round(greatest(s1, s2), 6) AS _score, total, lang FROM g
 WHERE a + b + c + sa + sb + sc > 0 ORDER BY _score DESC, _id LIMIT 20""")
 def p6(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     hits = P.search(docs, "Threea nicht SRC7", ["text", "source"], 20, "doc_id", "docs")
     return hits.select("_id", "_index", "_score", "total", F.col("_source.lang").alias("lang"))
 
@@ -149,7 +149,7 @@ def a1(spark, sf):
 (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS w FROM documents)
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")
 def a1_array(spark, sf):
-    docs = table(spark, sf, "documents").select(P.tokens("text").alias("words"))
+    docs = spread(table(spark, sf, "documents").select("text")).select(P.tokens("text").alias("words"))
     return A.terms_agg(docs, "words", 15)
 
 

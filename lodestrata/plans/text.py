@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import template as T
 from lodestrata.functions import text as X
 from lodestrata.operators import paths as PA
-from lodestrata.plans.base import query, table, view
+from lodestrata.plans.base import query, spread, table, view
 from lodestrata.plans.relational import STATUS
 
 PATHS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'pkg/node_modules/' WHEN 2 THEN 'tests/unit/' WHEN 3 THEN 'a/models/'
@@ -21,7 +21,7 @@ def paths(spark, sf):
 @query("t1_render", """SELECT c_custkey, 'Hi ' || c_name || ' ' || c_name || ' from nowhere ' || c_mktsegment || ' {{gone}} {{raw ' || c_mktsegment || ' {{ref}} '
 || CAST(c_nationkey AS VARCHAR) || 'true ' || c_mktsegment AS rendered FROM customer""")
 def t1(spark, sf):
-    c = view(spark, sf, "contexts")
+    c = view(spark, sf, "contexts", parallel=True)
     return T.render(c, "template", "context").select("c_custkey", "rendered")
 
 
@@ -58,7 +58,7 @@ def _key(sep: str, fn: str) -> str:
 
 @query("t4_key_name", f"WITH d AS (SELECT doc_id, text AS s FROM documents) SELECT doc_id, {_key('_', 'upper')} AS up, {_key('_', 'lower')} AS snake, {_key('-', 'lower')} AS kebab FROM d")
 def t4(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", X.key_name("text", "upper").alias("up"), X.key_name("text", "snake").alias("snake"),
                     X.key_name("text", "kebab").alias("kebab"))
 
@@ -69,7 +69,7 @@ def _phrase(fn: str) -> str:
 
 @query("t5_word_case", f"SELECT doc_id, {_phrase('upper')} AS up, {_phrase('lower')} AS low FROM documents")
 def t5(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.upper_case("text").alias("up"), X.lower_case("text").alias("low"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.upper_case("text").alias("up"), X.lower_case("text").alias("low"))
 
 
 @query("t6_to_text", """SELECT event_id, coalesce(CASE WHEN user_id % 3 <> 0 THEN event_type END, '') AS a, CASE WHEN value > 20 THEN 'true' ELSE 'false' END AS b,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import EXTENSIONS, base_name, language_of
 from lodestrata.operators.paths import ignored
+from lodestrata.operators.sized import small
 from lodestrata.sources.payloads import property_entries
 
 # Fixed value: files above this size are not scanned.
@@ -58,10 +59,6 @@ def _quoted(text: str) -> str:
     return re.escape(text)
 
 
-def section_of(col: str = "language"):
-    return F.when(F.col(col) == "python", "python").otherwise("nodejs")
-
-
 def report_rows(df: DataFrame, grouped: bool = True, section: str = "section", rows_per_part: int = 10_000,
                 order: str = "path") -> DataFrame:
     """Report rows as JSON text: one row per record, or one document per section part.
@@ -73,7 +70,7 @@ def report_rows(df: DataFrame, grouped: bool = True, section: str = "section", r
     if not grouped:
         return df.select(F.to_json(F.struct(*df.columns)).alias("record"))
     sizes = df.groupBy(section).agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("_parts"))
-    return (df.join(sizes, section).withColumn("part", F.pmod(F.xxhash64(order), F.col("_parts")))
+    return (df.join(small(sizes), section).withColumn("part", F.pmod(F.xxhash64(order), F.col("_parts")))
             .groupBy(section, "part").agg(F.array_sort(F.collect_list(body)).alias("files"))
             .select(section, "part", F.size("files").alias("records"), F.to_json(F.struct("files")).alias("document")))
 

@@ -25,7 +25,14 @@ class TtlState(StatefulProcessor):
         self._cell = handle.getValueState("cell", "value string, expires_us long, seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq")
+        # Only the newest write and what follows it count, so older rows are let go chunk by chunk.
+        kept, newest = [], -1
+        for chunk in rows:
+            writes = chunk.loc[chunk["op"].isin(("SET", "SETEX", "DEL")), "seq"]
+            newest = max(newest, int(writes.max()) if len(writes) else -1)
+            kept = [part[part["seq"] >= newest] for part in [*kept, chunk]]
+            kept = [part for part in kept if len(part)]
+        batch = pd.concat(kept).sort_values("seq")
         old = self._cell.get() if self._cell.exists() else None
         value, expires, seq = old if old is not None else (None, None, -1)
         alive = old is not None
