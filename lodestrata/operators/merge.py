@@ -139,7 +139,7 @@ def merge_history(layers: DataFrame) -> DataFrame:
     """
     final = deep_merge(layers)
     writes = layers.groupBy("doc_id", "path").agg(
-        F.array_sort(F.collect_list(F.struct("layer", "value"))).alias("w"))
+        F.array_sort(F.collect_set(F.struct("layer", "value"))).alias("w"))
     return final.join(writes, ["doc_id", "path"]).select(
         "doc_id", "path", "value", "layer",
         F.filter("w", lambda x: x["layer"] < F.col("layer")).alias("hidden"))

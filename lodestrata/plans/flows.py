@@ -76,7 +76,7 @@ def s11(spark, sf):
     o = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "O", "python").otherwise("nodejs").alias("section"),
                                           F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
     path = scratch_path(spark, "report")
-    SF.write_report(o, path, grouped=True, order="id")
+    SF.write_report(o, path, grouped=True)
     back = spark.read.schema("section string, part long, records int, document string").json(path)
     doc = F.from_json("document", "files array<struct<id:long,name:string>>")
     return back.select("section", F.inline(doc["files"]))

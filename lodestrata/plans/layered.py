@@ -147,14 +147,17 @@ def j12(spark, sf):
     return J.recommend(probes, ["verify-full", "verify-ca", "require", "prefer", "disable"], ["provider"])
 
 
-@query("j11_overlapping", """SELECT a.path, a.fold_id AS outer_id, b.fold_id AS inner_id FROM <<folds>> a JOIN <<folds>> b ON a.path = b.path
-AND (a.start < b.start OR (a.start = b.start AND a.fold_id < b.fold_id)) AND a.start < b.stop AND a.stop > b.start""")
+SPANS = "WITH s AS (SELECT path, start, stop, min(fold_id) AS id, count(*) AS folds FROM <<folds>> GROUP BY path, start, stop)"
+
+
+@query("j11_overlapping", SPANS + """ SELECT a.path, a.id AS outer_id, a.folds AS outer_folds, b.id AS inner_id, b.folds AS inner_folds FROM s a JOIN s b ON a.path = b.path
+AND (a.start < b.start OR (a.start = b.start AND a.stop > b.stop)) AND a.start < b.stop AND a.stop > b.start""")
 def j11(spark, sf):
     return J.overlapping(folds(spark, sf))
 
 
-@query("j11_contained", """SELECT a.path, a.fold_id AS outer_id, b.fold_id AS inner_id FROM <<folds>> a JOIN <<folds>> b ON a.path = b.path
-AND a.fold_id <> b.fold_id AND a.start <= b.start AND a.stop >= b.stop""")
+@query("j11_contained", SPANS + """ SELECT a.path, a.id AS outer_id, a.folds AS outer_folds, b.id AS inner_id, b.folds AS inner_folds FROM s a JOIN s b ON a.path = b.path
+AND a.id <> b.id AND a.start <= b.start AND a.stop >= b.stop""")
 def j11_contained(spark, sf):
     return J.contained(folds(spark, sf))
 

@@ -33,6 +33,20 @@ def s3(spark, sf):
                      {"low": 20}, count=True, events=table(spark, sf, "events"))
 
 
+LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query("s4_list_tables", "\nUNION ALL ".join(
+    f"SELECT 'listed_{t}' AS name, true AS is_temporary, count(*) AS row_count FROM {t}" for t in LISTED))
+def s4(spark, sf):
+    tables = {f"listed_{t}": table(spark, sf, t) for t in LISTED}
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    listed = S.list_tables(spark).select("name", "is_temporary").distinct()
+    counts = S.table_profile({n: d.select(d.columns[0]) for n, d in tables.items()}).select(F.col("table_name").alias("name"), "row_count")
+    return listed.join(counts, "name")
+
+
 @query("s5_table_profile", """
 SELECT 'nation' AS table_name, count(*) AS row_count, CAST(sum(strlen(CAST(to_json(t) AS VARCHAR))) AS BIGINT) AS bytes,
        3 AS field_count, 'n_nationkey, n_name, n_regionkey' AS sample_fields FROM nation t

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions.text import EXTENSIONS, base_name, language_of
 from lodestrata.operators.paths import ignored
@@ -38,7 +39,8 @@ def scan_tree(spark: SparkSession, root: str, languages: tuple[str, ...] = ("pyt
               extra_names: tuple[str, ...] = ()) -> DataFrame:
     """Source files below a folder: path (relative), language, size, content.
 
-    Name and size filters go to the file listing, so files that are left out are never opened.
+    Name patterns, size and path tests are all on file metadata, so they are
+    applied to the file listing: a file that is left out is never opened.
     ``extra_names`` lets manifests through (``package.json``).
     """
     extensions = [e for lang in languages for e in EXTENSIONS[lang]]
@@ -46,11 +48,11 @@ def scan_tree(spark: SparkSession, root: str, languages: tuple[str, ...] = ("pyt
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", "{" + ",".join(names) + "}").load(root))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    relative = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base) + "/", "")
-    named = raw.filter(F.col("length") <= max_bytes).withColumn("path", relative)
-    hidden = base_name("path").startswith(".")
-    kept = named.filter(~hidden & ~ignored("path", list(ignore), list(gitignore)))
-    return kept.select("path", language_of("path").alias("language"), F.col("length").alias("size"),
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    relative = F.regexp_replace(full, "^.*?" + _quoted(base) + "/", "")
+    kept = raw.filter((F.col("_metadata.file_size") <= max_bytes) & ~base_name(relative).startswith(".")
+                      & ~ignored(relative, list(ignore), list(gitignore)))
+    return kept.select(relative.alias("path"), language_of(relative).alias("language"), F.col("length").alias("size"),
                        F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
 
 
@@ -59,18 +61,18 @@ def _quoted(text: str) -> str:
     return re.escape(text)
 
 
-def report_rows(df: DataFrame, grouped: bool = True, section: str = "section", rows_per_part: int = 10_000,
-                order: str = "path") -> DataFrame:
+def report_rows(df: DataFrame, grouped: bool = True, section: str = "section", rows_per_part: int = 10_000) -> DataFrame:
     """Report rows as JSON text: one row per record, or one document per section part.
 
     A section of any size comes in parts of about ``rows_per_part`` records, cut
-    by a hash of the order column, so no task holds a whole section.
+    by a hash of the row, so no task holds a whole section.
     """
     body = F.struct(*[c for c in df.columns if c != section])
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
     if not grouped:
         return df.select(F.to_json(F.struct(*df.columns)).alias("record"))
     sizes = df.groupBy(section).agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("_parts"))
-    return (df.join(small(sizes), section).withColumn("part", F.pmod(F.xxhash64(order), F.col("_parts")))
+    return (df.join(small(sizes), section).withColumn("part", F.pmod(F.xxhash64(*hashed), F.col("_parts")))
             .groupBy(section, "part").agg(F.array_sort(F.collect_list(body)).alias("files"))
             .select(section, "part", F.size("files").alias("records"), F.to_json(F.struct("files")).alias("document")))
 

@@ -42,8 +42,10 @@ def assemble(events: DataFrame, keys: list[str], seq: str, data: str = "data", c
     ordinary answers are one chunk. Works on batches and on streams.
     """
     pieces = deltas(events, keys, seq, data).withColumn("chunk", F.floor(F.col("seq") / chunk).cast("long"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
-    return pieces.groupBy(*keys, "chunk").agg(joined.alias("text"), F.count(F.lit(1)).alias("pieces"))
+    # A set: a piece that is delivered twice counts once.
+    got = pieces.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_set(F.struct("seq", "text"))).alias("_p"))
+    return got.select(*keys, "chunk", F.array_join(F.transform("_p", lambda x: x["text"]), "").alias("text"),
+                      F.size("_p").cast("long").alias("pieces"))
 
 
 def spans(starts: DataFrame, ends: DataFrame, timeout: str = "10 minutes", late: str = "10 minutes",
