@@ -408,15 +408,24 @@ def routes(funcs: DataFrame) -> DataFrame:
 # --- manifests --------------------------------------------------------------------
 
 def manifests(files: DataFrame) -> DataFrame:
-    """Name, version, description and dependencies of manifest files.
+    """Name, version, description and dependencies of manifest files, in one pass.
 
-    Reads ``package.json``, ``pyproject.toml`` and ``requirements.txt``; columns
-    path, language, name, version, description, deps ARRAY<STRUCT<name,version,is_dev,is_workspace>>.
+    Reads ``package.json``, ``pyproject.toml`` and ``requirements.txt``. Keeps the
+    columns of ``files`` but the content, and adds language, name, version,
+    description, deps ARRAY<STRUCT<name,version,is_dev,is_workspace>>.
     """
     base = F.substring_index("path", "/", -1)
-    return reduce(DataFrame.unionByName, [
-        _package_json(files.filter(base == "package.json")), _pyproject(files.filter(base == "pyproject.toml")),
-        _requirements(files.filter(base == "requirements.txt"))])
+    keep = [c for c in files.columns if c not in ("content", "language")]
+    read = (F.when(base == "package.json", _package_json())
+            .when(base == "pyproject.toml", _pyproject())
+            .when(base == "requirements.txt", _requirements()))
+    known = files.filter(base.isin("package.json", "pyproject.toml", "requirements.txt"))
+    return known.select(*keep, F.when(base == "package.json", "javascript").otherwise("python").alias("language"),
+                        read.alias("_m")).select(*keep, "language", "_m.*")
+
+
+def _manifest(name: Column, version: Column, description: Column, deps: Column) -> Column:
+    return F.struct(name.alias("name"), version.alias("version"), description.alias("description"), deps.alias("deps"))
 
 
 def _is_workspace(version: Column) -> Column:
@@ -428,20 +437,19 @@ def _dep(name: Column, version: Column, is_dev: Column) -> Column:
                     _is_workspace(version).alias("is_workspace"))
 
 
-def _package_json(files: DataFrame) -> DataFrame:
+def _package_json() -> Column:
     doc = F.from_json("content", "name string, version string, description string, "
                                  "dependencies map<string,string>, devDependencies map<string,string>")
 
     def deps(col: str, dev: bool) -> Column:
-        return F.coalesce(F.transform(F.map_entries(f"d.{col}"), lambda e: _dep(e["key"], e["value"], F.lit(dev))),
+        return F.coalesce(F.transform(F.map_entries(doc[col]), lambda e: _dep(e["key"], e["value"], F.lit(dev))),
                           F.array().cast("array<struct<name:string,version:string,is_dev:boolean,is_workspace:boolean>>"))
 
-    return files.withColumn("d", doc).select("path", F.lit("javascript").alias("language"), "d.name", "d.version",
-                                             "d.description", F.concat(deps("dependencies", False),
-                                                                       deps("devDependencies", True)).alias("deps"))
+    return _manifest(doc["name"], doc["version"], doc["description"],
+                     F.concat(deps("dependencies", False), deps("devDependencies", True)))
 
 
-def _pyproject(files: DataFrame) -> DataFrame:
+def _pyproject() -> Column:
     sections = F.split("content", "(?m)^(?=[ \\t]*\\[[^\\]\\n]+\\][ \\t]*$)")
 
     def head(s: Column) -> Column:
@@ -449,36 +457,29 @@ def _pyproject(files: DataFrame) -> DataFrame:
 
     project = F.array_join(F.filter(sections, lambda s: head(s).isin("[project]", "[tool.poetry]")), "\n")
 
-    def field(name: str) -> Column:
-        raw = F.regexp_extract(project, f"(?m)^[ \\t]*{name}[ \\t]*=[ \\t]*(.*?)[ \\t]*$", 1)
-        return F.nullif(F.regexp_replace(raw, "^[\"']|[\"']$", ""), F.lit(""))
+    def clean(c: Column) -> Column:
+        return F.regexp_replace(F.trim(c), "^[\"']|[\"']$", "")
 
-    dep_sections = F.filter(sections, lambda s: F.lower(head(s)).contains("dependencies"))
+    def field(name: str) -> Column:
+        return F.nullif(clean(F.regexp_extract(project, f"(?m)^[ \\t]*{name}[ \\t]*=[ \\t]*(.*?)[ \\t]*$", 1)), F.lit(""))
 
     def entries(s: Column) -> Column:
         lines = F.filter(F.split(s, "\n"), lambda x: x.rlike("^[ \\t]*[^#\\[\\s][^=]*="))
         dev = F.lower(head(s)).contains("dev")
-
-        def clean(c: Column) -> Column:
-            return F.regexp_replace(F.trim(c), "^[\"']|[\"']$", "")
-
         return F.transform(lines, lambda x: _dep(clean(F.regexp_extract(x, "^([^=]*)=", 1)),
                                                  clean(F.regexp_extract(x, "^[^=]*=(.*)$", 1)), dev))
 
-    return files.select("path", F.lit("python").alias("language"), field("name").alias("name"),
-                        field("version").alias("version"), field("description").alias("description"),
-                        F.flatten(F.transform(dep_sections, entries)).alias("deps"))
+    dep_sections = F.filter(sections, lambda s: F.lower(head(s)).contains("dependencies"))
+    return _manifest(field("name"), field("version"), field("description"), F.flatten(F.transform(dep_sections, entries)))
 
 
-def _requirements(files: DataFrame) -> DataFrame:
+def _requirements() -> Column:
     lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", ""))),
                      lambda x: x.rlike("^[A-Za-z0-9]"))
     deps = F.transform(lines, lambda x: _dep(F.regexp_extract(x, "^([A-Za-z0-9._-]+)", 1),
                                              F.trim(F.regexp_replace(x, "^[A-Za-z0-9._-]+(\\[[^\\]]*\\])?", "")), F.lit(False)))
     folder = F.regexp_extract("path", "([^/]+)/[^/]*$", 1)
-    none = F.lit(None).cast("string")
-    return files.select("path", F.lit("python").alias("language"), F.nullif(folder, F.lit("")).alias("name"),
-                        none.alias("version"), none.alias("description"), deps.alias("deps"))
+    return _manifest(F.nullif(folder, F.lit("")), _no_text(), _no_text(), deps)
 
 
 def dependencies(manifest_rows: DataFrame) -> DataFrame:

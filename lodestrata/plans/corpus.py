@@ -203,8 +203,7 @@ def e13(spark, sf):
 
 
 def manifests(spark, sf):
-    raw = view(spark, sf, "manifest_files")
-    return raw.select("manifest_ord", "path").join(E.manifests(raw.select("path", "content")), "path")
+    return E.manifests(view(spark, sf, "manifest_files"))
 
 
 @query("e14_manifests", """SELECT 'packages_mjs/app-' || s_suppkey || '/package.json' AS path, s_suppkey AS manifest_ord, 'javascript' AS language, 'app-' || s_suppkey AS name, '1.' || s_nationkey || '.0' AS version, NULL AS description,

@@ -18,6 +18,8 @@ def build_session(app: str = "lodestrata", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Call-site capture for every Column costs more than planning for expressions of this size.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k.replace("__", "."): str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():
