@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lodestrata.plans.base import query, table, view
+from lodestrata.plans.base import query, table
 from lodestrata.plans.relational import KV_FOLD, STATUS
 from lodestrata.session import scratch_path
 from lodestrata.sources import files as SF
