@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import exact_dedup, license_scan, mixing, packing, url_filter
+from lodestrata.llm import exact_dedup, license_scan, mixing, packing, quality, simhash_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": packing.op2_pack,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
