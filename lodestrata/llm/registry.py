@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import exact_dedup, license_scan, mixing, packing, quality, simhash_dedup, url_filter
+from lodestrata.llm import exact_dedup, license_scan, mixing, nn_descent, packing, quality, simhash_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nn_descent": nn_descent.op1_nn_descent,
     "op2_pack": packing.op2_pack,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
