@@ -42,15 +42,15 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import ROW, discard, numbered, saved, table
 
 TOP = 20
-DEGREE = 20
+DEGREE = 32
 #: Nearest members that a member is told about in one local join.
-TOLD = 5
+TOLD = 8
 ROUNDS = 3
-LEAF = 128
-TREES = 3
-BEAM = 12
-POOL = 64
-SEARCH_ROUNDS = 4
+LEAF = 1024
+TREES = 12
+BEAM = 40
+POOL = 200
+SEARCH_ROUNDS = 6
 SEED = 42
 
 
@@ -113,39 +113,63 @@ def _unpack(rows: list[bytes]) -> np.ndarray:
 
 
 def _meet(told: int):
-    """For every row of (members, small) lists: what each member learns of the others."""
+    """For every row of member lists (node, small, worst, fresh): what each member learns of the others.
+
+    A pair is news if one of the two is fresh in this list and the score beats the worst
+    neighbour the member has; of that every member is told the best ``told``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, lens, scores, others = [], [], [], []
-            for members, small in zip(batch.column(0), batch.column(1)):
-                ids = members.values.to_numpy()
-                if len(ids) < 2:
+            who, lens, scores, others = [np.zeros(0, np.int64)], [], [np.zeros(0)], [np.zeros(0, np.int64)]
+            for members, small, worst, fresh in zip(*batch.columns):
+                ids, fresh = members.values.to_numpy(), fresh.values.to_numpy(zero_copy_only=False)
+                if len(ids) < 2 or not fresh.any():
                     continue
                 v = _unpack(small.as_py())
                 s = v @ v.T
+                s[~(fresh[:, None] | fresh[None, :])] = -np.inf
+                s[s <= worst.values.to_numpy()[:, None]] = -np.inf
                 np.fill_diagonal(s, -np.inf)
                 k = min(told, len(ids) - 1)
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                who.append(ids)
-                lens.append(np.full(len(ids), k))
-                scores.append(np.take_along_axis(s, best, 1).ravel())
-                others.append(ids[best].ravel())
-            if not who:
-                continue
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(lens))]).astype(np.int32)
+                found = np.take_along_axis(s, best, 1)
+                news = found > -np.inf
+                learned = news.any(1)
+                who.append(ids[learned])
+                lens.append(news.sum(1)[learned])
+                scores.append(found[news])
+                others.append(ids[best[news]])
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(lens or [np.zeros(0, int)]))]).astype(np.int32)
             near = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(scores).astype(np.float32)), pa.array(np.concatenate(others))], names=["s", "w"]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), near], names=["node", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), near], names=["node", "news"])
     return run
 
 
-_NEAR = "node long, near array<struct<s: float, w: long>>"
+_NEWS = "node long, news array<struct<s: float, w: long>>"
+
 
+def _best(news: DataFrame, graph: DataFrame | None, degree: int) -> DataFrame:
+    """(node, near): the nearest ``degree`` of what each node knew and was told, nearest first.
 
-def _best(told: DataFrame, degree: int) -> DataFrame:
-    """The nearest ``degree`` of everything each node was told; lists are short, see the bounds above."""
-    everything = F.array_distinct(F.flatten(F.collect_list("near")))
-    return told.groupBy("node").agg(F.slice(F.sort_array(everything, asc=False), 1, degree).alias("near"))
+    What it did not know before is marked ``fresh``. The lists are short, see the bounds above.
+    """
+    told = F.array_distinct(F.flatten(F.collect_list("news")))
+    if graph is None:
+        known, both = None, news.groupBy("node").agg(told.alias("told"))
+        fresh = F.col("told")
+    else:
+        rows = news.withColumn("known", F.lit(None).cast("array<struct<s: float, w: long>>")).unionByName(
+            graph.select("node", F.lit(None).cast("array<struct<s: float, w: long>>").alias("news"),
+                         F.transform("near", lambda e: F.struct(e["s"].alias("s"), e["w"].alias("w"))).alias("known")))
+        both = rows.groupBy("node").agg(told.alias("told"), F.flatten(F.collect_list("known")).alias("known"))
+        known = F.transform("known", lambda e: e["w"])
+        fresh = F.filter("told", lambda e: ~F.array_contains(known, e["w"]))
+    lists = F.transform(fresh, lambda e: F.struct(e["s"].alias("s"), e["w"].alias("w"), F.lit(True).alias("fresh")))
+    if known is not None:
+        lists = F.concat(lists, F.transform("known", lambda e: F.struct(
+            e["s"].alias("s"), e["w"].alias("w"), F.lit(False).alias("fresh"))))
+    return both.select("node", F.slice(F.sort_array(lists, asc=False), 1, degree).alias("near"))
 
 
 def first_lists(small: DataFrame, n: int, degree: int, trees: int, leaf: int, seed: int) -> DataFrame:
@@ -172,29 +196,36 @@ def first_lists(small: DataFrame, n: int, degree: int, trees: int, leaf: int, se
     placed = saved(planted.unionByName(hashed), "leaves")
     crowd = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * leaf)).alias("parts"))
     cut = placed.join(crowd, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
-    rows = cut.groupBy("tree", "leaf", "part").agg(F.collect_list("node").alias("members"),
-                                                   F.collect_list("small").alias("small"))
-    lists = saved(_best(rows.select("members", "small").mapInArrow(_meet(degree), _NEAR), degree), "graph")
+    rows = cut.groupBy("tree", "leaf", "part").agg(
+        F.collect_list("node").alias("members"), F.collect_list("small").alias("small"),
+        F.collect_list(F.lit(-2.0).cast("float")).alias("worst"), F.collect_list(F.lit(True)).alias("fresh"))
+    news = rows.drop("tree", "leaf", "part").mapInArrow(_meet(degree), _NEWS)
+    lists = saved(_best(news, None, degree), "graph")
     discard(placed)
     return lists
 
 
 def kept_edges(graph: DataFrame, degree: int) -> DataFrame:
-    """(u, v): v is a neighbour of u and u is among the nearest ``degree`` that name v."""
-    edges = graph.select(F.col("node").alias("u"), F.explode("near").alias("e")).select("u", F.col("e.w").alias("v"), "e.s")
+    """(u, v, fresh): v is a neighbour of u and u is among the nearest ``degree`` that name v."""
+    edges = graph.select(F.col("node").alias("u"), F.explode("near").alias("e")).select(
+        "u", F.col("e.w").alias("v"), "e.s", "e.fresh")
     rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("s"), "u"))
-    return edges.withColumn("r", rank).filter(F.col("r") <= degree).select("u", "v")
+    return edges.withColumn("r", rank).filter(F.col("r") <= degree).select("u", "v", "fresh")
 
 
 def improve(graph: DataFrame, small: DataFrame, degree: int, told: int) -> DataFrame:
     """One round: the neighbours of each node meet, and every node keeps the nearest it knows."""
-    sides = F.explode(F.array(F.struct(F.col("u").alias("centre"), F.col("v").alias("node")),
-                              F.struct(F.col("v").alias("centre"), F.col("u").alias("node"))))
-    pairs = kept_edges(graph, degree).select(sides.alias("p")).select("p.centre", "p.node").distinct()
-    rows = (pairs.join(small, "node").groupBy("centre")
-            .agg(F.collect_list("node").alias("members"), F.collect_list("small").alias("small")))
-    news = rows.select("members", "small").mapInArrow(_meet(told), _NEAR)
-    return saved(_best(news.unionByName(graph.select("node", "near")), degree), "graph")
+    sides = F.explode(F.array(F.struct(F.col("u").alias("centre"), F.col("v").alias("node"), "fresh"),
+                              F.struct(F.col("v").alias("centre"), F.col("u").alias("node"), "fresh")))
+    pairs = (kept_edges(graph, degree).select(sides.alias("p")).select("p.*")
+             .groupBy("node", "centre").agg(F.max("fresh").alias("fresh")))
+    worst = F.when(F.size("near") < degree, F.lit(-2.0)).otherwise(F.element_at("near", -1)["s"]).cast("float")
+    known = small.join(graph.select("node", worst.alias("worst")), "node", "left").select(
+        "node", "small", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+    rows = (pairs.join(known, "node").groupBy("centre").agg(
+        F.collect_list("node").alias("members"), F.collect_list("small").alias("small"),
+        F.collect_list("worst").alias("worst"), F.collect_list("fresh").alias("fresh")))
+    return saved(_best(rows.drop("centre").mapInArrow(_meet(told), _NEWS), graph, degree), "graph")
 
 
 def build_graph(small: DataFrame, n: int, degree: int = DEGREE, rounds: int = ROUNDS, told: int = TOLD,
