@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import exact_dedup, license_scan, line_dedup, mixing, nn_descent, packing, quality, simhash_dedup, url_filter
+from lodestrata.llm import exact_dedup, license_scan, line_dedup, mixing, nn_descent, packing, quality, secret_scan, simhash_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": nn_descent.op1_nn_descent,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_line_dedup": line_dedup.op9_line_dedup,
