@@ -161,3 +161,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop(ROW)
+
+
+def apply_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
+              seed: int = 42) -> DataFrame:
+    """The documents as often as ``mix`` takes them, with all their columns.
+
+    A document without words counts for nothing in any target and is passed on once.
+    """
+    taken = mix(docs, weights, share, most, block, seed)
+    times = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1))
+    taken = taken.select(F.col(ROW).alias("__taken"), times.alias("__times")).filter("__times > 0")
+    return (numbered(docs).join(taken, F.col(ROW) == F.col("__taken"))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns))

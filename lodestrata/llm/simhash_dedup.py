@@ -196,3 +196,9 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).drop(ROW)
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """The documents that ``simhash_groups`` keeps, with all their columns."""
+    kept = simhash_groups(docs, shingle, radius, seed).filter("kept").select(F.col(ROW).alias("__kept"))
+    return numbered(docs).join(kept, F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
