@@ -1,9 +1,8 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-1. Texts are cut into lines; a line is normalised (lower case, everything but letters and
-   digits becomes one blank) and hashed. One exploded aggregate gives each line its 64-bit
-   SimHash over pairs of neighbouring words: the 64 counters of a line are 22 sums of
-   packed 21-bit lanes.
+1. Texts are cut into lines; a line is normalised (lower case, blanks at its ends cut) and
+   hashed. One exploded aggregate gives each line its 64-bit SimHash over pairs of
+   neighbouring words: the 64 counters are eight sums of packed 7-bit lanes.
 2. Lines with equal normalised text are one class from here on (map-side combined), so a
    line that occurs a million times is one row. Texts are not shuffled.
 3. The fingerprint is cut into four blocks of 16 bits. Two fingerprints that differ in at most 3
@@ -23,8 +22,7 @@ of dominating components is small enough to broadcast at any size.
 
 Defined cases: a line without letters and digits (blank, rules, "***") is never compared
 and always stays, with null group columns; a null text has no lines; null doc_ids sort
-last; repeated rows are rows of their own, the first one keeps its lines; a line of more than
-``UNIT`` characters is handled in pieces of that length; an empty table gives an empty
+last; repeated rows are rows of their own, the first one keeps its lines; an empty table gives an empty
 result; extra columns are ignored. A document that loses all its lines stays, with an empty
 text.
 """
@@ -42,87 +40,111 @@ from lodestrata.llm.components import connected_components
 SIMILARITY = 0.8
 MOST_BITS = 12
 LONG_CHARS = 1000
-UNIT = 1_000_000
 BLOCKS = 4
 BLOCK_BITS = 16
-LANE_BITS = 21
-LANES = (1 << 0) | (1 << 21) | (1 << 42)
 #: A component is skipped in buckets where it has at least this many classes; changes the work, not the result.
 DOMINANT = 32
 
+#: Slots of the filter for lines whose texts are compared.
+SLOTS = 1 << 20
 #: Edits looked for before the whole band of the limit is.
 NARROW = 32
 
-_CUT = f"(?<=\n)|(?<=\\G(?s:.{{{UNIT}}}))"
+#: A lane of 7 bits counts up to 127, so that many pairs of words are summed in one row.
+LANE_BITS = 7
+LANES = sum(1 << (LANE_BITS * j) for j in range(9))
+SEGMENT = (1 << LANE_BITS) - 1
 
 
 def units(text: Column) -> Column:
-    """Lines of a text with their line ends; joined together they are the text again."""
-    return F.split(text, _CUT)
+    """Lines of a text; joined by line ends they are the text again."""
+    return F.split(text, "\n")
 
 
 def normalise(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.btrim(F.lower(line), F.lit(" \t\r"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, row number, line number and normalised text of every line that has letters or digits."""
     exploded = numbered(docs.select("doc_id", "text")).select("doc_id", ROW, F.posexplode(units(F.col("text"))).alias("line_no", "line"))
-    return exploded.select("doc_id", ROW, "line_no", normalise(F.col("line")).alias("norm")).filter("norm <> ''")
+    return exploded.select("doc_id", ROW, "line_no", normalise(F.col("line")).alias("norm")).filter(F.col("norm").rlike(r"[\p{L}\p{N}]"))
+
+
+def _majority(counts: list[Column], n: Column) -> Column:
+    """The 64 bits that are set in more than half of ``n``."""
+    bits = [F.when(c * 2 > n, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b, c in enumerate(counts)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
 def fingerprinted(lines: DataFrame) -> DataFrame:
-    """doc_id, row number, line_no, h (hash of the normalised text), chars and SimHash ``sim`` of every line."""
+    """doc_id, row number, line_no, h (hash of the normalised text), chars and SimHash ``sim`` of every line.
+
+    The features are pairs of neighbouring words (the last word by itself). Up to ``SEGMENT`` of
+    them are counted in eight sums of packed lanes; a line of more is summed from several
+    such rows, lane by lane.
+    """
     words = F.split("norm", " ")
     pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
-    keys = ["doc_id", ROW, "line_no", "h", "chars"]
-    spread = lines.select("doc_id", ROW, "line_no", F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"),
-                          F.explode(pairs).alias("p")).select(*keys, F.xxhash64("p.a", "p.b").alias("x"))
+    line = ["doc_id", ROW, "line_no", "h", "chars", "words"]
+    # What belongs to the line is computed before the rows are multiplied.
+    whole = lines.select("doc_id", ROW, "line_no", F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"),
+                         F.size(words).alias("words"), pairs.alias("pairs"))
+    spread = whole.select(*line, F.posexplode("pairs").alias("at", "p")).select(
+        *line, F.floor(F.col("at") / F.lit(SEGMENT)).cast("int").alias("part"), F.xxhash64("p.a", "p.b").alias("x"))
+    lanes = [f"s{k}" for k in range(LANE_BITS)]
     sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(LANE_BITS)]
-    last = F.sum(F.shiftrightunsigned("x", 63)).alias("s63")
-    counted = spread.groupBy(*keys).agg(*sums, last, F.count(F.lit(1)).alias("n"))
-
-    def bit(b: int) -> Column:
-        lane, k = divmod(b, LANE_BITS)
-        count = F.col("s63") if b == 63 else F.shiftrightunsigned(f"s{k}", lane * LANE_BITS).bitwiseAND((1 << LANE_BITS) - 1)
-        return F.when(count * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0))
-
-    sim = reduce(lambda a, b: a.bitwiseOR(b), [bit(b) for b in range(64)])
-    return counted.select(*keys, sim.alias("sim"))
+    parts = saved(spread.groupBy(*line, "part").agg(*sums, F.sum(F.shiftrightunsigned("x", 63)).alias("s63")), "parts")
+    # Bit k + 7 j is lane j of sum k.
+    counts = [F.shiftrightunsigned(lanes[b % LANE_BITS], LANE_BITS * (b // LANE_BITS)).bitwiseAND(SEGMENT) for b in range(63)]
+    counts.append(F.col("s63"))
+    short = parts.filter(F.col("words") <= SEGMENT).select(*line, _majority(counts, F.col("words")).alias("sim"))
+    long = (parts.filter(F.col("words") > SEGMENT).groupBy(*line).agg(*[F.sum(c).alias(f"c{b}") for b, c in enumerate(counts)])
+            .select(*line, _majority([F.col(f"c{b}") for b in range(64)], F.col("words")).alias("sim")))
+    return short.unionByName(long).drop("words")
 
 
 def _block(q: int) -> Column:
     return F.shiftrightunsigned("sim", BLOCK_BITS * q).bitwiseAND((1 << BLOCK_BITS) - 1)
 
 
-def _differ(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _may_be_near(similarity: float) -> Column:
+    """At most ``MOST_BITS`` bits differ, and the lengths allow the similarity (where characters count)."""
+    shorter, longer = F.least("a_chars", "b_chars"), F.greatest("a_chars", "b_chars")
+    lengths = (shorter >= F.lit(similarity - 1e-9) * longer) | (longer > LONG_CHARS)
+    return (F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= MOST_BITS) & lengths
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
+def star_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Each class with the smallest class that shares two whole blocks: at most six pairs a class."""
     twos = [(p, q) for p in range(BLOCKS) for q in range(p + 1, BLOCKS)]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftleft(_block(p), BLOCK_BITS).bitwiseOR(_block(q)).alias("v"))
                                for i, (p, q) in enumerate(twos)]))
-    rows = classes.select("h", "sim", keys.alias("k")).select("h", "sim", "k.i", "k.v")
-    first = (rows.groupBy("i", "v").agg(F.min(F.struct("h", "sim")).alias("first"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("i", "v", F.col("first.h").alias("b"), F.col("first.sim").alias("b_sim")))
-    return (rows.join(saved(first, "leaders"), ["i", "v"]).filter(F.col("h") != F.col("b"))
-            .filter(_differ("sim", "b_sim") <= MOST_BITS).select(F.col("h").alias("a"), "b").distinct())
+    rows = classes.select(F.col("h").alias("a"), F.col("sim").alias("a_sim"), F.col("chars").alias("a_chars"),
+                          keys.alias("k")).select("a", "a_sim", "a_chars", "k.i", "k.v")
+    first = (rows.groupBy("i", "v").agg(F.min(F.struct("a", "a_sim", "a_chars")).alias("first"), F.count(F.lit(1)).alias("n"))
+             .filter("n > 1").select("i", "v", F.col("first.a").alias("b"), F.col("first.a_sim").alias("b_sim"),
+                                     F.col("first.a_chars").alias("b_chars")))
+    return (rows.join(saved(first, "leaders"), ["i", "v"]).filter((F.col("a") != F.col("b")) & _may_be_near(similarity))
+            .select("a", "b").distinct())
 
 
-def block_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a block and differ in at most ``MOST_BITS`` bits."""
+def block_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs of classes of different components that share a block and may be near."""
     key = F.explode(F.array(*[_block(q).bitwiseOR(F.lit(q << BLOCK_BITS)).cast("int") for q in range(BLOCKS)]))
-    rows = classes.select("h", "sim", "component", key.alias("key"))
+    rows = classes.select("h", "sim", "chars", "component", key.alias("key"))
     crowd = rows.groupBy("key", "component").count().filter(F.col("count") >= DOMINANT)
     # One row per bucket at most, of which there are BLOCKS * 2^BLOCK_BITS.
     major = F.broadcast(saved(crowd.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("major")), "major"))
     marked = rows.join(major, "key", "left").withColumn("inside", F.coalesce(F.col("component") == F.col("major"), F.lit(False)))
-    left = marked.filter("NOT inside").select("key", F.col("h").alias("a"), F.col("sim").alias("a_sim"), F.col("component").alias("a_comp"))
-    right = marked.select("key", F.col("h").alias("b"), F.col("sim").alias("b_sim"), F.col("component").alias("b_comp"), "inside")
+
+    def side(name: str) -> list[Column]:
+        return [F.col("h").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("sim", "chars", "component")]]
+
+    left = marked.filter("NOT inside").select("key", *side("a"))
+    right = marked.select("key", "inside", *side("b"))
     return (left.join(right, "key")
-            .filter((_differ("a_sim", "b_sim") <= MOST_BITS) & (F.col("a_comp") != F.col("b_comp"))
+            .filter(_may_be_near(similarity) & (F.col("a_component") != F.col("b_component"))
                     & (F.col("inside") | (F.col("a") < F.col("b"))))
             .select("a", "b").distinct())
 
@@ -153,7 +175,11 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     """The pairs (a, b) whose texts are similar; only texts of classes in a pair are read out."""
     pairs = saved(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = saved(lines_of(docs).select(F.xxhash64("norm").alias("h"), "norm").join(wanted, "h", "left_semi")
+    slot = F.pmod("h", F.lit(SLOTS))
+    # A row per slot at most: a bounded filter that keeps nearly all other lines from being shuffled.
+    slots = F.broadcast(wanted.select(slot.alias("slot")).distinct())
+    texts = saved(lines_of(docs).select(F.xxhash64("norm").alias("h"), "norm").withColumn("slot", slot)
+                  .join(slots, "slot", "left_semi").drop("slot").join(wanted, "h", "left_semi")
                   .groupBy("h").agg(F.first("norm").alias("norm")), "texts")
     a = texts.select(F.col("h").alias("a"), F.col("norm").alias("a_norm"))
     b = texts.select(F.col("h").alias("b"), F.col("norm").alias("b_norm"))
@@ -164,13 +190,13 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per line with letters or digits: doc_id, row number, line_no, the group's kept line, and kept."""
     lines = saved(fingerprinted(lines_of(docs)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW, "line_no")
-    classes = saved(lines.groupBy("h").agg(F.first("sim").alias("sim"), F.min(place).alias("first"),
+    classes = saved(lines.groupBy("h").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min(place).alias("first"),
                                            F.count(F.lit(1)).alias("count")), "classes")
-    near = verified(star_pairs(classes), docs, similarity)
+    near = verified(star_pairs(classes, similarity), docs, similarity)
     groups = connected_components(near)
-    named = saved(classes.select("h", "sim").join(groups, F.col("h") == F.col("node"), "left")
-                  .select("h", "sim", F.coalesce("component", "h").alias("component")), "named")
-    more = verified(block_pairs(named), docs, similarity)
+    named = saved(classes.select("h", "sim", "chars").join(groups, F.col("h") == F.col("node"), "left")
+                  .select("h", "sim", "chars", F.coalesce("component", "h").alias("component")), "named")
+    more = verified(block_pairs(named, similarity), docs, similarity)
     groups = connected_components(near.unionByName(more))
     labelled = saved(classes.select("h", "first", "count").join(groups, F.col("h") == F.col("node"), "left")
                      .select("h", "first", "count", F.coalesce("component", "h").alias("component")), "labelled")
@@ -191,7 +217,7 @@ def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> Data
                .agg(F.collect_list("line_no").alias("__drop")))
     joined = numbered(docs).join(dropped, F.col(ROW) == F.col("__key"), "left")
     stay = F.filter(units(F.col("text")), lambda line, i: ~F.array_contains(F.col("__drop"), i))
-    out = joined.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "")))
+    out = joined.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars"))
                              .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
