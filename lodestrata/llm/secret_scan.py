@@ -141,7 +141,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
     ``findings`` may hold labelled findings (secret, start, before, after, label).
     """
     words = saved(words_of(docs), "words")
-    rows = saved(features(candidates(docs), words).withColumn("label", rule_label()), "candidates")
+    rows = saved(features(saved(candidates(docs), "found"), words).withColumn("label", rule_label()), "candidates")
     if findings is None:
         labelled = rows.filter("label IS NOT NULL")
     else:
