@@ -134,8 +134,9 @@ def exact_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         F.lit(True).alias("kept"), "text_sha256")
     maybe = tested.filter("__maybe").drop("__maybe")
     best = F.min(F.struct((-F.col("__len")).alias("l"), F.col("doc_id").isNull().alias("n"), "doc_id", ROW))
-    groups = (maybe.groupBy("text_sha256").agg(best.alias("__best"), F.count(F.lit(1)).alias("group_size"))
-              .select(F.col("text_sha256").alias("__key"), "__best", "group_size"))
+    # Written first: between two plain scans AQE can split the rows of a hot group.
+    groups = saved(maybe.groupBy("text_sha256").agg(best.alias("__best"), F.count(F.lit(1)).alias("group_size"))
+                   .select(F.col("text_sha256").alias("__key"), "__best", "group_size"), "groups")
     found = maybe.join(groups, maybe["text_sha256"] == groups["__key"]).select(
         "doc_id", ROW, F.col("__best.doc_id").alias("keep_id"), "group_size",
         (F.col(ROW) == F.col(f"__best.{ROW}")).alias("kept"), "text_sha256")
