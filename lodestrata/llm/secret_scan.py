@@ -19,8 +19,8 @@ Bounds, all parameters: dictionary and letter pairs come from ``MAX_WORD_DOCS``
 (smallest hash of the id), the dictionary keeps ``MAX_WORDS`` words, and at most ``MAX_PER_CLASS``
 findings of each label train the forest. Candidates are taken from whole texts of all documents.
 
-Defined cases: a null text has no candidates; without findings of both labels the score is
-1 where a rule says secret, else 0; repeated rows have their own candidates; candidates that
+Defined cases: a null text has no candidates; with fewer than ``MIN_PER_CLASS`` findings of a
+label there is no forest and the score is 1 where a rule says secret, else 0; repeated rows have their own candidates; candidates that
 overlap do not occur (they are taken left to right); an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -42,6 +42,7 @@ BEFORE, AFTER = 60, 30
 MAX_WORD_DOCS = 2_000
 MAX_WORDS = 20_000
 MAX_PER_CLASS = 5_000
+MIN_PER_CLASS = 20
 TREES, DEPTH, SEED = 30, 7, 42
 THRESHOLD = 0.5
 
@@ -148,7 +149,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
         given = numbered(findings.select("secret", "start", "before", "after", "label")).withColumn("nth", F.lit(0))
         labelled = features(given, words)
     training = sample_findings(labelled)
-    sides = training.select("label").distinct().count()
+    sides = training.groupBy("label").count().filter(F.col("count") >= MIN_PER_CLASS).count()
     if sides == 2:
         from pyspark.ml.classification import RandomForestClassifier
         from pyspark.ml.feature import VectorAssembler
