@@ -154,21 +154,24 @@ def _best(news: DataFrame, graph: DataFrame | None, degree: int) -> DataFrame:
 
     What it did not know before is marked ``fresh``. The lists are short, see the bounds above.
     """
-    told = F.array_distinct(F.flatten(F.collect_list("news")))
+    told = F.sort_array(F.flatten(F.collect_list("news")), asc=False).alias("told")
+    none = F.lit(None).cast("array<struct<s: float, w: long>>")
     if graph is None:
-        known, both = None, news.groupBy("node").agg(told.alias("told"))
-        fresh = F.col("told")
+        both = news.groupBy("node").agg(told).withColumn("known", F.array().cast("array<struct<s: float, w: long>>"))
     else:
-        rows = news.withColumn("known", F.lit(None).cast("array<struct<s: float, w: long>>")).unionByName(
-            graph.select("node", F.lit(None).cast("array<struct<s: float, w: long>>").alias("news"),
-                         F.transform("near", lambda e: F.struct(e["s"].alias("s"), e["w"].alias("w"))).alias("known")))
-        both = rows.groupBy("node").agg(told.alias("told"), F.flatten(F.collect_list("known")).alias("known"))
-        known = F.transform("known", lambda e: e["w"])
-        fresh = F.filter("told", lambda e: ~F.array_contains(known, e["w"]))
-    lists = F.transform(fresh, lambda e: F.struct(e["s"].alias("s"), e["w"].alias("w"), F.lit(True).alias("fresh")))
-    if known is not None:
-        lists = F.concat(lists, F.transform("known", lambda e: F.struct(
-            e["s"].alias("s"), e["w"].alias("w"), F.lit(False).alias("fresh"))))
+        known = F.transform("near", lambda e: F.struct(e["s"].alias("s"), e["w"].alias("w")))
+        rows = news.withColumn("known", none).unionByName(graph.select("node", none.alias("news"), known.alias("known")))
+        both = rows.groupBy("node").agg(told, F.flatten(F.collect_list("known")).alias("known"))
+    before = F.transform("known", lambda e: e["w"])
+
+    def is_news(e: Column, i: Column) -> Column:
+        # Sorted: the same node stands next to itself.
+        return ((i == 0) | (e["w"] != F.get("told", i - 1)["w"])) & ~F.array_contains(before, e["w"])
+
+    def entry(fresh: bool):
+        return lambda e: F.struct(e["s"].alias("s"), e["w"].alias("w"), F.lit(fresh).alias("fresh"))
+    # The nearest news come first, so more than ``degree`` of them are never needed.
+    lists = F.concat(F.transform(F.slice(F.filter("told", is_news), 1, degree), entry(True)), F.transform("known", entry(False)))
     return both.select("node", F.slice(F.sort_array(lists, asc=False), 1, degree).alias("near"))
 
 
@@ -292,7 +295,7 @@ def _score_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], names=["q", "node", "score"])
 
 
-def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, degree: int = DEGREE, rounds: int = ROUNDS,
+def nearest(vectors: DataFrame, is_query: Column | str, top: int = TOP, degree: int = DEGREE, rounds: int = ROUNDS,
             beam: int = BEAM, pool: int = POOL, search_rounds: int = SEARCH_ROUNDS, seed: int = SEED) -> DataFrame:
     """The ``top`` nearest rows of every query row: query_id, rank, vec_id, score."""
     rows = valid_rows(vectors)
