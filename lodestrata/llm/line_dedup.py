@@ -14,8 +14,8 @@
 5. Connected groups keep one occurrence, that of the smallest (doc_id, row, line number).
 
 Large groups of similar lines are not compared pair by pair. First every class is compared
-with the smallest class that shares two whole blocks with it, a linear number of pairs, and
-what this connects becomes one component. Then, in a bucket that a component dominates, only
+with its neighbour in the order of the fingerprint in each of its four buckets, a linear number
+of pairs, and what this connects becomes one component. Then, in a bucket that a component dominates, only
 the classes outside of it are compared with the bucket's rows; pairs inside one component
 cannot change the result and are skipped. There are 262,144 buckets at most, so the table
 of dominating components is small enough to broadcast at any size.
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ROW, numbered, saved, table
@@ -50,10 +50,10 @@ SLOTS = 1 << 20
 #: Edits looked for before the whole band of the limit is.
 NARROW = 32
 
-#: A lane of 7 bits counts up to 127, so that many pairs of words are summed in one row.
-LANE_BITS = 7
-LANES = sum(1 << (LANE_BITS * j) for j in range(9))
-SEGMENT = (1 << LANE_BITS) - 1
+#: A sum has eight lanes of a byte. Up to 127 pairs of words are summed in one row, so a lane keeps its top bit free.
+LANES = 0x0101010101010101
+LOW_LANES = 0x0001010101010101
+SEGMENT = 127
 
 
 def units(text: Column) -> Column:
@@ -71,10 +71,27 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return exploded.select("doc_id", ROW, "line_no", normalise(F.col("line")).alias("norm")).filter(F.col("norm").rlike(r"[\p{L}\p{N}]"))
 
 
-def _majority(counts: list[Column], n: Column) -> Column:
-    """The 64 bits that are set in more than half of ``n``."""
-    bits = [F.when(c * 2 > n, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b, c in enumerate(counts)]
-    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+def _or(columns: list[Column]) -> Column:
+    return reduce(lambda x, y: x.bitwiseOR(y), columns)
+
+
+def _bit(b: int) -> Column:
+    return F.lit(1 << b if b < 63 else -(1 << 63))
+
+
+def _majority_of_lanes(n: Column) -> Column:
+    """Bits set in more than half of ``n``, from eight sums; bit k + 8 j is lane j of sum k.
+
+    Adding 127 - n div 2 to every lane sets its top bit where the count is above n div 2. The
+    last lane is compared by itself, because its top bit would be the sign.
+    """
+    add = (F.lit(SEGMENT) - F.shiftright(n, 1)) * F.lit(LOW_LANES)
+    found = []
+    for k in range(8):
+        low = F.col(f"s{k}").bitwiseAND((1 << 56) - 1) + add
+        found.append(F.shiftleft(F.shiftrightunsigned(low.bitwiseAND(LOW_LANES << 7), 7), k))
+        found.append(F.when(F.shiftrightunsigned(f"s{k}", 56) * 2 > n, _bit(k + 56)).otherwise(F.lit(0)))
+    return _or(found)
 
 
 def fingerprinted(lines: DataFrame) -> DataFrame:
@@ -86,21 +103,20 @@ def fingerprinted(lines: DataFrame) -> DataFrame:
     """
     words = F.split("norm", " ")
     pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
-    line = ["doc_id", ROW, "line_no", "h", "chars", "words"]
+    of_line = ["doc_id", "h", "chars", "words"]
+    key = [ROW, "line_no"]
     # What belongs to the line is computed before the rows are multiplied.
-    whole = lines.select("doc_id", ROW, "line_no", F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"),
+    whole = lines.select("doc_id", *key, F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"),
                          F.size(words).alias("words"), pairs.alias("pairs"))
-    spread = whole.select(*line, F.posexplode("pairs").alias("at", "p")).select(
-        *line, F.floor(F.col("at") / F.lit(SEGMENT)).cast("int").alias("part"), F.xxhash64("p.a", "p.b").alias("x"))
-    lanes = [f"s{k}" for k in range(LANE_BITS)]
-    sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(LANE_BITS)]
-    parts = saved(spread.groupBy(*line, "part").agg(*sums, F.sum(F.shiftrightunsigned("x", 63)).alias("s63")), "parts")
-    # Bit k + 7 j is lane j of sum k.
-    counts = [F.shiftrightunsigned(lanes[b % LANE_BITS], LANE_BITS * (b // LANE_BITS)).bitwiseAND(SEGMENT) for b in range(63)]
-    counts.append(F.col("s63"))
-    short = parts.filter(F.col("words") <= SEGMENT).select(*line, _majority(counts, F.col("words")).alias("sim"))
-    long = (parts.filter(F.col("words") > SEGMENT).groupBy(*line).agg(*[F.sum(c).alias(f"c{b}") for b, c in enumerate(counts)])
-            .select(*line, _majority([F.col(f"c{b}") for b in range(64)], F.col("words")).alias("sim")))
+    spread = whole.select(*key, *of_line, F.posexplode("pairs").alias("at", "p")).select(
+        *key, *of_line, F.floor(F.col("at") / F.lit(SEGMENT)).cast("int").alias("part"), F.xxhash64("p.a", "p.b").alias("x"))
+    sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(8)]
+    parts = saved(spread.groupBy(*key, "part").agg(*[F.any_value(c).alias(c) for c in of_line], *sums), "parts")
+    line = [*key, *of_line]
+    short = parts.filter(F.col("words") <= SEGMENT).select(*line, _majority_of_lanes(F.col("words").cast("long")).alias("sim"))
+    counts = [F.sum(F.shiftrightunsigned(f"s{b % 8}", b - b % 8).bitwiseAND(255)).alias(f"c{b}") for b in range(64)]
+    long = (parts.filter(F.col("words") > SEGMENT).groupBy(*line).agg(*counts)
+            .select(*line, _or([F.when(F.col(f"c{b}") * 2 > F.col("words"), _bit(b)).otherwise(F.lit(0)) for b in range(64)]).alias("sim")))
     return short.unionByName(long).drop("words")
 
 
@@ -115,18 +131,21 @@ def _may_be_near(similarity: float) -> Column:
     return (F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim"))) <= MOST_BITS) & lengths
 
 
-def star_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Each class with the smallest class that shares two whole blocks: at most six pairs a class."""
-    twos = [(p, q) for p in range(BLOCKS) for q in range(p + 1, BLOCKS)]
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftleft(_block(p), BLOCK_BITS).bitwiseOR(_block(q)).alias("v"))
-                               for i, (p, q) in enumerate(twos)]))
-    rows = classes.select(F.col("h").alias("a"), F.col("sim").alias("a_sim"), F.col("chars").alias("a_chars"),
-                          keys.alias("k")).select("a", "a_sim", "a_chars", "k.i", "k.v")
-    first = (rows.groupBy("i", "v").agg(F.min(F.struct("a", "a_sim", "a_chars")).alias("first"), F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("i", "v", F.col("first.a").alias("b"), F.col("first.a_sim").alias("b_sim"),
-                                     F.col("first.a_chars").alias("b_chars")))
-    return (rows.join(saved(first, "leaders"), ["i", "v"]).filter((F.col("a") != F.col("b")) & _may_be_near(similarity))
-            .select("a", "b").distinct())
+def chain_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Each class with the next one of its bucket in the order of the fingerprint: at most four pairs a class.
+
+    Members of a large family of similar lines stand next to each other there. Buckets are cut by four
+    more bits, so that one family is several tasks; what this parts is left to ``block_pairs``.
+    """
+    around = [F.shiftleft("sim", 64 - BLOCK_BITS * q).bitwiseOR(F.shiftrightunsigned("sim", BLOCK_BITS * q)) if q else F.col("sim")
+              for q in range(BLOCKS)]  # block q in the lowest bits
+    turns = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), a.alias("t")) for q, a in enumerate(around)]))
+    rows = classes.select("h", "sim", "chars", turns.alias("k")).select(
+        F.col("h").alias("a"), F.col("sim").alias("a_sim"), F.col("chars").alias("a_chars"),
+        F.col("k.t").bitwiseAND((1 << BLOCK_BITS + 4) - 1).bitwiseOR(F.shiftleft("k.q", BLOCK_BITS + 4)).alias("key"), "k.t")
+    order = Window.partitionBy("key").orderBy("t", "a")
+    return (rows.select("a", "a_sim", "a_chars", *[F.lag(f"a{c}").over(order).alias(f"b{c}") for c in ("", "_sim", "_chars")])
+            .filter(F.col("b").isNotNull() & _may_be_near(similarity)).select("a", "b").distinct())
 
 
 def block_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -192,7 +211,7 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW, "line_no")
     classes = saved(lines.groupBy("h").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min(place).alias("first"),
                                            F.count(F.lit(1)).alias("count")), "classes")
-    near = verified(star_pairs(classes, similarity), docs, similarity)
+    near = verified(chain_pairs(classes, similarity), docs, similarity)
     groups = connected_components(near)
     named = saved(classes.select("h", "sim", "chars").join(groups, F.col("h") == F.col("node"), "left")
                   .select("h", "sim", "chars", F.coalesce("component", "h").alias("component")), "named")
