@@ -31,27 +31,56 @@ def match_pieces(text: Column, pattern: str, groups: int) -> Column:
     return F.split(F.regexp_replace(clean, pattern, f"{_MARK}{fields}{_MARK}"), _MARK)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def match_spans(text: Column, pattern: str, groups: int) -> Column:
+    """The matches of ``pattern``: ARRAY<STRUCT<f,line,at>>, f being the whole match and its groups.
+
+    Positions are running sums over the pieces. They are taken in blocks of about the root of
+    the number of pieces (block totals first, then inside each block), so no long array is
+    copied for every match.
+    """
+    pieces = F.transform(match_pieces(text, pattern, groups), lambda p, i: let(F.split(p, _SEP), lambda f: F.struct(
+        (i % 2 == 1).alias("hit"), f.alias("f"), F.length(f[0]).alias("size"),
+        (F.length(f[0]) - F.length(F.translate(f[0], "\n", ""))).alias("lines"))))
+
+    def walk(items: Column, line: Column, at: Column, kind: str, keep, entry) -> Column:
+        return F.aggregate(
+            items, F.struct(line.alias("line"), at.alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["line"] + x["lines"]).alias("line"), (acc["at"] + x["size"]).alias("at"),
+                F.when(keep(x), F.concat(acc["out"], F.array(entry(acc, x)))).otherwise(acc["out"]).alias("out")))["out"]
+
+    def total(block: Column, field: str) -> Column:
+        return F.aggregate(block, F.lit(0), lambda n, x: n + x[field])
+
+    def in_blocks(all_pieces: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(all_pieces))).cast("int"), F.lit(1))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_pieces) - 1) / step).cast("int"))
+        return let(F.transform(numbers, lambda b: F.slice(all_pieces, b * step + 1, step)), with_blocks)
+
+    def with_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.struct(total(b, "lines").alias("lines"), total(b, "size").alias("size")))
+        starts = walk(totals, F.lit(1), F.lit(0), "struct<line:int,at:int>", lambda x: F.lit(True),
+                      lambda acc, x: F.struct(acc["line"].alias("line"), acc["at"].alias("at")))
+        return let(starts, lambda begin: F.flatten(F.zip_with(blocks, begin, lambda block, s: walk(
+            block, s["line"], s["at"], "struct<f:array<string>,line:int,at:int>", lambda x: x["hit"],
+            lambda acc, x: F.struct(x["f"].alias("f"), acc["line"].alias("line"), acc["at"].alias("at"))))))
+
+    return let(pieces, in_blocks)
+
+
 def placeholders(df: DataFrame, col: str) -> DataFrame:
     """One row per placeholder: raw, path, default, start, end, syntax, in reading order."""
     def found(pattern: str, groups: int, syntax: str) -> Column:
-        pieces = match_pieces(F.col(col), pattern, groups)
-        fields = F.transform(pieces, lambda p, i: F.struct(
-            i.alias("i"), F.split(p, _SEP).alias("f")))
-        spans = F.aggregate(
-            fields,
-            F.struct(F.lit(0).alias("at"), F.lit([]).cast(
-                "array<struct<raw:string,path:string,default:string,start:int,end:int,syntax:string>>").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["f"][0])).alias("at"),
-                F.when(x["i"] % 2 == 1, F.concat(acc["out"], F.array(F.struct(
-                    x["f"][0].alias("raw"),
-                    F.trim(x["f"][1]).alias("path"),
-                    (F.when(x["f"][2] != "", F.substring(x["f"][2], F.lit(2), F.length(x["f"][2]) - 2))
-                     if groups > 1 else F.lit(None).cast("string")).alias("default"),
-                    acc["at"].alias("start"),
-                    (acc["at"] + F.length(x["f"][0])).alias("end"),
-                    F.lit(syntax).alias("syntax"))))).otherwise(acc["out"]).alias("out")))
-        return spans["out"]
+        default = (lambda f: F.when(f[2] != "", F.substring(f[2], F.lit(2), F.length(f[2]) - 2))) if groups > 1 else \
+            (lambda f: F.lit(None).cast("string"))
+        return F.transform(match_spans(F.col(col), pattern, groups), lambda m: F.struct(
+            m["f"][0].alias("raw"), F.trim(m["f"][1]).alias("path"), default(m["f"]).alias("default"),
+            m["at"].alias("start"), (m["at"] + F.length(m["f"][0])).alias("end"), F.lit(syntax).alias("syntax")))
 
     both = F.concat(found(MUSTACHE, 2, "MUSTACHE"), found(DOT_PATH, 1, "DOT_PATH"))
     return df.select(*df.columns, F.inline(both))

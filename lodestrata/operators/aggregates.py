@@ -74,11 +74,12 @@ def import_stats_by_language(files: DataFrame, imports: DataFrame) -> DataFrame:
                              F.lit(None).cast("string").alias("import_type"))
     import_rows = imports.select(_section().alias("section"), F.lit(0).alias("f"), F.lit(1).alias("i"),
                                  "import_type")
-    both = file_rows.unionByName(import_rows).filter(F.col("section").isNotNull())
+    # Files of other languages count in the total only.
+    both = file_rows.unionByName(import_rows).fillna("other", ["section"])
     return (both.rollup("section")
             .agg(F.sum("f").alias("total_files"), F.sum("i").alias("total_imports"),
                  *[F.count_if(F.col("import_type") == x).alias(f"{x}_imports") for x in IMPORT_TYPES])
-            .withColumn("section", F.coalesce("section", F.lit("total"))))
+            .withColumn("section", F.coalesce("section", F.lit("total"))).filter("section <> 'other'"))
 
 
 def outline_stats(files: DataFrame, nodes: DataFrame, by_section: bool = False) -> DataFrame:

@@ -13,10 +13,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.template import match_pieces
+from lodestrata.functions.template import match_spans
 from lodestrata.operators.joins import nearest_scope
 
-_SEP = "\u0002"
+
+
+def _nested(opening: str, closing: str, depth: int = 24) -> str:
+    """Text with balanced brackets, ``depth`` levels deep.
+
+    Possessive loops over whole runs of plain characters: the matcher neither backtracks nor
+    recurses per character, so a signature may be of any length.
+    """
+    plain = f"[^{opening}{closing}]"
+    inner = f"{plain}*+"
+    for _ in range(depth):
+        inner = f"(?:{plain}++|[{opening}]{inner}[{closing}])*+"
+    return inner
+
+
+_ROUND = _nested("(", ")")
 
 # Text forms of imports, definitions, exports and guards.
 JS_IMPORT = ("import\\s+(?:type\\s+)?(?:(\\w+)\\s*,\\s*)?(?:\\{([^}]*)\\}|(\\w+)|\\*\\s+as\\s+(\\w+))"
@@ -25,16 +40,16 @@ JS_SIDE_EFFECT = "import\\s+['\"]([^'\"]+)['\"]"
 JS_REQUIRE = "(?:(?:const|let|var)\\s+(?:\\{([^}]*)\\}|(\\w+))\\s*=\\s*)?\\brequire\\(\\s*['\"]([^'\"]+)['\"]\\s*\\)"
 JS_DYNAMIC = "\\bimport\\(\\s*['\"]([^'\"]+)['\"]\\s*\\)"
 JS_REEXPORT = "export\\s+(?:\\{([^}]*)\\}|(\\*)(?:\\s+as\\s+\\w+)?)\\s+from\\s+['\"]([^'\"]+)['\"]"
-PY_IMPORT = "(?m)^[ \\t]*import[ \\t]+([^\\n#;]+)"
-PY_FROM = "(?m)^[ \\t]*from[ \\t]+(\\.*[\\w.]*)[ \\t]+import[ \\t]+(?:\\(([^)]*)\\)|([^\\n#;(]+))"
+PY_IMPORT = "(?m)(?:^|;)[ \\t]*import[ \\t]+([^\\n#;]+)"
+PY_FROM = "(?m)(?:^|;)[ \\t]*from[ \\t]+(\\.*[\\w.]*)[ \\t]+import[ \\t]+(?:\\(([^)]*)\\)|([^\\n#;(]+))"
 JS_CLASS = "(?:export\\s+)?(?:default\\s+)?class\\s+(\\w+)(?:\\s+extends\\s+(\\w+(?:\\.\\w+)*))?[^{}\\n]*\\{"
 PY_CLASS = "(?m)^((?:[ \\t]*@[^\\n]*\\n)*)([ \\t]*)class[ \\t]+(\\w+)[ \\t]*(?:\\(([^)]*)\\))?[ \\t]*:"
-JS_FUNCTION = "(?:export\\s+)?(?:default\\s+)?(async\\s+)?function\\s+(\\w+)\\s*\\(([^)]*)\\)"
-JS_ARROW = "(?:export\\s+)?const\\s+(\\w+)\\s*=\\s*(async\\s+)?\\(([^)]*)\\)\\s*(?::[^=\\n]+)?=>"
+JS_FUNCTION = "(?:export\\s+)?(?:default\\s+)?(async\\s+)?function\\s+(\\w+)\\s*\\((" + _ROUND + ")\\)"
+JS_ARROW = "(?:export\\s+)?const\\s+(\\w+)\\s*=\\s*(async\\s+)?\\((" + _ROUND + ")\\)\\s*(?::[^=\\n]+)?=>"
 PY_DEF = ("(?m)^((?:[ \\t]*@[^\\n]*\\n)*)([ \\t]*)(async[ \\t]+)?def[ \\t]+(\\w+)[ \\t]*"
-          "\\(((?:[^()]|\\([^()]*\\))*)\\)[ \\t]*(?:->[ \\t]*([^:\\n]+))?:")
+          "\\((" + _ROUND + ")\\)[ \\t]*(?:->[ \\t]*([^:\\n]+))?:")
 JS_METHOD = ("(?m)^[ \\t]+((?:(?:async|static|public|private|protected|get|set)[ \\t]+)*)(\\w+)[ \\t]*"
-             "\\(([^)]*)\\)[^;{}\\n]*\\{")
+             "\\((" + _ROUND + ")\\)[^;{}\\n]*\\{")
 JS_FIELD = ("(?m)^[ \\t]+((?:(?:static|public|private|protected|readonly)[ \\t]+)*)(#?\\w+)[ \\t]*"
             "(?::[ \\t]*([^=;\\n]+))?(?:=[ \\t]*([^;\\n]+))?;[ \\t]*$")
 PY_FIELD = "(?m)^[ \\t]+()([A-Za-z_]\\w*)[ \\t]*(?::[ \\t]*([^=\\n]+?))?[ \\t]*(?:=(?!=)[ \\t]*([^\\n]+))?$"
@@ -57,25 +72,9 @@ INSTANCE_GETTERS = ("get_instance", "getInstance", "instance")
 
 def matches(pattern: str, groups: list[str], content: str = "content") -> Column:
     """All matches of a pattern in the row's text: ARRAY<STRUCT<line,start,raw,groups...>>; empty groups are null."""
-    pieces = match_pieces(F.col(content), pattern, len(groups))
-    parts = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), F.split(p, _SEP).alias("f")))
-    fields = ",".join(f"`{g}`:string" for g in ["raw", *groups])
-
-    def newlines(text: Column) -> Column:
-        return F.length(text) - F.length(F.translate(text, "\n", ""))
-
-    def found(acc: Column, x: Column) -> Column:
-        return F.struct(acc["line"].alias("line"), acc["at"].alias("start"), x["f"][0].alias("raw"),
-                        *[F.nullif(x["f"][i + 1], F.lit("")).alias(g) for i, g in enumerate(groups)])
-
-    walked = F.aggregate(
-        parts,
-        F.struct(F.lit(1).alias("line"), F.lit(0).alias("at"),
-                 F.array().cast(f"array<struct<line:int,start:int,{fields}>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["line"] + newlines(x["f"][0])).alias("line"), (acc["at"] + F.length(x["f"][0])).alias("at"),
-            F.when(x["i"] % 2 == 1, F.concat(acc["out"], F.array(found(acc, x)))).otherwise(acc["out"]).alias("out")))
-    return walked["out"]
+    return F.transform(match_spans(F.col(content), pattern, len(groups)), lambda m: F.struct(
+        m["line"].alias("line"), m["at"].alias("start"), m["f"][0].alias("raw"),
+        *[F.nullif(m["f"][i + 1], F.lit("")).alias(g) for i, g in enumerate(groups)]))
 
 
 def _each(pattern: str, groups: list[str], shape, where=None) -> Column:
@@ -312,16 +311,8 @@ def guards(files: DataFrame, scopes: DataFrame) -> DataFrame:
         "condition", "error", "message")
 
 
-def _top_level_item(depth: int = 4) -> str:
-    plain = "[^,()\\[\\]{}]"
-    inner = plain
-    for _ in range(depth):
-        inner = f"(?:[^()\\[\\]{{}}]|\\({inner}*\\)|\\[{inner}*\\]|\\{{{inner}*\\}})" if inner != plain else \
-            "[^()\\[\\]{}]"
-    return f"(?:{plain}|\\({inner}*\\)|\\[{inner}*\\]|\\{{{inner}*\\}})+"
-
-
-TOP_LEVEL_ITEM = _top_level_item()
+# A parameter: no comma outside of brackets.
+TOP_LEVEL_ITEM = "(?:[^,()\\[\\]{}]++|[(\\[{]" + _nested("(\\[{", ")\\]}") + "[)\\]}])++"
 
 
 def param_array(text: str | Column, language: str | Column) -> Column:

@@ -46,9 +46,13 @@ def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def union_precedence(low: DataFrame, high: DataFrame, key: list[str]) -> DataFrame:
-    """Union of two key sets; on a shared key the row of ``high`` stays."""
-    both = low.withColumn("_ord", F.lit(0)).unionByName(high.withColumn("_ord", F.lit(1)))
-    return last_wins(both, key, ["_ord"]).drop("_ord")
+    """Union of two key sets; on a shared key the row of ``high`` stays.
+
+    Rows of one side with one key have no order of their own: the largest as JSON text stays.
+    """
+    tie = F.to_json(F.struct(*low.columns))
+    both = low.withColumn("_ord", F.lit(0)).unionByName(high.withColumn("_ord", F.lit(1))).withColumn("_tie", tie)
+    return last_wins(both, key, ["_ord", "_tie"]).drop("_ord", "_tie")
 
 
 # --- leaf rows ---------------------------------------------------------------------

@@ -30,11 +30,13 @@ def build_session(app: str = "lodestrata", master: str | None = None, **conf) ->
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor sees.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where nothing is
-    set (unit tests on one machine) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Where nothing is set a temporary
+    folder is made, but only in local mode (one machine, as in tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
