@@ -159,16 +159,15 @@ def x5(spark, sf):
             """CASE event_type WHEN 'view' THEN 'SETEX' WHEN 'signup' THEN 'SET' WHEN 'click' THEN 'EXPIRE' WHEN 'purchase' THEN 'PERSIST' ELSE CASE WHEN event_id % 3 = 0 THEN 'DEL' ELSE 'EXPIRE' END END AS op""",
             "'v' || CAST(event_id AS STRING) AS value",
             "CASE WHEN event_type = 'signup' OR event_type = 'purchase' THEN NULL ELSE CAST(3600 * (1 + event_id % 96) AS BIGINT) END AS ttl")
-        changes = X.run_available(ttl.kv_stream(log), None, "update", "kv")
+        last = X.run_available(ttl.kv_stream(log), ["key"], "update", "kv", tie="NOT live")
     finally:
         if before is not None:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
         else:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     now = F.unix_micros(F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    last = changes.groupBy("key").agg(F.max_by(F.struct("value", "expires_us", "live"), F.struct("seq", ~F.col("live"))).alias("s"))
-    return last.filter(F.col("s.live") & (F.col("s.expires_us").isNull() | (F.col("s.expires_us") > now))).select(
-        "key", "s.value", F.floor((F.col("s.expires_us") - now) / 1_000_000).cast("long").alias("ttl"))
+    return last.filter(F.col("live") & (F.col("expires_us").isNull() | (F.col("expires_us") > now))).select(
+        "key", "value", F.floor((F.col("expires_us") - now) / 1_000_000).cast("long").alias("ttl"))
 
 
 @query("x6_counter_stream", "SELECT key, CAST(sum(CASE WHEN op = 'DECRBY' THEN -amount ELSE amount END) AS BIGINT) AS value FROM <<counter_log>> GROUP BY key")

@@ -79,24 +79,28 @@ def counter_stream(commands: DataFrame) -> DataFrame:
     return ops.groupBy("key").agg(F.sum(signed).alias("value"))
 
 
-def run_available(stream: DataFrame, keys: list[str] | None, mode: str, name: str) -> DataFrame:
+def run_available(stream: DataFrame, keys: list[str] | None, mode: str, name: str, tie: str | None = None) -> DataFrame:
     """Run a stream over the input that is there and give its result as a batch frame.
 
     Each micro-batch overwrites its own folder, so a batch that is run again
-    after a failure leaves no double rows. With ``keys`` the newest row per key is kept.
+    after a failure leaves no double rows. With ``keys`` the newest row per key is kept; of
+    two in one batch the one with the larger ``tie`` (an expression). No input gives no rows.
     """
     spark = stream.sparkSession
     out, marks = scratch_path(spark, name), scratch_path(spark, name + "-marks")
 
+    batches = []
+
     def write(batch: DataFrame, batch_id: int) -> None:
+        batches.append(batch_id)
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", marks)
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    rows = spark.read.schema(schema).parquet(out)
+    rows = spark.read.schema(schema).parquet(out) if batches else spark.createDataFrame([], schema)
     if keys is None:
         return rows.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r")).select(*keys, "_r.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch", F.expr(tie or "0"))).alias("_r")).select(*keys, "_r.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -17,54 +18,68 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OUT = "key string, seq long, value string, expires_us long, live boolean"
 
 
+WRITES = ("SET", "SETEX", "DEL")
+FIELDS = ["seq", "ts_us", "op", "value", "ttl"]
+
+
+def fold(commands: list[list]) -> tuple[str | None, int | None, bool]:
+    """Value, expiry and liveness of a key after its commands (in the order of ``FIELDS``, sorted by seq)."""
+    value, expires, alive = None, None, False
+    for _, ts_us, op, new, ttl in commands:
+        if alive and expires is not None and expires <= ts_us:
+            alive, expires = False, None
+        if op in ("SET", "SETEX"):
+            alive, value = True, new
+            expires = ts_us + ttl * 1_000_000 if ttl is not None else None
+        elif op == "DEL":
+            alive, expires = False, None
+        elif op == "EXPIRE" and alive:
+            expires = ts_us + ttl * 1_000_000
+        elif op == "PERSIST" and alive:
+            expires = None
+    return value, expires, alive
+
+
+def since_last_write(commands: list[list]) -> list[list]:
+    """The newest write and what follows it: all that can still matter, whatever comes late."""
+    newest = max((c[0] for c in commands if c[2] in WRITES), default=-1)
+    return sorted((c for c in commands if c[0] >= newest), key=lambda c: c[0])
+
+
 class TtlState(StatefulProcessor):
-    """Value and expiry of one key. Time is the commands' own, so a run repeats exactly."""
+    """Commands of one key since its newest write. Time is the commands' own, so a run repeats exactly.
+
+    Commands are ordered by seq, not by arrival: a late one takes its place among those kept, and
+    one from before the newest write is without effect. A dead key is kept until the
+    watermark has passed its last command, so a late write cannot bring it back.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._cell = handle.getValueState("cell", "value string, expires_us long, seq long")
+        self._cell = handle.getValueState("commands", "commands string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Only the newest write and what follows it count, so older rows are let go chunk by chunk.
-        kept, newest = [], -1
+        kept = json.loads(self._cell.get()[0]) if self._cell.exists() else []
         for chunk in rows:
-            writes = chunk.loc[chunk["op"].isin(("SET", "SETEX", "DEL")), "seq"]
-            newest = max(newest, int(writes.max()) if len(writes) else -1)
-            kept = [part[part["seq"] >= newest] for part in [*kept, chunk]]
-            kept = [part for part in kept if len(part)]
-        batch = pd.concat(kept).sort_values("seq")
-        old = self._cell.get() if self._cell.exists() else None
-        value, expires, seq = old if old is not None else (None, None, -1)
-        alive = old is not None
-        for row in batch.itertuples():
-            if alive and expires is not None and expires <= row.ts_us:
-                alive, expires = False, None
-            ttl = None if pd.isna(row.ttl) else int(row.ttl)
-            if row.op in ("SET", "SETEX"):
-                alive, value = True, row.value
-                expires = row.ts_us + ttl * 1_000_000 if ttl is not None else None
-            elif row.op == "DEL":
-                alive, expires = False, None
-            elif row.op == "EXPIRE" and alive:
-                expires = row.ts_us + ttl * 1_000_000
-            elif row.op == "PERSIST" and alive:
-                expires = None
-            seq = int(row.seq)
+            columns = [[None if pd.isna(v) else v for v in chunk[f].tolist()] for f in FIELDS]
+            new = [[int(q), int(t), op, v, None if ttl is None else int(ttl)] for q, t, op, v, ttl in zip(*columns)]
+            kept = since_last_write(kept + new)
+        value, expires, alive = fold(kept)
         for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
-        if alive:
-            self._cell.update((value, expires, seq))
-            if expires is not None:
-                self._handle.registerTimer(expires // 1000)
-        elif self._cell.exists():
-            self._cell.clear()
-        yield self._row(key, seq, value if alive else None, expires if alive else None, alive)
+        self._cell.update((json.dumps(kept),))
+        if not alive:
+            self._handle.registerTimer(max(c[1] for c in kept) // 1000 + 1)
+        elif expires is not None:
+            self._handle.registerTimer(expires // 1000)
+        yield self._row(key, kept[-1][0], value if alive else None, expires if alive else None, alive)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self._cell.exists():
-            _, _, seq = self._cell.get()
+            kept = json.loads(self._cell.get()[0])
             self._cell.clear()
-            yield self._row(key, seq, None, None, False)
+            if fold(kept)[2]:
+                yield self._row(key, kept[-1][0], None, None, False)
 
     @staticmethod
     def _row(key, seq, value, expires, alive) -> pd.DataFrame:
@@ -76,8 +91,8 @@ def kv_stream(commands: DataFrame, late: str = "1 minute") -> DataFrame:
     """Changes of key state: key, seq, value, expires_us, live.
 
     ``commands`` is a stream with seq, ts (timestamp), op, key, value, ttl. The
-    newest row per key (by seq, dead after live) is the state; needs the RocksDB
-    state store.
+    last row per key (by batch, in a batch dead after live) is the state; needs the
+    RocksDB state store.
     """
     rows = commands.filter(F.col("op").isin("SET", "SETEX", "DEL", "EXPIRE", "PERSIST")).select(
         "key", "seq", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),

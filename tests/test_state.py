@@ -129,3 +129,45 @@ def test_ranks_are_gapless(spark):
 def test_number_rows_width(spark):
     ids = [r["id"] for r in W.number_rows(spark.range(1001), ["id"], "VC", name="id2").select(F.col("id2").alias("id")).collect()]
     assert "VC-001" in ids and "VC-1001" in ids
+
+
+def test_kv_stream_orders_by_seq_over_batches(spark, tmp_path):
+    """A command that arrives in a later batch with a lower seq takes its place by seq."""
+    from lodestrata.streaming import jobs, ttl
+    schema = "seq long, ts timestamp, op string, key string, value string, ttl long"
+    batches = [[(5, "SET", "a", "new", None), (9, "DEL", "b", None, None), (8, "EXPIRE", "c", None, 50_000)],
+               [(2, "SET", "a", "old", None), (3, "SET", "b", "gone", None), (7, "SET", "c", "kept", None)],
+               [(6, "EXPIRE", "a", None, 90_000)]]
+    for n, rows in enumerate(batches):
+        stamped = [(q, f"2024-01-01 00:00:{q:02d}", *rest) for q, *rest in rows]
+        df = spark.createDataFrame(stamped, "seq long, ts string, op string, key string, value string, ttl long")
+        df.withColumn("ts", df["ts"].cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "log"), mode="append")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ttl.ROCKSDB)
+    try:
+        def result(path):
+            log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+            changes = ttl.kv_stream(log, late="1 day")
+            return {r.key: (r.value, r.live) for r in jobs.run_available(changes, ["key"], "update", "kv", tie="NOT live").collect()}
+        assert result(str(tmp_path / "log")) == {"a": ("new", True), "b": (None, False), "c": ("kept", True)}
+        (tmp_path / "empty").mkdir()
+        assert result(str(tmp_path / "empty")) == {}
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_kv_fold_is_the_same_in_any_order_of_arrival():
+    import itertools
+
+    from lodestrata.streaming.ttl import fold, since_last_write
+    commands = [[1, 0, "SET", "x", None], [2, 1_000_000, "EXPIRE", None, 5], [3, 2_000_000, "SETEX", "y", 4],
+                [4, 3_000_000, "PERSIST", None, None], [5, 9_000_000, "EXPIRE", None, 1]]
+    want = fold(commands)
+    for order in itertools.permutations(commands):
+        kept = []
+        for c in order:
+            kept = since_last_write([*kept, c])
+        assert fold(kept) == want
