@@ -89,12 +89,14 @@ def render_folded(files: DataFrame, folds: DataFrame, types: tuple[str, ...] = D
     joined = files.join(per_file, "path", "left")
     walked = F.aggregate(
         F.coalesce("_f", F.array().cast("array<struct<start:bigint,end:bigint,mark:string>>")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
+        # Parts are gathered and joined once; the text so far is not copied for every fold.
         lambda acc, f: F.when(f["start"].cast("long") >= acc["at"], F.struct(
             f["end"].cast("long").alias("at"),
-            F.concat(acc["out"], F.substring(F.col("content"), (acc["at"] + 1).cast("int"),
-                                             (f["start"] - acc["at"]).cast("int")), f["mark"]).alias("out"))).otherwise(acc),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("content"), (acc["at"] + 1).cast("int"), F.length("content"))))
+            F.concat(acc["out"], F.array(F.substring(F.col("content"), (acc["at"] + 1).cast("int"),
+                                                     (f["start"] - acc["at"]).cast("int")), f["mark"])).alias("out"))).otherwise(acc),
+        lambda acc: F.concat(F.array_join(acc["out"], ""),
+                             F.substring(F.col("content"), (acc["at"] + 1).cast("int"), F.length("content"))))
     return joined.select(*files.columns, walked.alias("rendered"), F.coalesce(F.size("_f"), F.lit(0)).alias("fold_count"))
 
 

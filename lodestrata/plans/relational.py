@@ -33,7 +33,8 @@ def s3(spark, sf):
                      {"low": 20}, count=True, events=table(spark, sf, "events"))
 
 
-LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("s4_list_tables", "\nUNION ALL ".join(
@@ -42,7 +43,7 @@ def s4(spark, sf):
     tables = {f"listed_{t}": table(spark, sf, t) for t in LISTED}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    listed = S.list_tables(spark).select("name", "is_temporary").distinct()
+    listed = S.list_tables(spark).filter(F.col("name").isin(*tables)).select("name", "is_temporary").distinct()
     counts = S.table_profile({n: d.select(d.columns[0]) for n, d in tables.items()}).select(F.col("table_name").alias("name"), "row_count")
     return listed.join(counts, "name")
 
