@@ -45,7 +45,7 @@ BLOCK_BITS = 16
 #: A component is skipped in buckets where it has at least this many classes; changes the work, not the result.
 DOMINANT = 32
 
-#: Slots of the filter for lines whose texts are compared.
+#: Slots of the filters for documents and lines whose texts are compared.
 SLOTS = 1 << 20
 #: Edits looked for before the whole band of the limit is.
 NARROW = 32
@@ -190,16 +190,29 @@ def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
     return F.when(long, near(_word_codes(a), _word_codes(b))).otherwise(near(a, b))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; only texts of classes in a pair are read out."""
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(h, norm) of the lines at the places (row number, line_no, h) of ``wanted``.
+
+    Two filters of at most ``SLOTS`` rows each, a bound that does not grow with the input, are broadcast:
+    the first leaves out documents before they are cut into lines, the second leaves out lines
+    before they are shuffled. The join behind them is exact.
+    """
+    row_slot = F.pmod(F.xxhash64(ROW), F.lit(SLOTS))
+    place_slot = F.pmod(F.xxhash64(ROW, "line_no"), F.lit(SLOTS))
+    rows = F.broadcast(wanted.select(row_slot.alias("slot")).distinct())
+    places = F.broadcast(wanted.select(place_slot.alias("slot")).distinct())
+    some = numbered(docs.select("text")).withColumn("slot", row_slot).join(rows, "slot", "left_semi")
+    lines = some.select(ROW, F.posexplode(units(F.col("text"))).alias("line_no", "line")).withColumn("slot", place_slot)
+    found = lines.join(places, "slot", "left_semi").drop("slot").join(wanted, [ROW, "line_no"])
+    return found.select("h", normalise(F.col("line")).alias("norm"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of classes whose texts are similar; only texts of classes in a pair are read out."""
     pairs = saved(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    slot = F.pmod("h", F.lit(SLOTS))
-    # A row per slot at most: a bounded filter that keeps nearly all other lines from being shuffled.
-    slots = F.broadcast(wanted.select(slot.alias("slot")).distinct())
-    texts = saved(lines_of(docs).select(F.xxhash64("norm").alias("h"), "norm").withColumn("slot", slot)
-                  .join(slots, "slot", "left_semi").drop("slot").join(wanted, "h", "left_semi")
-                  .groupBy("h").agg(F.first("norm").alias("norm")), "texts")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    wanted = saved(classes.join(named, "h", "left_semi").select("h", f"first.{ROW}", "first.line_no"), "wanted")
+    texts = saved(texts_of(wanted, docs), "texts")
     a = texts.select(F.col("h").alias("a"), F.col("norm").alias("a_norm"))
     b = texts.select(F.col("h").alias("b"), F.col("norm").alias("b_norm"))
     return saved(pairs.join(a, "a").join(b, "b").filter(similar(F.col("a_norm"), F.col("b_norm"), similarity)).select("a", "b"), "links")
@@ -211,11 +224,11 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW, "line_no")
     classes = saved(lines.groupBy("h").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min(place).alias("first"),
                                            F.count(F.lit(1)).alias("count")), "classes")
-    near = verified(chain_pairs(classes, similarity), docs, similarity)
+    near = verified(chain_pairs(classes, similarity), classes, docs, similarity)
     groups = connected_components(near)
     named = saved(classes.select("h", "sim", "chars").join(groups, F.col("h") == F.col("node"), "left")
                   .select("h", "sim", "chars", F.coalesce("component", "h").alias("component")), "named")
-    more = verified(block_pairs(named, similarity), docs, similarity)
+    more = verified(block_pairs(named, similarity), classes, docs, similarity)
     groups = connected_components(near.unionByName(more))
     labelled = saved(classes.select("h", "first", "count").join(groups, F.col("h") == F.col("node"), "left")
                      .select("h", "first", "count", F.coalesce("component", "h").alias("component")), "labelled")
