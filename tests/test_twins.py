@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 import check
+from lodestrata.plans import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -15,7 +16,7 @@ def con():
     return check.connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_twin(spark, con, name):
     verdict = check.compare(spark, con, SF, name)
     assert verdict.startswith(("ok", "rows only")), verdict
