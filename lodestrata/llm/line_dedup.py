@@ -229,7 +229,9 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     named = saved(classes.select("h", "sim", "chars").join(groups, F.col("h") == F.col("node"), "left")
                   .select("h", "sim", "chars", F.coalesce("component", "h").alias("component")), "named")
     more = verified(block_pairs(named, similarity), classes, docs, similarity)
-    groups = connected_components(near.unionByName(more))
+    # What is connected already goes in as stars, so few rounds are left.
+    known = groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = connected_components(known.unionByName(more))
     labelled = saved(classes.select("h", "first", "count").join(groups, F.col("h") == F.col("node"), "left")
                      .select("h", "first", "count", F.coalesce("component", "h").alias("component")), "labelled")
     best = saved(labelled.groupBy("component").agg(F.min("first").alias("best"), F.sum("count").alias("group_size")), "best")
