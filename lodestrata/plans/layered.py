@@ -151,17 +151,24 @@ SPANS = "WITH s AS (SELECT path, start, stop, min(fold_id) AS id, count(*) AS fo
 
 
 @query("j11_overlapping", SPANS + """ SELECT a.path, a.id AS outer_id, a.folds AS outer_folds, b.id AS inner_id, b.folds AS inner_folds FROM s a JOIN s b ON a.path = b.path
-AND (a.start < b.start OR (a.start = b.start AND a.stop > b.stop)) AND a.start < b.stop AND a.stop > b.start""")
+AND (a.start < b.start OR (a.start = b.start AND a.stop > b.stop)) AND a.start < b.stop AND a.stop > b.start
+UNION ALL SELECT path, id, folds, id, folds FROM s WHERE folds > 1 AND start < stop""")
 def j11(spark, sf):
     return J.overlapping(folds(spark, sf))
 
 
 @query("j11_contained", SPANS + """ SELECT a.path, a.id AS outer_id, a.folds AS outer_folds, b.id AS inner_id, b.folds AS inner_folds FROM s a JOIN s b ON a.path = b.path
-AND a.id <> b.id AND a.start <= b.start AND a.stop >= b.stop""")
+AND a.id <> b.id AND a.start <= b.start AND a.stop >= b.stop
+UNION ALL SELECT path, id, folds, id, folds FROM s WHERE folds > 1""")
 def j11_contained(spark, sf):
     return J.contained(folds(spark, sf))
 
 
+@query("j11_fold_classes", "SELECT path, fold_id, min(fold_id) OVER (PARTITION BY path, start, stop) AS id FROM <<folds>>")
+def j11_fold_classes(spark, sf):
+    return J.fold_classes(folds(spark, sf))
+
+
 def folds(spark, sf):
     return view(spark, sf, "folds").withColumnRenamed("stop", "end")
 

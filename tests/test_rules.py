@@ -223,3 +223,13 @@ def test_relative_dates(spark):
     df = spark.createDataFrame([("2024-01-01 00:00:00",), ("2024-01-02 12:00:00",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
     assert P.date_range(df, "t", "now-1d", "2024-01-02 06:00:00").count() == 1
     assert P.date_range(df, "t", "2024-01-01", "2024-01-02 06:00:00").count() == 2
+
+
+def test_equal_folds_are_pairs(spark):
+    from lodestrata.operators import joins
+    folds = spark.createDataFrame([("f", 1, 0, 9), ("f", 2, 0, 9), ("f", 3, 2, 4), ("f", 4, 5, 5), ("f", 5, 5, 5)],
+                                  "path string, fold_id long, start long, end long")
+    pairs = lambda df: sorted((r.outer_id, r.outer_folds, r.inner_id, r.inner_folds) for r in df.collect())
+    assert pairs(joins.overlapping(folds)) == [(1, 2, 1, 2), (1, 2, 3, 1), (1, 2, 4, 2)]
+    assert pairs(joins.contained(folds)) == [(1, 2, 1, 2), (1, 2, 3, 1), (1, 2, 4, 2), (4, 2, 4, 2)]
+    assert {(r.fold_id, r.id) for r in joins.fold_classes(folds).collect()} == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)}
