@@ -19,7 +19,8 @@ Encoding is word by word: a blank between two other characters always starts a n
 of the byte-level vocabulary, so the ids of "blank + word" are looked up in a bounded
 cache and only words not seen yet are encoded. The ids are those of the tokenizer file
 read by ``tokenizers``; where its merge rules are in the order of its ids (tested when it
-is loaded) the merging itself is left to ``tiktoken``, which gives the same ids faster.
+is loaded) the merging itself is left to ``tiktoken``, which gives the same ids faster. A
+text that holds the string of an added token goes through ``tokenizers`` as a whole.
 
 Defined cases: a null text is an empty one; an empty text is the single id 0; repeated
 rows are packed each; an empty table gives an empty result; extra columns are ignored. A
@@ -100,7 +101,8 @@ class Encoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         ranks = ranked_vocabulary(self.tokenizer)
         if ranks:
             import tiktoken
@@ -114,6 +116,8 @@ class Encoder:
         return array("I", self.ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.added.search(text):  # an added token is one id, also where it stands in a text
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         # A blank between two other characters always starts a piece of the pattern.
         if self.BLANKS.search(text):
             first, *rest = re.split(r"(?<=\S) (?=\S)", text)
