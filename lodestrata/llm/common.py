@@ -28,13 +28,25 @@ def ascii_lower(text: Column) -> Column:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a row number that is the same in every branch and every rerun of one plan.
+    """``df`` with a row number that is the same in every scan, branch and rerun.
 
-    The number is the place of the row in its input split, so ``df`` has to be a
-    scan (or a narrow step on one): the splits of given files do not change.
-    Rows are told apart by it even where a doc_id is null or occurs twice.
+    The number is the place of the row in its Parquet file and the place of the file among the
+    sorted input files, so ``df`` has to be a scan (or a narrow step on one). It does not depend
+    on how files are split, which changes with the number of cores. Rows are told apart by it even where a
+    doc_id is null or occurs twice. A frame that is not read from files gets numbers that
+    hold within one plan only.
     """
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    paths = sorted(df.inputFiles())
+    if not paths:
+        return df.withColumn(ROW, F.monotonically_increasing_id())
+    # One row per input file; the driver holds this list for the scan anyway.
+    files = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit("\n".join(paths)), "\n")).alias("__file", "__path"))
+    # The same file is file:/x in one place and file:///x in the other.
+    plain = lambda path: F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+    placed = df.select("*", F.col("_metadata.file_path").alias("__in"), F.col("_metadata.row_index").alias("__at"))
+    number = F.shiftleft(F.col("__file").cast("long"), 40).bitwiseOR(F.col("__at"))
+    known = F.when(F.col("__file").isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("unknown input file "), "__in")).cast("long"))
+    return placed.join(F.broadcast(files), plain("__in") == plain("__path"), "left").select(*df.columns, known.alias(ROW))
 
 
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
