@@ -15,8 +15,8 @@ findings: those given, or else those that plain rules can decide. Rules cannot d
 hex string in running text, say; the forest judges all candidates, and its probability
 is the score.
 
-Bounds, all parameters: dictionary and letter pairs come from ``MAX_WORD_DOCS`` documents
-(smallest hash of the id), the dictionary keeps ``MAX_WORDS`` words, and at most ``MAX_PER_CLASS``
+Words are counted over all documents; letter pairs and dictionary come from these counts.
+Bounds, all parameters: the dictionary keeps the ``MAX_WORDS`` most frequent words, and at most ``MAX_PER_CLASS``
 findings of each label train the forest. Candidates are taken from whole texts of all documents.
 
 Defined cases: a null text has no candidates; with fewer than ``MIN_PER_CLASS`` findings of a
@@ -39,7 +39,6 @@ CANDIDATE = f"{KEY_RUN}|{SHORT_VALUE}"
 KNOWN_FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk-[A-Za-z0-9\-_]{20,})$"
 
 BEFORE, AFTER = 60, 30
-MAX_WORD_DOCS = 2_000
 MAX_WORDS = 20_000
 MAX_PER_CLASS = 5_000
 MIN_PER_CLASS = 20
@@ -64,14 +63,10 @@ def candidates(docs: DataFrame) -> DataFrame:
         F.left(F.get("between", F.col("nth") + 1), F.lit(AFTER)).alias("after"))
 
 
-def words_of(docs: DataFrame, most_docs: int = MAX_WORD_DOCS) -> DataFrame:
-    """(word, count) of the lower-case words of a bounded sample of documents."""
-    ids = (docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-           .withColumnRenamed("doc_id", "__id"))
-    # At most ``most_docs`` ids, a parameter.
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")
+def words_of(docs: DataFrame) -> DataFrame:
+    """(word, count) of the lower-case words of all documents, combined before the shuffle."""
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))
-    return sample.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    return docs.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _pairs(word: Column) -> Column:
