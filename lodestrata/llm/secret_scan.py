@@ -1,7 +1,7 @@
 """Secret scan with DataFrame functions: candidate strings, features, a random forest against false positives.
 
-Candidates are runs of key characters (16 or more) and shorter values behind an assignment
-to a key word. Each has features of five kinds:
+Candidates are values of any signs (8 or more) behind an assignment to a key word, with or without blanks
+and quotes, and runs of key characters (16 or more). Each has features of five kinds:
 
 * length, shares of digits, capitals and small letters, share of distinct characters;
 * character transitions: how often the kind of character changes, and the mean log
@@ -34,8 +34,12 @@ from lodestrata.llm.common import ROW, numbered, saved, table
 
 KEY_WORDS = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
 KEY_RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}"
-SHORT_VALUE = r"""(?<=[=:]["']?)(?<=(?i:passw(?:or)?d|pwd|secret|token|key)[=:]["']?)[^\s"']{8,15}(?![^\s"'])"""
-CANDIDATE = f"{KEY_RUN}|{SHORT_VALUE}"
+#: A value of 8 or more behind a key word, optional quote, blanks, sign, blanks and quote. Up to 32 blanks: look-behinds are bounded.
+#: The first look-arounds only leave out places early. A next URL parameter and a closing comma or semicolon do not belong to it.
+ASSIGNED_VALUE = (r"""(?<=[=:>\s"'])(?=[^\s"']{8})(?<=[=:>][ \t]{0,32}["']?)"""
+                  r"""(?<=(?i:passw(?:or)?d|pwd|secret|token|key)["']?[ \t]{0,32}(?:[=:]|[=:]=|=>)[ \t]{0,32}["']?)"""
+                  r"""(?:(?!&[\w.\-]+=|[,;](?:[\s"']|$))[^\s"']){8,}+""")
+CANDIDATE = f"{ASSIGNED_VALUE}|{KEY_RUN}"
 KNOWN_FORMS = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk-[A-Za-z0-9\-_]{20,})$"
 
 BEFORE, AFTER = 60, 30
@@ -95,7 +99,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         "in_path": (F.col("before").rlike(r"(?:://|[/\\.@])\S*$") | F.col("after").rlike(r"^(?:[/\\@]|\.\w)")).cast("double"),
         "has_slash": secret.contains("/").cast("double"),
         "key_word": F.col("before").rlike(rf"(?i){KEY_WORDS}\W*$").cast("double"),
-        "assigned": F.col("before").rlike(r"""[=:]\s*["']?$""").cast("double"),
+        "assigned": F.col("before").rlike(r"""(?:[=:]|=>)\s*["']?$""").cast("double"),
         "quoted": (F.col("before").rlike("""["']$""") & F.col("after").rlike("""^["']""")).cast("double"),
         "at_sign": (F.col("before").endswith("@") | F.col("after").startswith("@")).cast("double"),
     })
