@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import exact_dedup, license_scan, line_dedup, mixing, nn_descent, packing, quality, secret_scan, simhash_dedup, url_filter
+from lodestrata.llm import bpe_tree, exact_dedup, license_scan, line_dedup, mixing, nn_descent, packing, quality, secret_scan, simhash_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": nn_descent.op1_nn_descent,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op12_bpe_tree": bpe_tree.op12_bpe_tree,
 }
 
 ORACLES: dict[str, str] = {
