@@ -42,6 +42,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -302,7 +303,7 @@ def encode_texts(docs: DataFrame, text: str = "text", ids: str = "ids", ranks: s
             texts = batch.column(batch.schema.get_field_index(text))
             keep = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             # An upper bound of the ids of a text is its bytes; reading it costs nothing.
-            lengths = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+            lengths = pc.binary_length(texts).fill_null(0).to_pylist()
             for a, b in _spans(lengths):
                 found = [encoder.encode(t.as_py() or "") for t in texts.slice(a, b - a)]
                 flat = np.concatenate([np.frombuffer(f, np.int32) for f in found] or [np.empty(0, np.int32)])
@@ -324,7 +325,7 @@ def decode_ids(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", r
         encoder = tree_encoder(path, cut)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            for a, b in _spans(pa.compute.list_value_length(lists).fill_null(0).to_pylist()):
+            for a, b in _spans(pc.list_value_length(lists).fill_null(0).to_pylist()):
                 part = batch.slice(a, b - a)
                 made = [encoder.decode(t.as_py() or []) for t in lists.slice(a, b - a)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*columns, decoded])
