@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import saved, table
+from lodestrata.llm.common import discard, saved, table
 
 DIMS = 64
 CLUSTERS = 8
@@ -184,12 +184,13 @@ def cluster_vectors(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster.astype(np.int32)), pa.array(distance)],
                                              names=["vec_id", "cluster", "distance"])
 
-    return cached.mapInArrow(run, "vec_id long, cluster int, distance long"), centroids
+    placed = saved(cached.mapInArrow(run, "vec_id long, cluster int, distance long"), "placed")
+    discard(cached)
+    return placed, centroids
 
 
 def op11_ptolemy_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, centroids = cluster_vectors(table(spark, sf_dir, "embeddings"))
-    placed = saved(found, "placed")
+    placed, centroids = cluster_vectors(table(spark, sf_dir, "embeddings"))
     # One row per cluster, of which there are CLUSTERS at most.
     sums = {r.cluster: int(r.s) for r in placed.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
     held = lambda n: n if n < 1 << 63 else None
@@ -203,8 +204,8 @@ def op11_ptolemy_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle(clusters: int = CLUSTERS, rounds: int = ROUNDS, seed: int = SEED, dims: int = DIMS, scale: int = SCALE) -> str:
     """The same by comparing every vector with every centroid."""
     parts = [f"""kept AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> floor({scale} * x::DOUBLE)::BIGINT) AS v
-  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, x -> isfinite(x) AND abs(floor({scale} * x::DOUBLE)) < {MOST})) = {dims}),
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x) AND abs(floor({scale} * x::DOUBLE)) < {MOST})) = {dims}),
 spread AS MATERIALIZED (SELECT rid, unnest(v) AS val, unnest(range({dims})) AS pos FROM kept),
 seeds AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS cluster FROM kept
   QUALIFY cluster < {clusters}),
