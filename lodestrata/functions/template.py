@@ -36,16 +36,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def match_spans(text: Column, pattern: str, groups: int) -> Column:
+#: Pieces up to which positions are summed in one go; changes the work, not the result.
+FEW_PIECES = 128
+
+
+def match_spans(text: Column, pattern: str, groups: int, line_ends: str = "\n") -> Column:
     """The matches of ``pattern``: ARRAY<STRUCT<f,line,at>>, f being the whole match and its groups.
 
-    Positions are running sums over the pieces. They are taken in blocks of about the root of
-    the number of pieces (block totals first, then inside each block), so no long array is
-    copied for every match.
+    Positions are running sums over the pieces. Where there are many, they are taken in blocks of
+    about the root of the number of pieces (block totals first, then inside each block), so no
+    long array is copied for every match. ``line_ends`` are the signs that end a line.
     """
     pieces = F.transform(match_pieces(text, pattern, groups), lambda p, i: let(F.split(p, _SEP), lambda f: F.struct(
         (i % 2 == 1).alias("hit"), f.alias("f"), F.length(f[0]).alias("size"),
-        (F.length(f[0]) - F.length(F.translate(f[0], "\n", ""))).alias("lines"))))
+        (F.length(f[0]) - F.length(F.translate(f[0], line_ends, ""))).alias("lines"))))
 
     def walk(items: Column, line: Column, at: Column, kind: str, keep, entry) -> Column:
         return F.aggregate(
@@ -66,11 +70,13 @@ def match_spans(text: Column, pattern: str, groups: int) -> Column:
         totals = F.transform(blocks, lambda b: F.struct(total(b, "lines").alias("lines"), total(b, "size").alias("size")))
         starts = walk(totals, F.lit(1), F.lit(0), "struct<line:int,at:int>", lambda x: F.lit(True),
                       lambda acc, x: F.struct(acc["line"].alias("line"), acc["at"].alias("at")))
-        return let(starts, lambda begin: F.flatten(F.zip_with(blocks, begin, lambda block, s: walk(
-            block, s["line"], s["at"], "struct<f:array<string>,line:int,at:int>", lambda x: x["hit"],
-            lambda acc, x: F.struct(x["f"].alias("f"), acc["line"].alias("line"), acc["at"].alias("at"))))))
+        return let(starts, lambda begin: F.flatten(F.zip_with(blocks, begin, lambda block, s: hits(block, s["line"], s["at"]))))
+
+    def hits(items: Column, line: Column, at: Column) -> Column:
+        return walk(items, line, at, "struct<f:array<string>,line:int,at:int>", lambda x: x["hit"],
+                    lambda acc, x: F.struct(x["f"].alias("f"), acc["line"].alias("line"), acc["at"].alias("at")))
 
-    return let(pieces, in_blocks)
+    return let(pieces, lambda p: F.when(F.size(p) <= FEW_PIECES, hits(p, F.lit(1), F.lit(0))).otherwise(in_blocks(p)))
 
 
 def placeholders(df: DataFrame, col: str) -> DataFrame:

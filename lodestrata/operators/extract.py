@@ -3,7 +3,8 @@
 Input columns are path, language, content. Matching stays inside the row:
 each pattern runs once over the whole text, the matches of all patterns of the
 file's language are put together, then exploded. So the text is scanned once
-and never shuffled.
+and never shuffled. Definitions are looked for in the shielded text of ``lexical``, where
+strings and comments hold no code, a header is one line and brackets of any depth are followed.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.template import match_spans
 from lodestrata.operators.joins import nearest_scope
-
+from lodestrata.operators.lexical import LINE_ENDS, nested, plain, shielded
 
 
 def _nested(opening: str, closing: str, depth: int = 24) -> str:
@@ -58,9 +59,6 @@ PY_CONSTANT = "(?m)^([A-Za-z_]\\w*)[ \\t]*(?::[ \\t]*([^=\\n]+?))?[ \\t]*=(?!=)[
 JS_EXPORT_LIST = "export\\s+\\{([^}]+)\\}"
 JS_EXPORT_DECL = "export\\s+(?:default\\s+)?(?:async\\s+)?(?:const|let|var|function|class)\\s+(\\w+)"
 PY_ALL = "(?m)^__all__[ \\t]*=[ \\t]*[\\[(]([^\\])]*)[\\])]"
-PY_GUARD = ("(?m)^[ \\t]*(?:el)?if[ \\t]+([^\\n]+?)[ \\t]*:[ \\t]*(?:#[^\\n]*)?\\n(?:[ \\t]*(?:#[^\\n]*)?\\n)*"
-            "[ \\t]*raise[ \\t]+([\\w.]+)([^\\n]*)")
-JS_GUARD = "\\bif\\s*\\(([^\\n{]+)\\)\\s*\\{?\\s*throw\\s+(?:new\\s+)?([\\w.]+)([^\\n;]*)"
 NOT_METHODS = ("if", "for", "while", "switch", "catch", "function", "return", "constructor", "with", "else", "do")
 # Bases and name endings of entity classes, words of route decorators, patterns.
 ENTITY_BASES = ("BaseModel", "Model", "Entity", "ABC", "TypedDict")
@@ -72,7 +70,7 @@ INSTANCE_GETTERS = ("get_instance", "getInstance", "instance")
 
 def matches(pattern: str, groups: list[str], content: str = "content") -> Column:
     """All matches of a pattern in the row's text: ARRAY<STRUCT<line,start,raw,groups...>>; empty groups are null."""
-    return F.transform(match_spans(F.col(content), pattern, len(groups)), lambda m: F.struct(
+    return F.transform(match_spans(F.col(content), pattern, len(groups), LINE_ENDS), lambda m: F.struct(
         m["line"].alias("line"), m["at"].alias("start"), m["f"][0].alias("raw"),
         *[F.nullif(m["f"][i + 1], F.lit("")).alias(g) for i, g in enumerate(groups)]))
 
@@ -185,14 +183,16 @@ def classes(files: DataFrame) -> DataFrame:
         return F.struct(m["name"].alias("name"), m["line"].alias("line"), F.array_compact(F.array(m["base"])).alias("bases"),
                         _none_array().alias("decorators"))
 
-    return _extract(files, [_each(PY_CLASS, ["decor", "indent", "name", "base_list"], py)],
-                    [_each(JS_CLASS, ["name", "base"], js)])
+    found = _extract(shielded(files), [_each(PY_CLASS, ["decor", "indent", "name", "base_list"], py)],
+                     [_each(JS_CLASS, ["name", "base"], js)])
+    return found.withColumn("bases", F.transform("bases", plain))
 
 
-def functions(files: DataFrame) -> DataFrame:
+def functions(files: DataFrame, plain_params: bool = True) -> DataFrame:
     """Functions and arrow functions (in Python also methods, see ``indent``).
 
-    Columns: path, language, name, line, is_async, params_text, return_type, decorators, indent.
+    Columns: path, language, name, line, is_async, params_text, return_type, decorators, indent. For
+    ``params`` the text is best left shielded, so that strings and deep brackets cannot mislead it.
     """
     def row(m, line, returns, decorators, indent):
         return F.struct(m["name"].alias("name"), line.alias("line"), m["async"].isNotNull().alias("is_async"),
@@ -206,8 +206,9 @@ def functions(files: DataFrame) -> DataFrame:
     def js(m):
         return row(m, m["line"], _no_text(), _none_array(), F.lit(0))
 
-    return _extract(files, [_each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py)],
-                    [_each(JS_FUNCTION, ["async", "name", "params_text"], js), _each(JS_ARROW, ["name", "async", "params_text"], js)])
+    found = _extract(shielded(files), [_each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py)],
+                     [_each(JS_FUNCTION, ["async", "name", "params_text"], js), _each(JS_ARROW, ["name", "async", "params_text"], js)])
+    return found.withColumns({c: plain(c) for c in (["params_text"] if plain_params else []) + ["return_type"]})
 
 
 def members(files: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -239,7 +240,7 @@ def members(files: DataFrame, scopes: DataFrame) -> DataFrame:
         return ~m["name"].isin("async", "static", "get", "set", "return", "pass", "break", "continue")
 
     rows = _extract(
-        files,
+        shielded(files),
         [_each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py_method, lambda m: m["indent"].isNotNull()),
          _each(PY_FIELD, ["words", "name", "type", "default"], field(lambda m: m["type"].isNull()),
                lambda m: is_field(m) & (m["type"].isNotNull() | m["default"].isNotNull()))],
@@ -249,6 +250,7 @@ def members(files: DataFrame, scopes: DataFrame) -> DataFrame:
     # The scope around a method header is the method itself, so look one scope further out.
     outer = scopes.filter(F.col("node_type").isin("class", "function", "method", "async function", "async method",
                                                   "arrow fn", "constructor"))
+    rows = rows.withColumns({c: plain(c) for c in ("type", "default", "params_text")})
     held = nearest_scope_above(rows.drop("language"), outer)
     return held.filter(F.col("scope_type") == "class").select(
         "path", F.col("scope_name").alias("owner"), "kind", "name", "line", "is_async", "is_static", "type",
@@ -296,19 +298,13 @@ def error_classes(files: DataFrame) -> DataFrame:
         "path", "language", "name", "base", "line")
 
 
-def guards(files: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Guard clauses: path, language, line, function, condition, error, message."""
-    def row(m):
-        message = F.regexp_extract(F.coalesce(m["args"], F.lit("")), "[\"'`]([^\"'`]+)", 1)
-        return F.struct(m["line"].alias("line"), F.trim(m["condition"]).alias("condition"), m["error"].alias("error"),
-                        F.nullif(message, F.lit("")).alias("message"))
+def guards(files: DataFrame) -> DataFrame:
+    """Guard clauses: path, language, line, function, condition, error, message.
 
-    rows = _extract(files, [_each(PY_GUARD, ["condition", "error", "args"], row)],
-                    [_each(JS_GUARD, ["condition", "error", "args"], row)])
-    named = scopes.filter(F.col("node_type").isin("function", "method", "async function", "async method", "constructor"))
-    return nearest_scope(rows, named).select(
-        "path", "language", "line", F.coalesce("scope_name", F.lit("anonymous")).alias("function"),
-        "condition", "error", "message")
+    In Python an ``if`` (``elif``) with a raise anywhere in its statement, in scripts one with a throw
+    directly in its branch. Of several raises the last one with a text counts.
+    """
+    return nested(files).select("path", "language", F.inline("guards"))
 
 
 # A parameter: no comma outside of brackets.
@@ -340,11 +336,14 @@ def param_array(text: str | Column, language: str | Column) -> Column:
 
 
 def params(funcs: DataFrame) -> DataFrame:
-    """One row per parameter: path, function, line, pos, name, type, default, required, rest."""
+    """One row per parameter: path, function, line, pos, name, type, default, required, rest.
+
+    ``funcs`` are those of :func:`functions`, best with shielded params.
+    """
     rows = funcs.select("path", F.col("name").alias("function"), "line",
                         F.posexplode(param_array("params_text", "language")).alias("pos", "p"))
     name = F.col("p.name")
-    return rows.select("path", "function", "line", "pos", "p.*",
+    return rows.select("path", "function", "line", "pos", *[plain(f"p.{c}").alias(c) for c in ("name", "type", "default")], "p.required",
                        (name.startswith("*") | name.startswith("...")).alias("rest"))
 
 

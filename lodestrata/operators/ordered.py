@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import scope_preview
+from lodestrata.operators.lexical import nested
 from lodestrata.operators.paths import DEFAULT_FOLDS
 from lodestrata.operators.running import rank_within, running
 
 LINE_BLOCK = 10_000
-# Header words of a scope and the label each gives.
-PY_HEADER = ("^([ \\t]*)(?:(async)[ \\t]+)?(class|def|if|elif|else|for|while|try|except|finally|with)\\b"
-             "[ \\t]*([A-Za-z_]\\w*)?.*$")
-JS_CLASS = "^([ \\t]*)(?:export[ \\t]+)?(?:default[ \\t]+)?(?:abstract[ \\t]+)?(class|interface|enum|namespace)[ \\t]+(\\w+).*\\{[ \\t]*$"
-JS_FUNCTION = "^([ \\t]*)(?:export[ \\t]+)?(?:default[ \\t]+)?(async[ \\t]+)?function[ \\t]*\\*?[ \\t]*(\\w+)[ \\t]*\\(.*\\{[ \\t]*$"
-JS_ARROW = "^([ \\t]*)(?:export[ \\t]+)?(?:const|let|var)[ \\t]+(\\w+)[ \\t]*=[ \\t]*(async[ \\t]+)?\\([^)]*\\)[^=]*=>[ \\t]*\\{[ \\t]*$"
-JS_CONTROL = "^([ \\t]*)(?:\\}[ \\t]*)?(if|else|for|while|switch|try|catch|finally)\\b.*\\{[ \\t]*$"
 # Fixed value: an import whose bracket is still open at the end of the line, or the line after such a one.
 OPEN_IMPORT = "(?m)(?:^[ \\t]*(?:from[ \\t][^\\n(#]*\\(|import[ \\t][^\\n{(#]*\\{)|(?!\\A)\\G)[^)}\\n]*\\n"
 _INNER = "\u0001"
-_SEP = "\u0002"
-JS_METHOD = "^([ \\t]*)(?:(?:async|static|public|private|protected|get|set)[ \\t]+)*(\\w+)[ \\t]*\\([^)]*\\)[^;{]*\\{[ \\t]*$"
 
 
 def number_rows(df: DataFrame, order: list[str], prefix: str, by: list[str] = (), name: str = "id",
@@ -100,88 +91,13 @@ def render_folded(files: DataFrame, folds: DataFrame, types: tuple[str, ...] = D
     return joined.select(*files.columns, walked.alias("rendered"), F.coalesce(F.size("_f"), F.lit(0)).alias("fold_count"))
 
 
-def _headers(lines: DataFrame) -> DataFrame:
-    """Add ``node_type`` and ``name``; lines that cannot open a scope skip the patterns."""
-    t = F.col("text")
-    python = F.col("language") == "python"
-
-    def parts(pattern: str, groups: str) -> Column:
-        # All groups of a line from one pass, null when the line does not fit.
-        found = F.split(F.regexp_replace(t, pattern, groups), _SEP)
-        return F.when(F.size(found) > 1, found)
-
-    code = F.rtrim(F.regexp_replace(t, "#[^'\"]*$", ""))
-    py = F.when(t.contains(":"), F.when(code.endswith(":"), parts(PY_HEADER, f"$3{_SEP}$4{_SEP}$2")))
-    js = F.when(F.rtrim(t).endswith("{"), F.coalesce(
-        parts(JS_CLASS, f"$2{_SEP}$3{_SEP}"), parts(JS_FUNCTION, f"function{_SEP}$3{_SEP}$2"),
-        parts(JS_ARROW, f"arrow fn{_SEP}$2{_SEP}"), parts(JS_CONTROL, f"$2{_SEP}{_SEP}"),
-        parts(JS_METHOD, f"method{_SEP}$2{_SEP}")))
-    tagged = lines.withColumn("_h", F.when(python, py).otherwise(js))
-    word, name, mark = F.col("_h")[0], F.col("_h")[1], F.col("_h")[2]
-    kind = (F.when(word.isin("def", "function"), F.when(mark != "", "async function").otherwise("function"))
-            .when(word == "catch", "except")
-            .when((word == "method") & (name == "constructor"), "constructor").otherwise(word))
-    named = word.isin("class", "def", "function", "method", "arrow fn", "interface", "enum", "namespace")
-    return tagged.withColumns({"node_type": kind, "name": F.when(named, F.nullif(name, F.lit("")))}).drop("_h")
-
-
-def _indent(t: Column) -> Column:
-    wide = F.replace(t, F.lit("\t"), F.lit("    "))
-    return F.length(wide) - F.length(F.ltrim(wide))
-
-
-def _outline_lines(files: DataFrame) -> DataFrame:
-    """Lines with text: path, language, line, prev, last, levels, text.
-
-    ``prev`` and ``last`` are line numbers, ``levels`` the indents of lines that
-    may open a scope. All of it is found inside the row of the file.
-    """
-    split = F.transform(F.split("content", "\n"), lambda t, i: F.struct((i + 1).alias("line"), F.rtrim(t, F.lit("\r")).alias("text")))
-    full = files.select("path", "language", F.filter(split, lambda x: F.trim(x["text"]) != "").alias("_l"))
-    opens = F.filter("_l", lambda x: x["text"].contains(":") | F.rtrim(x["text"]).endswith("{"))
-    with_prev = F.slice(F.zip_with("_l", F.concat(F.array(F.lit(None).cast("struct<line:int,text:string>")), F.col("_l")),
-                                   lambda x, p: F.struct(x["line"].alias("line"), x["text"].alias("text"), p["line"].alias("prev"))),
-                        F.lit(1), F.size("_l"))
-    return (full.filter(F.size("_l") > 0).select(
-                "path", "language", F.element_at("_l", -1)["line"].alias("last"),
-                F.array_distinct(F.transform(opens, lambda x: _indent(x["text"]))).alias("levels"), with_prev.alias("_l"))
-            .select("path", "language", "last", "levels", F.inline("_l")))
-
-
 def outline(files: DataFrame) -> DataFrame:
-    """Scopes of each file by header line and indent.
-
-    Columns: path, language, node_type, name, start_line, end_line, line_count,
-    depth, parent_type, preview, indent. A scope ends before the next line that
-    is indented no deeper; a closing brace belongs to it. Lines are copied to
-    the indents they can close, headers to all: in a window over (path, indent)
-    the next and the last line that is indented no deeper give the end and the
-    enclosing scope. The window is bounded by the content cell of one file.
+    """Scopes of each file: path, language, node_type, name, start_line, end_line, line_count, depth, parent_type, preview, indent.
+
+    Found in one pass per file with a stack (see ``lexical``), so nothing is shuffled. A header may
+    run over several lines; what stands in strings and comments is no code. A Python scope ends with its last
+    code line, a script's with its closing brace.
     """
-    lines = _headers(_outline_lines(files)).withColumn("indent", _indent(F.col("text")))
-    header = F.col("node_type").isNotNull()
-    slim = lines.select("path", "language", "line", "prev", "last", "indent", "node_type", "name",
-                        F.when(header, scope_preview("text")).alias("preview"),
-                        F.trim("text").rlike("^[}\\])]").alias("brace"),
-                        F.explode(F.filter("levels", lambda v: header | (v >= F.col("indent")))).alias("level"))
-    here = F.col("indent") <= F.col("level")
-    marked = slim.withColumn("_low", F.when(here, F.struct("line", "prev", "brace", "indent", "node_type")))
-    window = "OVER (PARTITION BY path, level ORDER BY line)"
-    seen = marked.withColumns({"_next": F.expr(f"lead(_low) IGNORE NULLS {window}"),
-                               "_before": F.expr(f"lag(_low) IGNORE NULLS {window}")}).filter(header)
-    nxt, before = F.col("_next"), F.col("_before")
-    end = (F.when(nxt.isNull(), F.col("last"))
-           .when((F.col("language") != "python") & nxt["brace"] & (nxt["indent"] == F.col("indent")), nxt["line"])
-           .otherwise(nxt["prev"]))
-    inside = (F.col("level") < F.col("indent")) & (before["indent"] == F.col("level")) & before["node_type"].isNotNull()
-    per_scope = seen.groupBy("path", "line").agg(
-        *[F.first(c).alias(c) for c in ("language", "node_type", "name", "preview", "indent")],
-        F.max(F.when(F.col("level") == F.col("indent"), end)).alias("end_line"),
-        F.count_if(inside).cast("int").alias("depth"),
-        F.max_by(before["node_type"], F.when(inside, before["line"])).alias("parent_type"))
-    in_class = F.col("parent_type") == "class"
-    kind = (F.when(in_class & (F.col("node_type") == "function"), "method")
-            .when(in_class & (F.col("node_type") == "async function"), "async method").otherwise(F.col("node_type")))
-    return per_scope.select("path", "language", kind.alias("node_type"), "name", F.col("line").alias("start_line"), "end_line",
-                            (F.col("end_line") - F.col("line") + 1).alias("line_count"), "depth", "parent_type",
-                            "preview", "indent")
+    rows = nested(files).select("path", "language", F.inline("scopes"))
+    return rows.select("path", "language", "node_type", "name", "start_line", "end_line",
+                       (F.col("end_line") - F.col("start_line") + 1).alias("line_count"), "depth", "parent_type", "preview", "indent")

@@ -171,14 +171,14 @@ def e8(spark, sf):
 
 @query("e9_guards", "SELECT * FROM <<x_guards>>")
 def e9(spark, sf):
-    return E.guards(files(spark, sf), scopes(spark, sf))
+    return E.guards(files(spark, sf))
 
 
 @query("e10_params", """WITH p AS (SELECT path, name AS function, line, unnest(string_split(params, '|')) AS p, unnest(range(len(string_split(params, '|')))) AS pos FROM <<x_functions>> WHERE params <> '')
 SELECT path, function, line, CAST(pos AS INT) AS pos, split_part(p, ':', 1) AS name, nullif(split_part(p, ':', 2), '-') AS type, nullif(split_part(p, ':', 3), '-') AS default_,
 split_part(p, ':', 4) = 't' AS required, p LIKE '*%' OR p LIKE '...%' AS rest FROM p""")
 def e10(spark, sf):
-    return E.params(E.functions(files(spark, sf))).withColumnRenamed("default", "default_")
+    return E.params(E.functions(files(spark, sf), plain_params=False)).withColumnRenamed("default", "default_")
 
 
 def patterned(spark, sf):
@@ -391,7 +391,7 @@ def a13(spark, sf):
     s = stable(W.outline(f))
     m = stable(E.members(f, s))
     models = E.data_models(E.classes(f), m).withColumn("ord", F.col("path"))
-    return A.capabilities(models, methods(f, m), E.guards(f, s), E.error_classes(f).withColumn("ord", F.col("path")))
+    return A.capabilities(models, methods(f, m), E.guards(f), E.error_classes(f).withColumn("ord", F.col("path")))
 
 
 def points(spark, sf):

@@ -173,7 +173,7 @@ def test_python_extraction(spark):
     assert scopes == {("class", "A"): (7, 15, 0), ("method", "f"): (11, 15, 1), ("if", None): (12, 13, 2), ("function", "g"): (18, 19, 0)}
     params = [(r["name"], r["type"], r["default"], r["required"]) for r in E.params(E.functions(f).filter("name = 'f'")).orderBy("pos").collect()]
     assert params == [("*args", None, None, False), ("key", "dict[str, int]", '{"a": 1}', False)]
-    guard = E.guards(f, W.outline(f)).first()
+    guard = E.guards(f).first()
     assert (guard["line"], guard["function"], guard["condition"], guard["message"]) == (12, "f", "key is None", "bad key")
     block = W.import_blocks(f).first()
     assert (block["start_line"], block["end_line"], block["import_count"]) == (1, 5, 2)
