@@ -38,7 +38,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,8 @@ from lodestrata.llm.common import table
 LEAF = 4096
 #: A match is fixed once this many characters follow it: ``'ll`` is the longest look ahead of the pattern.
 LOOK = 2
-#: Entries of each of a worker's three memories; the longest bytes remembered of halves and windows.
-MEMORY = 500_000
+#: Entries of each of a worker's four memories; the longest bytes remembered of halves and windows.
+MEMORY = 600_000
 SHORT = 64
 #: Ids put into one Arrow batch before it is handed on (a single longer text is a batch by itself).
 BATCH_IDS = 1 << 20
@@ -160,24 +160,24 @@ class TreeEncoder:
         self.match = Matcher(pattern)
         short = lambda key: len(key) <= SHORT
         self.windows, self.halves = Memory(self.merge, short), Memory(self.halve, short)
-        self.words = Memory(self.word, short)
+        self.pairs = Memory(lambda pair: self.merge(self.bytes[pair[0]] + self.bytes[pair[1]]))
+        self.pieces = Memory(self.word, short)
 
     # Bytes of one piece.
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Encoding of a window from its bytes: lowest rank first, leftmost first."""
-        rank, none = self.ranks.get, 1 << 60
-        tokens = [piece[at:at + 1] for at in range(len(piece))]
-        pairs = [rank(piece[at:at + 2], none) for at in range(len(piece) - 1)]
+        rank, none, n = self.ranks.get, 1 << 60, len(piece)
+        cut = list(range(n + 1))
+        pairs = [rank(piece[at:at + 2], none) for at in range(n - 1)]
         while pairs and (least := min(pairs)) < none:
             at = pairs.index(least)
-            tokens[at:at + 2] = [tokens[at] + tokens[at + 1]]
-            del pairs[at]
+            del cut[at + 1], pairs[at]
             if at < len(pairs):
-                pairs[at] = rank(tokens[at] + tokens[at + 1], none)
+                pairs[at] = rank(piece[cut[at]:cut[at + 2]], none)
             if at:
-                pairs[at - 1] = rank(tokens[at - 1] + tokens[at], none)
-        return tuple(map(self.ranks.__getitem__, tokens))
+                pairs[at - 1] = rank(piece[cut[at - 1]:cut[at + 1]], none)
+        return tuple([self.ranks[piece[a:b]] for a, b in pairwise(cut)])
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """Encoding of two encoded neighbours, from windows around their border.
@@ -189,12 +189,10 @@ class TreeEncoder:
         at, m = 0, len(right)
         while True:
             i, n = 1, len(left)
-            while True:
-                i = min(i, n)
+            window = self.pairs[left[-1], right[at]]
+            while i < n and window[0] != left[n - i]:
+                i = min(2 * i, n)
                 window = self.windows[b"".join(map(self.bytes.__getitem__, (*left[n - i:], right[at])))]
-                if i == n or window[0] == left[n - i]:
-                    break
-                i *= 2
             at += 1
             if at == m or window[-1] == right[at - 1]:
                 return (*left[:n - i], *window, *right[at:])
@@ -211,7 +209,7 @@ class TreeEncoder:
     def word(self, piece: str) -> tuple[int, ...]:
         piece = piece.encode()
         rank = self.ranks.get(piece)
-        return self.halves[piece] if rank is None else (rank,)
+        return self.halve(piece) if rank is None else (rank,)
 
     # Pieces of one text.
 
@@ -219,7 +217,7 @@ class TreeEncoder:
         """The pieces of a text and the ids of each."""
         if len(text) <= max(self.leaf, 1):
             pieces = self.match(text)
-            return pieces, list(map(self.words.__getitem__, pieces))
+            return pieces, list(map(self.pieces.__getitem__, pieces))
         middle = len(text) // 2
         return self.join_texts(self.tree(text[:middle]), self.tree(text[middle:]))
 
@@ -251,7 +249,7 @@ class TreeEncoder:
                 again.append(piece)
             if at in borders or whole:
                 pieces += again
-                ids += map(self.words.__getitem__, again)
+                ids += map(self.pieces.__getitem__, again)
                 stay = borders.get(at, len(follow))
                 pieces += follow[stay:]
                 ids += follow_ids[stay:]
