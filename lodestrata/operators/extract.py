@@ -41,8 +41,10 @@ JS_SIDE_EFFECT = "import\\s+['\"]([^'\"]+)['\"]"
 JS_REQUIRE = "(?:(?:const|let|var)\\s+(?:\\{([^}]*)\\}|(\\w+))\\s*=\\s*)?\\brequire\\(\\s*['\"]([^'\"]+)['\"]\\s*\\)"
 JS_DYNAMIC = "\\bimport\\(\\s*['\"]([^'\"]+)['\"]\\s*\\)"
 JS_REEXPORT = "export\\s+(?:\\{([^}]*)\\}|(\\*)(?:\\s+as\\s+\\w+)?)\\s+from\\s+['\"]([^'\"]+)['\"]"
-PY_IMPORT = "(?m)(?:^|;)[ \\t]*import[ \\t]+([^\\n#;]+)"
-PY_FROM = "(?m)(?:^|;)[ \\t]*from[ \\t]+(\\.*[\\w.]*)[ \\t]+import[ \\t]+(?:\\(([^)]*)\\)|([^\\n#;(]+))"
+# Docstrings and comments are matched as well, so that what stands in them is passed over; their groups are empty.
+PY_SKIP = "(?s:\"\"\".*?\"\"\"|'''.*?''')|#[^\\n]*|"
+PY_IMPORT = PY_SKIP + "(?m:^|;)[ \\t]*import[ \\t]+([^\\n#;]+)"
+PY_FROM = PY_SKIP + "(?m:^|;)[ \\t]*from[ \\t]+(\\.*[\\w.]*)[ \\t]+import[ \\t]+(?:\\(([^)]*)\\)|([^\\n#;(]+))"
 JS_CLASS = "(?:export\\s+)?(?:default\\s+)?class\\s+(\\w+)(?:\\s+extends\\s+(\\w+(?:\\.\\w+)*))?[^{}\\n]*\\{"
 PY_CLASS = "(?m)^((?:[ \\t]*@[^\\n]*\\n)*)([ \\t]*)class[ \\t]+(\\w+)[ \\t]*(?:\\(([^)]*)\\))?[ \\t]*:"
 JS_FUNCTION = "(?:export\\s+)?(?:default\\s+)?(async\\s+)?function\\s+(\\w+)\\s*\\((" + _ROUND + ")\\)"
@@ -81,9 +83,9 @@ def _each(pattern: str, groups: list[str], shape, where=None) -> Column:
     return F.transform(F.filter(hits, where) if where is not None else hits, shape)
 
 
-def _many(pattern: str, groups: list[str], shape) -> Column:
+def _many(pattern: str, groups: list[str], shape, where=None) -> Column:
     """Output structs of one pattern whose ``shape`` gives an array per match."""
-    return F.flatten(F.transform(matches(pattern, groups), shape))
+    return F.flatten(_each(pattern, groups, shape, where))
 
 
 def _extract(files: DataFrame, python: list[Column], script: list[Column]) -> DataFrame:
@@ -145,7 +147,8 @@ def _py_import_rows() -> list[Column]:
         aliases = F.filter(F.transform(F.split(text, ","), lambda n: F.regexp_extract(n, "\\s+as\\s+(\\w+)", 1)), lambda a: a != "")
         return _import(m, "from", m["module"], items, F.array_contains(items, "*"), F.try_element_at(aliases, F.lit(-1)))
 
-    return [_many(PY_IMPORT, ["list"], plain), _each(PY_FROM, ["module", "wrapped", "listed"], from_)]
+    return [_many(PY_IMPORT, ["list"], plain, lambda m: m["list"].isNotNull()),
+            _each(PY_FROM, ["module", "wrapped", "listed"], from_, lambda m: m["module"].isNotNull())]
 
 
 def js_imports(files: DataFrame) -> DataFrame:
@@ -341,7 +344,7 @@ def params(funcs: DataFrame) -> DataFrame:
     ``funcs`` are those of :func:`functions`, best with shielded params.
     """
     rows = funcs.select("path", F.col("name").alias("function"), "line",
-                        F.posexplode(param_array("params_text", "language")).alias("pos", "p"))
+                        F.posexplode(param_array(F.translate("params_text", LINE_ENDS[1], " "), "language")).alias("pos", "p"))
     name = F.col("p.name")
     return rows.select("path", "function", "line", "pos", *[plain(f"p.{c}").alias(c) for c in ("name", "type", "default")], "p.required",
                        (name.startswith("*") | name.startswith("...")).alias("rest"))

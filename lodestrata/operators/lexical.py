@@ -218,7 +218,13 @@ def _scope(word: str, name: str | None, is_async: bool, start: int, text: str, d
             "depth": depth, "parent_type": parent, "preview": preview, "indent": indent}
 
 
+_IN_BRACKETS = re.compile(rf"\(\s*({_balanced(DEEP)})\s*\)")
+
+
 def _guard(line: int, condition: str, holder: str | None) -> dict:
+    condition = condition.replace(LINE_ENDS[1], " ").strip()
+    while whole := _IN_BRACKETS.fullmatch(condition):
+        condition = whole.group(1)
     return {"line": line, "function": holder or "anonymous", "condition": " ".join(condition.translate(_BACK).split()),
             "error": None, "message": None, "found": False}
 

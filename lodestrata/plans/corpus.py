@@ -202,6 +202,68 @@ def e13(spark, sf):
     return E.routes(E.functions(files(spark, sf))).select("path", "name", "line")
 
 
+def formatted(spark, sf):
+    return view(spark, sf, "formatted_files", parallel=True)
+
+
+def _formatted(columns: list[str], py: list[tuple], js: list[tuple]) -> str:
+    return _union("formatted_py", columns, py) + ("\nUNION ALL " + _union("formatted_js", columns, js) if js else "")
+
+
+@query("w8_outline_formatted", _formatted(["node_type", "name", "start_line", "end_line", "depth", "parent_type", "preview"], [
+    ("'class'", "'Item' || n", "8", "32", "0", "NULL", "'class Item' || n || '('"),
+    ("'async method'", "'load'", "15", "32", "1", "'class'", "'async def load('"),
+    ("'if'", "NULL", "21", "28", "2", "'async method'", "'if ('"),
+    ("'elif'", "NULL", "29", "29", "2", "'async method'", "'elif key: raise KeyError'"),
+    ("'function'", "'last'", "34", "34", "0", "NULL", "'def last(): return 1'"),
+], [
+    ("'class'", "'View' || n", "3", "23", "0", "NULL", "'export class View' || n"),
+    ("'method'", "'load'", "6", "22", "1", "'class'", "'async load('"),
+    ("'if'", "NULL", "11", "18", "2", "'method'", "'if ('"),
+    ("'function'", "'last' || n", "24", "24", "0", "NULL", "'function last' || n || '(a, [b]) { return 1 }'")]))
+def w8_formatted(spark, sf):
+    return W.outline(formatted(spark, sf)).drop("indent", "line_count")
+
+
+@query("e2_py_imports_formatted", "SELECT path, language, 5 AS line, 'os' AS module FROM <<formatted_py>>")
+def e2_formatted(spark, sf):
+    return E.py_imports(formatted(spark, sf)).select("path", "language", "line", "module")
+
+
+@query("e4_functions_formatted", _formatted(["name", "line", "is_async", "params_text", "return_type", "decorators", "indent"], [
+    ("'load'", "15", "true", "chr(10) || '        self,' || chr(10) || '        key: str = \"a,b:(c\",' || chr(10) || '        depth=' || "
+     "repeat('(', 30) || size || ',' || repeat(')', 30) || ',' || chr(10) || '    '", "'dict[str, int]'", "'cached'", "4"),
+    ("'last'", "34", "false", "''", "NULL", "''", "0"),
+], [("'last' || n", "24", "false", "'a, [b]'", "NULL", "''", "0")]))
+def e4_formatted(spark, sf):
+    return E.functions(formatted(spark, sf)).withColumn("decorators", text("decorators"))
+
+
+@query("e5_members_formatted", "SELECT * EXCLUDE (language) FROM (" + _formatted(["owner", "kind", "name", "line", "is_async", "type", "default_", "decorators"], [
+    ("'Item' || n", "'field'", "'size'", "12", "false", "'int'", "CAST(size AS VARCHAR)", "''"),
+    ("'Item' || n", "'method'", "'load'", "15", "true", "'dict[str, int]'", "NULL", "'cached'"),
+], [("'View' || n", "'method'", "'load'", "6", "true", "NULL", "NULL", "''")]) + ")")
+def e5_formatted(spark, sf):
+    f = formatted(spark, sf)
+    out = E.members(f, W.outline(f)).withColumnRenamed("default", "default_").withColumn("decorators", text("decorators"))
+    return out.drop("params_text", "is_static")
+
+
+@query("e9_guards_formatted", _formatted(["line", "function", "condition", "error", "message"], [
+    ("21", "'load'", "'key is None and depth'", "'ValueError'", "'no key ' || size"),
+    ("29", "'load'", "'key'", "'KeyError'", "NULL"),
+], [("11", "'load'", "'id === undefined'", "'TypeError'", "'id ' || n"), ("18", "'load'", "'opts'", "'RangeError'", "'opts'")]))
+def e9_formatted(spark, sf):
+    return E.guards(formatted(spark, sf))
+
+
+@query("e10_params_formatted", """SELECT path, 'load' AS function, 15 AS line, unnest([0, 1]) AS pos, unnest(['key', 'depth']) AS name, unnest(['str', NULL]) AS type,
+unnest(['"a,b:(c"', repeat('(', 30) || size || ',' || repeat(')', 30)]) AS default_, false AS required, false AS rest FROM <<formatted_py>>
+UNION ALL SELECT path, 'last' || n, 24, unnest([0, 1]), unnest(['a', '[...]']), NULL, NULL, true, false FROM <<formatted_js>>""")
+def e10_formatted(spark, sf):
+    return E.params(E.functions(formatted(spark, sf), plain_params=False)).withColumnRenamed("default", "default_")
+
+
 def manifests(spark, sf):
     return E.manifests(view(spark, sf, "manifest_files"))
 

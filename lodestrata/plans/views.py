@@ -180,6 +180,70 @@ FROM <<customer>>"""
 VIEWS["code_files"] = """
 SELECT path, language, content FROM <<py_files>> UNION ALL SELECT path, language, content FROM <<js_files>>"""
 
+# The same kinds of code as a formatter leaves them: headers over several lines, code in strings and comments, deep brackets.
+VIEWS["formatted_py"] = """
+SELECT p_partkey AS n, p_size AS size, 'packages_py/fmt-' || CAST(p_partkey % 50 AS STRING) || '/mod_' || CAST(p_partkey AS STRING) || '.py' AS path,
+       'python' AS language,
+       '\"\"\"Module.\nimport not_this\ndef nor_this():\n\"\"\"\n' ||
+       'import os\n\n\n' ||
+       'class Item' || CAST(p_partkey AS STRING) || '(\n' ||
+       '    Base,  # the ( base\n' ||
+       '    metaclass=Meta,\n' ||
+       '):\n' ||
+       '    size: int = ' || CAST(p_size AS STRING) || '\n\n' ||
+       '    @cached\n' ||
+       '    async def load(\n' ||
+       '        self,\n' ||
+       '        key: str = "a,b:(c",\n' ||
+       '        depth=' || repeat('(', 30) || CAST(p_size AS STRING) || ',' || repeat(')', 30) || ',\n' ||
+       '    ) -> dict[str, int]:\n' ||
+       '        text = "if x: raise No(1)"\n' ||
+       '        if (\n' ||
+       '            key is None\n' ||
+       '            and depth\n' ||
+       '        ):\n' ||
+       '            log(key)\n' ||
+       '            raise ValueError(\n' ||
+       '                "no key ' || CAST(p_size AS STRING) || '"\n' ||
+       '            )\n' ||
+       '        elif key: raise KeyError\n' ||
+       '        return {\n' ||
+       '  "a": 1,\n' ||
+       '        }\n\n' ||
+       'def last(): return 1\n' AS content
+FROM <<part>>"""
+
+VIEWS["formatted_js"] = """
+SELECT c_custkey AS n, 'packages_mjs/fmt-' || CAST(c_custkey % 40 AS STRING) || '/view_' || CAST(c_custkey AS STRING) || '.ts' AS path,
+       'typescript' AS language,
+       '/* class No {\n function nor() { */\n' ||
+       'export class View' || CAST(c_custkey AS STRING) || '\n' ||
+       '  extends Base\n' ||
+       '{\n' ||
+       '  async load(\n' ||
+       '    id,\n' ||
+       '    opts = { deep: [1, (2)] },\n' ||
+       '  ) {\n' ||
+       '    const text = `if (x) { throw } function no() {`;\n' ||
+       '    if (\n' ||
+       '      id === undefined\n' ||
+       '    ) {\n' ||
+       '      log({ id });\n' ||
+       '      throw new TypeError(\n' ||
+       '        "id ' || CAST(c_custkey AS STRING) || '"\n' ||
+       '      );\n' ||
+       '    } else if (opts) throw new RangeError("opts")\n' ||
+       '    return items.map((i) => {\n' ||
+       '      return i;\n' ||
+       '    });\n' ||
+       '  }\n' ||
+       '}\n' ||
+       'function last' || CAST(c_custkey AS STRING) || '(a, [b]) { return 1 }\n' AS content
+FROM <<customer>>"""
+
+VIEWS["formatted_files"] = """
+SELECT path, language, content FROM <<formatted_py>> UNION ALL SELECT path, language, content FROM <<formatted_js>>"""
+
 VIEWS["manifest_files"] = """
 SELECT s_suppkey AS manifest_ord, 'packages_mjs/app-' || CAST(s_suppkey AS STRING) || '/package.json' AS path,
        '{"name":"app-' || CAST(s_suppkey AS STRING) || '","version":"1.' || CAST(s_nationkey AS STRING)
