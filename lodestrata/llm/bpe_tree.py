@@ -13,7 +13,7 @@ an unchanged outermost token makes the pair over the window's edge one of the si
 
 The tree has two levels, as the vocabulary has:
 
-* A piece (a match of the pattern) is halved down to single bytes and joined as above. What short
+* A piece (a match of the pattern) is halved down to ``LEAF_BYTES`` and joined as above. What short
   halves give is remembered, within a bound. A piece that is a token as a whole is that token.
 * A text is halved down to ``LEAF`` characters; a leaf is cut into pieces by the pattern. At a
   join the last pieces of the left that lie within ``LOOK`` characters of its end are open (the pattern looks no
@@ -54,8 +54,10 @@ from lodestrata.llm.common import table
 LEAF = 4096
 #: A match is fixed once this many characters follow it: ``'ll`` is the longest look ahead of the pattern.
 LOOK = 2
-#: Entries of each of a worker's four memories; the longest bytes remembered of halves and windows.
-MEMORY = 600_000
+#: Bytes of a leaf of a piece's tree.
+LEAF_BYTES = 6
+#: Entries of each half of each of a worker's four memories; the longest bytes remembered of halves and windows.
+MEMORY = 300_000
 SHORT = 64
 #: Ids put into one Arrow batch before it is handed on (a single longer text is a batch by itself).
 BATCH_IDS = 1 << 20
@@ -80,16 +82,17 @@ class Matcher:
     """``findall`` of a pattern with the encoder library's own letters, digits and blanks."""
 
     def __init__(self, pattern: str):
-        self.plain = regex.compile(pattern)
+        self.pattern, self.plain, self.odd = pattern, regex.compile(pattern), None
+
+    def ask(self) -> None:
+        """Compare the classes; only texts with a character on which the two differ need the long form."""
         every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
-        odd, exact = set(), pattern
+        odd, exact = set(), self.pattern
         for name in (r"\p{L}", r"\p{N}", r"\s"):
             theirs, ours = self.members(name, every), set(regex.findall(name, every))
             odd |= theirs ^ ours
             exact = self.put(exact, name, theirs)
-        self.odd = regex.compile(f"[{self.ranges(odd)}]") if odd else None
-        # Only texts with a character on which the two differ need the long classes.
-        self.exact = regex.compile(exact) if odd else self.plain
+        self.odd, self.exact = regex.compile(f"[{self.ranges(odd)}]" if odd else r"(?!)"), regex.compile(exact)
 
     @staticmethod
     def members(name: str, every: str) -> set[str]:
@@ -127,27 +130,37 @@ class Matcher:
         return "".join(out)
 
     def __call__(self, text: str) -> list[str]:
-        if self.odd and not text.isascii():
+        if not text.isascii():
             try:
-                text.encode("latin-1")
+                text.encode("latin-1")  # all versions agree on these characters
             except UnicodeEncodeError:
+                if self.odd is None:
+                    self.ask()
                 if self.odd.search(text):
                     return self.exact.findall(text)
         return self.plain.findall(text)
 
 
 class Memory(dict):
-    """A bounded memory of a function of the key; ``keep`` says which keys stay."""
+    """A bounded memory of a function of the key; ``keep`` says which keys stay.
+
+    When it is full it becomes the old half, and what is asked for again comes back from there, so
+    frequent keys stay.
+    """
 
     def __init__(self, make, keep=lambda key: True):
-        self.make, self.keep = make, keep
+        self.make, self.keep, self.old = make, keep, {}
 
     def __missing__(self, key):
-        found = self.make(key)
-        if self.keep(key):
-            if len(self) >= MEMORY:
-                self.clear()
-            self[key] = found
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if not self.keep(key):
+                return found
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
@@ -156,7 +169,7 @@ class TreeEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF):
         self.ranks, self.leaf = ranks, leaf
-        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.bytes = dict(zip(ranks.values(), ranks))
         self.match = Matcher(pattern)
         short = lambda key: len(key) <= SHORT
         self.windows, self.halves = Memory(self.merge, short), Memory(self.halve, short)
@@ -201,19 +214,20 @@ class TreeEncoder:
             left[n - i:] = window
 
     def halve(self, piece: bytes) -> tuple[int, ...]:
-        if len(piece) == 1:
-            return (self.ranks[piece],)
+        if len(piece) <= LEAF_BYTES:
+            return self.merge(piece)
         middle = len(piece) // 2
         return self.join(self.halves[piece[:middle]], self.halves[piece[middle:]])
 
-    def word(self, piece: str) -> tuple[int, ...]:
+    def word(self, piece: str) -> bytes:
+        """Ids of a piece, as the bytes of native ints: they take less room and are joined faster."""
         piece = piece.encode()
         rank = self.ranks.get(piece)
-        return self.halve(piece) if rank is None else (rank,)
+        return array("i", self.halve(piece) if rank is None else (rank,)).tobytes()
 
     # Pieces of one text.
 
-    def tree(self, text: str) -> tuple[list[str], list[tuple[int, ...]]]:
+    def tree(self, text: str) -> tuple[list[str], list[bytes]]:
         """The pieces of a text and the ids of each."""
         if len(text) <= max(self.leaf, 1):
             pieces = self.match(text)
@@ -257,7 +271,7 @@ class TreeEncoder:
             k *= 2
 
     def encode(self, text: str) -> array:
-        return array("i", chain.from_iterable(self.tree(text)[1]))
+        return array("i", b"".join(self.tree(text)[1]))
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= max(self.leaf, 1):
