@@ -135,12 +135,15 @@ def x3(spark, sf):
     return span_columns(X.spans(*span_sides(table(spark, sf, "events")), timeout="5 minutes", streaming=False))
 
 
-@query("x3_spans_stream", SPANS.replace("LEFT JOIN", "JOIN"))
+@query("x3_spans_stream", SPANS)
 def x3_stream(spark, sf):
-    """The pairs a stream has found so far; open starts follow once the watermark passes them."""
-    events = stream(spark, sf, "events")
-    out = X.spans(*span_sides(events), timeout="5 minutes", late="40 days")
-    return span_columns(X.run_available(out, None, "append", "spans").filter("end_ts IS NOT NULL"))
+    """The same from a stream of several batches; every fifth request comes up to four minutes late."""
+    def late(side, name, mark):
+        arrival = F.col("ts") + F.make_interval(mins=(F.col("request_id") % 5).cast("int"))
+        return X.replay(side.withColumn("arrival", arrival), "arrival", "ts", "1 hour", name, {"request_id": mark}).drop("arrival")
+    starts, ends = span_sides(table(spark, sf, "events"))
+    out = X.spans(late(starts, "starts", -1), late(ends, "ends", -2), timeout="5 minutes", late="5 minutes")
+    return span_columns(X.run_available(out, None, "append", "spans").filter("request_id >= 0"))
 
 
 @query("x4_status_stream", f"SELECT provider, {STATUS} AS status, count(*) AS checks FROM <<checks>> GROUP BY 1, 2")

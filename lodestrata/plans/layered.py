@@ -94,19 +94,21 @@ def m11(spark, sf):
     return out.select("doc_id", F.array_join("path", ".").alias("path"), "value", "layer", F.array_join(shown, ",").alias("hidden"))
 
 
-@query("j7_with_defaults", """WITH items AS (SELECT * FROM <<layers_text>> WHERE layer = 0),
-g AS (SELECT r_name AS n, r_regionkey AS k FROM region),
-defs AS (SELECT CASE WHEN k = 0 THEN 'meta.type' WHEN k = 1 THEN 'name' ELSE 'global.' || n END AS path, n AS value, 'string' AS vtype FROM g)
-SELECT doc_id, path, value, vtype, 1 AS layer FROM items
-UNION ALL SELECT d.doc_id, defs.path, defs.value, defs.vtype, 0 FROM (SELECT DISTINCT doc_id FROM items) d, defs
-WHERE defs.path NOT IN ('meta.type', 'name')""")
+# Every layer of every document is an item of its own.
+ITEMS = """SELECT doc_id || '/' || layer AS doc_id, 1 AS layer, path, value, vtype FROM <<layers_text>>
+UNION ALL SELECT DISTINCT doc_id || '/' || l.layer, 0, CASE WHEN r_regionkey = 0 THEN 'meta.type' WHEN r_regionkey = 1 THEN 'name' ELSE 'global.' || r_name END,
+ r_name, 'string' FROM <<layers_text>> l, region"""
+
+
+@query("j7_with_defaults", MERGED.replace("SELECT * FROM <<layers_text>>", ITEMS) + """SELECT CAST(split_part(doc_id, '/', 1) AS BIGINT) AS doc_id,
+CAST(split_part(doc_id, '/', 2) AS INT) AS of_layer, path, value, vtype, layer FROM merged""")
 def j7(spark, sf):
-    items = layers(spark, sf).filter("layer = 0").drop("layer")
     k = F.col("r_regionkey")
     defaults = table(spark, sf, "region").select(
         F.split(F.when(k == 0, "meta.type").when(k == 1, "name").otherwise(F.concat(F.lit("global."), "r_name")), "\\.").alias("path"),
         F.col("r_name").alias("value"), F.lit("string").alias("vtype"))
-    return J.with_defaults(items, defaults).withColumn("path", F.array_join("path", "."))
+    items = layers(spark, sf).withColumnRenamed("layer", "of_layer")
+    return J.with_defaults(items, defaults, ("doc_id", "of_layer")).withColumn("path", F.array_join("path", "."))
 
 
 @query("j8_allowed", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")

@@ -54,7 +54,8 @@ def spans(starts: DataFrame, ends: DataFrame, timeout: str = "10 minutes", late:
 
     ``starts`` has request_id, ts; ``ends`` has request_id, ts, event. An end counts
     when it comes within ``timeout`` of the start. The time bound and the
-    watermarks let a stream drop old state.
+    watermarks let a stream drop old state. A stream gives an open start once the watermark is
+    past it by the timeout.
     """
     s = starts.select(F.col("request_id").alias("s_id"), F.col("ts").alias("start_ts"))
     e = ends.select(F.col("request_id").alias("e_id"), F.col("ts").alias("end_ts"), F.col("event").alias("outcome"))
@@ -67,6 +68,37 @@ def spans(starts: DataFrame, ends: DataFrame, timeout: str = "10 minutes", late:
                                               ms.alias("duration_ms"))
 
 
+def replay(df: DataFrame, arrival: str, ts: str, after: str, name: str, mark: dict, batches: int = 4, rows: int = 1_000_000) -> DataFrame:
+    """``df`` as a stream of several batches in the order of ``arrival``, closed by two marker batches.
+
+    Each batch is one file of at most about ``rows`` rows. A marker is a row with the values of ``mark``
+    whose ``ts`` lies ``after`` behind the last row; it moves the watermark past the end, so what waits for it
+    (the unmatched rows of an outer join) is delivered. The reader drops the marker; it should not be told by a
+    null, because filters on nulls are moved before the watermark. The files' times are set, so the store has to allow that.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    parts = max(batches, -(-df.count() // rows))
+    df.repartitionByRange(parts, arrival).sortWithinPartitions(arrival).write.parquet(path)
+    end = df.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).alias("_end"))
+    marker = end.select(*[(F.col("_end") if c == ts else F.lit(mark.get(c))).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def data_files() -> dict:
+        found = {f.getPath().getName(): f.getPath() for f in fs.listStatus(folder)}
+        return {n: p for n, p in found.items() if n.startswith("part-")}
+    order = sorted(data_files().items())
+    for _ in range(2):
+        marker.coalesce(1).write.mode("append").parquet(path)
+        known = {n for n, _ in order}
+        order += [(n, p) for n, p in data_files().items() if n not in known]
+    for place, (_, file) in enumerate(order):
+        fs.setTimes(file, 1_600_000_000_000 + 1000 * place, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def status_stream(checks: DataFrame) -> DataFrame:
     """Running number of checks per provider and status class."""
     return checks.groupBy("provider", status_class("status_code").alias("status")).agg(F.count(F.lit(1)).alias("checks"))
