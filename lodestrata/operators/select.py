@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.running import global_rank
-
-# Above this many leading rows a page is found by distributed numbering, not by a top-n.
-TOP_N_ROWS = 10_000
+# A range of the order is divided until it holds at most this many rows; boundaries per division.
+RANGE_ROWS = 50_000
+BOUNDS = 48
 TOKEN_SPLIT = "[^\\p{L}\\p{N}]+"
 # BM25 parameters.
 BM25_K1, BM25_B = 1.2, 0.75
@@ -145,20 +144,71 @@ def get_by_id(df: DataFrame, id_col: str, *values) -> DataFrame:
     return df.filter(F.col(id_col).isin(*values)) if len(values) != 1 else df.filter(F.col(id_col) == values[0])
 
 
-def page_offset(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 100) -> DataFrame:
-    """Rows ``skip`` to ``skip + limit`` in an order that must be total."""
-    if skip + limit <= TOP_N_ROWS:
-        return df.orderBy(*order).offset(skip).limit(limit)
-    ranked = global_rank(df, order, "_row")
-    return ranked.filter((F.col("_row") > skip) & (F.col("_row") <= skip + limit)).drop("_row")
+def _after(order: list[str], boundary: tuple) -> Column:
+    """Whether a row comes at or after the boundary in the order (``-name``: descending; nulls as Spark sorts them)."""
+    test = F.lit(True)
+    for name, value in reversed(list(zip(order, boundary))):
+        col, known = F.col(name.lstrip("-")), F.lit(value)
+        if name.startswith("-"):
+            later = F.lit(False) if value is None else col.isNull() | (col < known)
+        else:
+            later = col.isNotNull() if value is None else F.coalesce(col > known, F.lit(False))
+        test = later | (col.eqNullSafe(known) & test)
+    return test
+
+
+def _sorting(order: list[str]) -> list[Column]:
+    return [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in order]
+
+
+def order_range(df: DataFrame, order: list[str], skip: int, limit: int, most: int = RANGE_ROWS) -> tuple[DataFrame, int, int]:
+    """The range of the order that holds a page: its rows, the rows before it, and the number of all rows.
+
+    A histogram: ``BOUNDS`` rows with the smallest hashes are the boundaries, one pass counts the rows between them, and
+    only the ranges that meet the page are gone on with, until they hold ``most`` rows. Each round is one
+    scan of the order columns with a filter on the range; the driver sees boundaries and counts.
+    """
+    keys = [name.lstrip("-") for name in order]
+    rows, before, inside = df, 0, None
+    total = size = df.count()
+    while size > max(most, 2 * limit):
+        sample = rows.select(*keys).orderBy(F.xxhash64(*keys)).limit(BOUNDS).distinct().orderBy(*_sorting(order)).collect()
+        bounds = [tuple(r) for r in sample]
+        place = reduce(lambda a, b: a + b, [_after(order, b).cast("int") for b in bounds])
+        counts = {r["p"]: r["count"] for r in rows.groupBy(place.alias("p")).count().collect()}
+        ends, at = [], before
+        for p in range(len(bounds) + 1):
+            ends.append((p, at, at + counts.get(p, 0)))
+            at = ends[-1][2]
+        met = [p for p, a, b in ends if a < skip + limit and b > skip]
+        if not met:
+            return df.limit(0), before, total
+        low, high = met[0], met[-1]
+        if ends[high][2] - ends[low][1] == size:
+            break  # equal rows, or a page as long as the range
+        before, size = ends[low][1], ends[high][2] - ends[low][1]
+        tests = ([_after(order, bounds[low - 1])] if low else []) + ([~_after(order, bounds[high])] if high < len(bounds) else [])
+        inside = reduce(lambda a, b: a & b, tests, inside if inside is not None else F.lit(True))
+        rows = df.filter(inside)
+    return rows, before, total
+
+
+def page_offset(df: DataFrame, order: list[str], skip: int = 0, limit: int = 100) -> DataFrame:
+    """Rows ``skip`` to ``skip + limit`` in an order that must be total (``-name`` sorts descending).
+
+    A page at any depth is a top-n of the one range that holds it; nothing is sorted as a whole or written.
+    """
+    rows, before, _ = order_range(df, order, skip, limit)
+    return rows.orderBy(*_sorting(order)).offset(max(0, skip - before)).limit(limit)
 
 
-def paginate(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
+def paginate(df: DataFrame, order: list[str], page: int, page_size: int) -> DataFrame:
     """One numbered page with ``total`` and ``total_pages`` on every row."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return page_offset(df, order, (page - 1) * page_size, page_size).withColumns({
-        "page": F.lit(page), "page_size": F.lit(page_size), "total": total,
-        "total_pages": F.ceil(total / F.lit(page_size))})
+    skip = (page - 1) * page_size
+    rows, before, total = order_range(df, order, skip, page_size)
+    return rows.orderBy(*_sorting(order)).offset(max(0, skip - before)).limit(page_size).withColumns({
+        "page": F.lit(page), "page_size": F.lit(page_size), "total": F.lit(total).cast("long"),
+        "total_pages": F.lit(-(-total // page_size)).cast("long")})
 
 
 def latest(df: DataFrame, order_col: str, n: int, tie: str) -> DataFrame:

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from lodestrata.operators import aggregates as A
+from lodestrata.operators import index as IX
 from lodestrata.operators import keyvalue as K
 from lodestrata.operators import ordered as W
 from lodestrata.operators import select as P
 from lodestrata.operators.merge import first_wins, last_wins
-from lodestrata.plans.base import query, spread, table, view
+from lodestrata.plans.base import ORACLES, query, spread, table, view
 from lodestrata.sources import tables as S
 
 NOW = "2024-01-20 00:00:00"
@@ -117,6 +118,28 @@ def p6(spark, sf):
     return hits.select("_id", "_index", "_score", "total", F.col("_source.lang").alias("lang"))
 
 
+def indexed(spark, sf):
+    return IX.build_index(table(spark, sf, "documents"), "doc_id", ["text", "source"], ["lang", "source"])
+
+
+@query("p5_match_indexed", ORACLES["p5_match"])
+def p5_indexed(spark, sf):
+    hits = IX.match_indexed(spark, indexed(spark, sf), "Nicht, threea eau", "text")
+    return hits.select(F.col("id").alias("doc_id"), "lang")
+
+
+@query("p6_search_indexed", ORACLES["p6_search"])
+def p6_indexed(spark, sf):
+    hits = IX.search_indexed(spark, indexed(spark, sf), "Threea nicht SRC7", ["text", "source"], 20, "docs")
+    return hits.select("_id", "_index", "_score", "total", F.col("_source.lang").alias("lang"))
+
+
+@query("p9_page_descending", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber DESC, l_partkey, l_suppkey OFFSET 41000 LIMIT 300")
+def p9_descending(spark, sf):
+    order = ["-l_shipdate", "l_orderkey", "-l_linenumber", "l_partkey", "l_suppkey"]
+    return P.page_offset(table(spark, sf, "lineitem"), order, 41000, 300).select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
 @query("p7_match_all", "SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
 def p7(spark, sf):
     return P.match_all(table(spark, sf, "part"), 25, [F.desc("p_retailprice"), F.asc("p_partkey")]).select("p_partkey", "p_name")
@@ -129,19 +152,19 @@ def p8(spark, sf):
 
 @query("p9_page_offset", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice, o_orderkey OFFSET 200 LIMIT 100")
 def p9(spark, sf):
-    return P.page_offset(table(spark, sf, "orders"), [F.asc("o_totalprice"), F.asc("o_orderkey")], 200, 100).select("o_orderkey", "o_custkey")
+    return P.page_offset(table(spark, sf, "orders"), ["o_totalprice", "o_orderkey"], 200, 100).select("o_orderkey", "o_custkey")
 
 
 @query("p9_page_offset_deep", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey OFFSET 30000 LIMIT 500")
 def p9_deep(spark, sf):
     cols = ["l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return P.page_offset(table(spark, sf, "lineitem").select(*cols), [F.asc(c) for c in cols], 30000, 500)
+    return P.page_offset(table(spark, sf, "lineitem").select(*cols), cols, 30000, 500)
 
 
 @query("p10_paginate", """SELECT c_custkey, 3 AS page, 20 AS page_size, (SELECT count(*) FROM customer) AS total,
 CAST(ceil((SELECT count(*) FROM customer) / 20.0) AS BIGINT) AS total_pages FROM customer ORDER BY c_acctbal, c_custkey OFFSET 40 LIMIT 20""")
 def p10(spark, sf):
-    return P.paginate(table(spark, sf, "customer"), [F.asc("c_acctbal"), F.asc("c_custkey")], 3, 20).select(
+    return P.paginate(table(spark, sf, "customer"), ["c_acctbal", "c_custkey"], 3, 20).select(
         "c_custkey", "page", "page_size", "total", "total_pages")
 
 
