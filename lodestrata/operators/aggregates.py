@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,13 +16,54 @@ LANGUAGES = ("python", "javascript", "typescript")
 SUMMARY_KINDS = ("classes", "functions", "exceptions", "constants")
 
 
+def aggregate(df: DataFrame, specs: list[tuple[str, str, str, int | None]]) -> DataFrame:
+    """Several named aggregations over one frame: rows (agg, key, doc_count, value).
+
+    ``specs`` holds ``(kind, field, name, size)`` with kind ``terms`` or ``avg``. One scan and one aggregate for all of them:
+    a row gives one tagged value per aggregation (an array field each of its values once), which are combined
+    before the shuffle. Only the leading values of an aggregation reach the task that ranks them.
+    Null values count in neither kind.
+    """
+    tagged = "array<struct<agg:string,key:string,num:double,value:double>>"
+    none = F.lit(None).cast("double")
+    parts = []
+    for kind, field, name, _ in specs:
+        of = df.schema[field].dataType
+        if kind == "terms":
+            many = isinstance(of, T.ArrayType)
+            item = of.elementType if many else of
+            values = F.array_distinct(field) if many else F.array(field)
+            number = isinstance(item, T.NumericType)  # ties are in the order of the values, so numbers are not ordered as texts
+            parts.append(F.transform(F.filter(F.coalesce(values, F.array().cast(T.ArrayType(item))), lambda v: v.isNotNull()), lambda v: F.struct(
+                F.lit(name).alias("agg"), v.cast("string").alias("key"), (v.cast("double") if number else none).alias("num"), none.alias("value"))))
+        elif kind == "avg":
+            parts.append(F.array(F.struct(F.lit(name).alias("agg"), F.lit(None).cast("string").alias("key"), none.alias("num"),
+                                          F.col(field).cast("double").alias("value"))))
+        else:
+            raise ValueError(f"unknown aggregation: {kind}")
+    rows = df.select(F.inline(F.concat(*[p.cast(tagged) for p in parts])))
+    counted = rows.groupBy("agg", "key", "num").agg(F.count(F.lit(1)).alias("doc_count"), F.avg("value").alias("value"))
+    sizes = {name: size or 10 for kind, _, name, size in specs if kind == "terms"}
+    place = F.row_number().over(Window.partitionBy("agg").orderBy(F.desc("doc_count"), F.asc("num"), F.asc("key")))
+    size = reduce(lambda c, n: c.when(F.col("agg") == n, sizes[n]), sizes, F.when(F.lit(False), 0)).otherwise(1)
+    top = counted.withColumn("_place", place).filter(F.col("_place") <= max([1, *sizes.values()])).filter(F.col("_place") <= size)
+    averages = [name for kind, _, name, _ in specs if kind == "avg"]
+    # No rows: a mean is still one row.
+    empty = df.sparkSession.createDataFrame([(n,) for n in averages], "agg string")
+    shown = top.select("agg", "key", F.when(F.col("agg").isin(*sizes), F.col("doc_count")).alias("doc_count"), "value")
+    if not averages:
+        return shown
+    return shown.unionByName(empty.join(shown.select("agg"), "agg", "left_anti").select(
+        "agg", F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("doc_count"), none.alias("value")))
+
+
 def terms_agg(df: DataFrame, field: str, size: int = 10) -> DataFrame:
-    """Top values by row count, ties by value. An array field counts each value once per row."""
+    """Top values by row count, ties by value. An array field counts each value once per row; nulls do not count."""
     if isinstance(df.schema[field].dataType, T.ArrayType):
         values = df.select(F.explode(F.array_distinct(field)).alias("key"))
     else:
-        values = df.select(F.col(field).alias("key")).filter(F.col("key").isNotNull())
-    counted = values.groupBy("key").agg(F.count(F.lit(1)).alias("doc_count"))
+        values = df.select(F.col(field).alias("key"))
+    counted = values.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("doc_count"))
     return counted.orderBy(F.desc("doc_count"), F.asc("key")).limit(size)
 
 
@@ -31,41 +72,20 @@ def avg_agg(df: DataFrame, field: str, name: str = "value") -> DataFrame:
     return df.agg(F.avg(field).alias(name))
 
 
-def aggregate(df: DataFrame, specs: list[tuple[str, str, str, int | None]]) -> DataFrame:
-    """Several named aggregations over one frame: rows (agg, key, doc_count, value).
-
-    ``specs`` holds ``(kind, field, name, size)`` with kind ``terms`` or ``avg``.
-    """
-    parts = []
-    for kind, field, name, size in specs:
-        if kind == "terms":
-            part = terms_agg(df, field, size or 10).select(
-                F.lit(name).alias("agg"), F.col("key").cast("string"), "doc_count",
-                F.lit(None).cast("double").alias("value"))
-        elif kind == "avg":
-            part = avg_agg(df, field).select(
-                F.lit(name).alias("agg"), F.lit(None).cast("string").alias("key"),
-                F.lit(None).cast("long").alias("doc_count"), "value")
-        else:
-            raise ValueError(f"unknown aggregation: {kind}")
-        parts.append(part)
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _section(col: str = "language"):
     return F.when(F.col(col) == "python", "python").when(
         F.col(col).isin("javascript", "typescript"), "nodejs")
 
 
 def import_stats(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """One row: files, files per language, imports, imports per type."""
-    by_file = files.agg(F.count(F.lit(1)).alias("total_files"),
-                        *[F.count_if(F.col("language") == x).alias(f"{x}_files") for x in LANGUAGES])
-    by_import = imports.agg(
-        F.struct(F.count(F.lit(1)).alias("total_imports"),
-                 *[F.count_if(F.col("import_type") == x).alias(f"{x}_imports") for x in IMPORT_TYPES]
-                 ).alias("s")).scalar()
-    return by_file.withColumn("_s", by_import).select("*", "_s.*").drop("_s")
+    """One row: files, files per language, imports, imports per type; one aggregate over both kinds of rows."""
+    none = F.lit(None).cast("string")
+    both = files.select(F.lit(1).alias("f"), "language", none.alias("import_type")).unionByName(
+        imports.select(F.lit(0).alias("f"), none.alias("language"), "import_type"))
+    return both.agg(F.sum("f").alias("total_files"),
+                    *[F.count_if(F.col("language") == x).alias(f"{x}_files") for x in LANGUAGES],
+                    F.count_if(F.col("f") == 0).alias("total_imports"),
+                    *[F.count_if(F.col("import_type") == x).alias(f"{x}_imports") for x in IMPORT_TYPES])
 
 
 def import_stats_by_language(files: DataFrame, imports: DataFrame) -> DataFrame:
@@ -117,16 +137,16 @@ def fold_stats(files: DataFrame, folds: DataFrame, by_section: bool = False) ->
 
 
 def corpus_stats(files: DataFrame, items: DataFrame) -> DataFrame:
-    """One row: packages, files, classes, functions, exceptions, files per language.
+    """One row: packages, files, classes, functions, exceptions, files per language; one aggregate over both kinds of rows.
 
     ``files`` has package, path, language; ``items`` has kind (classes, functions, exceptions).
     """
-    f = files.agg(F.countDistinct("package").alias("packages_analyzed"),
-                  F.count(F.lit(1)).alias("files_analyzed"),
-                  *[F.count_if(F.col("language") == x).alias(f"{x}_files") for x in LANGUAGES])
-    counts = items.agg(F.struct(*[F.count_if(F.col("kind") == k).alias(f"{k}_found")
-                                  for k in ("classes", "functions", "exceptions")]).alias("s")).scalar()
-    return f.withColumn("_s", counts).select("*", "_s.*").drop("_s")
+    none = F.lit(None).cast("string")
+    both = files.select("package", "language", F.lit(1).alias("f"), none.alias("kind")).unionByName(
+        items.select(none.alias("package"), none.alias("language"), F.lit(0).alias("f"), "kind"))
+    return both.agg(F.countDistinct("package").alias("packages_analyzed"), F.sum("f").alias("files_analyzed"),
+                    *[F.count_if(F.col("language") == x).alias(f"{x}_files") for x in LANGUAGES],
+                    *[F.count_if(F.col("kind") == k).alias(f"{k}_found") for k in ("classes", "functions", "exceptions")])
 
 
 def file_summary(files: DataFrame, items: DataFrame) -> DataFrame:

@@ -267,19 +267,56 @@ def nearest_scope_above(points: DataFrame, scopes: DataFrame) -> DataFrame:
     return nearest_scope(points, later.filter(F.col("start_line") <= F.col("end_line")))
 
 
+def _is_constant(m) -> Column:
+    return m["name"].rlike("^[^a-z]*[A-Z][^a-z]*$") | m["name"].startswith("_") | m["type"].isNotNull()
+
+
 def constants(files: DataFrame) -> DataFrame:
     """Constants: path, language, name, type, value, line."""
     def row(m):
         return F.struct(m["name"].alias("name"), F.trim(m["type"]).alias("type"), F.trim(m["value"]).alias("value"),
                         m["line"].alias("line"))
 
-    def shout(m):
-        return m["name"].rlike("^[^a-z]*[A-Z][^a-z]*$") | m["name"].startswith("_") | m["type"].isNotNull()
-
-    return _extract(files, [_each(PY_CONSTANT, ["name", "type", "value"], row, shout)],
+    return _extract(files, [_each(PY_CONSTANT, ["name", "type", "value"], row, _is_constant)],
                     [_each(JS_CONSTANT, ["name", "type", "value"], row)])
 
 
+def definitions(files: DataFrame) -> DataFrame:
+    """Classes, exceptions, functions (also methods, see ``indent``) and constants in one pass: path, language, kind, name, line, indent, bases.
+
+    An exception is what :func:`error_classes` calls one, the other classes are classes.
+    """
+    def row(kind, m, line, indent, bases=None):
+        return F.struct(F.lit(kind).alias("kind"), m["name"].alias("name"), line.alias("line"), indent.alias("indent"),
+                        (_none_array() if bases is None else bases).alias("bases"))
+
+    def indent_of(m):
+        return F.length(F.coalesce(m["indent"], F.lit("")))
+
+    def py_class(m):
+        bases = F.filter(F.transform(F.split(m["base_list"], ","), lambda b: F.trim(b)), lambda b: (b != "") & ~b.contains("="))
+        return row("classes", m, m["line"] + _lines_in(m["decor"]), indent_of(m), F.coalesce(bases, _none_array()))
+
+    def py_def(m):
+        return row("functions", m, m["line"] + _lines_in(m["decor"]), indent_of(m))
+
+    def plain_row(kind):
+        return lambda m: row(kind, m, m["line"], F.lit(0))
+
+    found = _extract(
+        shielded(files),
+        [_each(PY_CLASS, ["decor", "indent", "name", "base_list"], py_class),
+         _each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py_def),
+         _each(PY_CONSTANT, ["name", "type", "value"], plain_row("constants"), _is_constant)],
+        [_each(JS_CLASS, ["name", "base"], lambda m: row("classes", m, m["line"], F.lit(0), F.array_compact(F.array(m["base"])))),
+         _each(JS_FUNCTION, ["async", "name", "params_text"], plain_row("functions")),
+         _each(JS_ARROW, ["name", "async", "params_text"], plain_row("functions")),
+         _each(JS_CONSTANT, ["name", "type", "value"], plain_row("constants"))])
+    bases = F.transform("bases", plain)
+    error = (F.col("kind") == "classes") & _is_error("language", "name", bases)
+    return found.withColumns({"kind": F.when(error, "exceptions").otherwise(F.col("kind")), "bases": bases})
+
+
 def exports(files: DataFrame) -> DataFrame:
     """Exported names: path, language, name, line."""
     def named(m, names):
@@ -292,13 +329,16 @@ def exports(files: DataFrame) -> DataFrame:
          _each(JS_EXPORT_DECL, ["name"], lambda m: F.struct(m["name"].alias("name"), m["line"].alias("line")))])
 
 
+def _is_error(language: str, name: str, bases: Column) -> Column:
+    python = F.exists(bases, lambda b: b.contains("Exception") | b.contains("Error"))
+    script = F.col(name).contains("Error") & F.coalesce(F.try_element_at(bases, F.lit(1)), F.lit("")).rlike("^(Error|[A-Z]\\w*Error)$")
+    return F.when(F.col(language) == "python", python).otherwise(script)
+
+
 def error_classes(files: DataFrame) -> DataFrame:
     """Error classes: path, language, name, base, line."""
-    found = classes(files).withColumn("base", F.try_element_at("bases", F.lit(1)))
-    python = F.exists("bases", lambda b: b.contains("Exception") | b.contains("Error"))
-    script = F.col("name").contains("Error") & F.col("base").rlike("^(Error|[A-Z]\\w*Error)$")
-    return found.filter(F.when(F.col("language") == "python", python).otherwise(script)).select(
-        "path", "language", "name", "base", "line")
+    return classes(files).filter(_is_error("language", "name", F.col("bases"))).select(
+        "path", "language", "name", F.try_element_at("bases", F.lit(1)).alias("base"), "line")
 
 
 def guards(files: DataFrame) -> DataFrame:

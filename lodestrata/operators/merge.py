@@ -35,13 +35,16 @@ def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
             .select(*key, "_r.*").select(*df.columns))
 
 
-def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Every write with its status: the first per key is ``SET``, later ones ``SKIP``."""
+def first_wins(df: DataFrame, key: list[str], order: list[str], override: bool = False) -> DataFrame:
+    """Every write with its status: the first per key is ``SET``, later ones ``SKIP``, with ``override`` ``OVERWRITE``.
+
+    Without ``override`` the value that holds is that of ``SET``; with it, that of :func:`last_wins`.
+    """
     first = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
     named = first.select(*[F.col(k).alias(f"_k_{k}") for k in key], "_first")
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key])
     return (df.join(named, on).withColumn(
-        "status", F.when(F.struct(*order) == F.col("_first"), "SET").otherwise("SKIP"))
+        "status", F.when(F.struct(*order) == F.col("_first"), "SET").otherwise("OVERWRITE" if override else "SKIP"))
         .select(*df.columns, "status"))
 
 
@@ -95,6 +98,13 @@ def leaf_rows(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
     return df.select(*keys, F.inline(_leaves(F.col(json_col))))
 
 
+def unparsed(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
+    """Documents that ``leaf_rows`` and ``flatten_keys`` cannot read: keys, size in characters, error."""
+    c = F.col(json_col)
+    error = F.when(F.trim(c) == "", "Empty document").otherwise("Failed to parse JSON")
+    return df.filter(c.isNotNull() & F.try_parse_json(c).isNull()).select(*keys, F.length(c).alias("size"), error.alias("error"))
+
+
 def _nodes(layers: DataFrame) -> DataFrame:
     """One row per document position: its last own write, its last scalar write, the last write below it.
 

@@ -300,9 +300,7 @@ def j4(spark, sf):
 
 
 def classified(spark, sf):
-    m = manifests(spark, sf)
-    external = dependencies(spark, sf).select("name").distinct()
-    return J.classify_imports(E.imports(files(spark, sf)), J.internal_packages(m), external)
+    return J.classify_by(E.imports(files(spark, sf)), J.package_names(manifests(spark, sf)))
 
 
 @query("j1_classify_imports", "SELECT path, line, module, import_type FROM <<x_classified>>")
@@ -387,13 +385,8 @@ def a7_sections(spark, sf):
 
 
 def items(spark, sf):
-    f = files(spark, sf)
-    errors = E.error_classes(f).select("path", F.lit("exceptions").alias("kind"), "name")
-    plain = E.classes(f).select("path", "name").join(errors.select("path", "name"), ["path", "name"], "left_anti")
-    top = E.functions(f).filter("indent = 0")
-    return (errors.select("path", "kind").unionByName(plain.select("path", F.lit("classes").alias("kind")))
-            .unionByName(top.select("path", F.lit("functions").alias("kind")))
-            .unionByName(E.constants(f).select("path", F.lit("constants").alias("kind"))))
+    """Definitions by kind; methods do not count as functions."""
+    return E.definitions(files(spark, sf)).filter("kind <> 'functions' OR indent = 0").select("path", "kind")
 
 
 @query("a8_corpus_stats", """SELECT count(DISTINCT regexp_extract(path, '^[^/]*/[^/]*')) AS packages_analyzed, count(*) AS files_analyzed, count(*) FILTER (language = 'python') AS python_files,

@@ -2,13 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from lodestrata.operators import aggregates as A
+from lodestrata.operators import ordered as W
 from lodestrata.plans.base import query, table
 from lodestrata.plans.relational import KV_FOLD, STATUS
 from lodestrata.session import scratch_path
 from lodestrata.sources import files as SF
 from lodestrata.sources import payloads as SP
 from lodestrata.streaming import jobs as X
-from lodestrata.streaming import ttl
+from lodestrata.streaming import pieces, ttl
 
 
 def stream(spark, sf, name):
@@ -51,6 +53,61 @@ def s8(spark, sf):
     return found.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder"), "language", F.explode(lines).alias("key")).withColumn("key", F.col("key").cast("long"))
 
 
+def property_files(spark, sf):
+    """One file per supplier: good and bad lines, every fifth not UTF-8."""
+    s = table(spark, sf, "supplier").selectExpr("s_suppkey", """CASE WHEN s_suppkey % 5 = 0 THEN CAST(X'413DFF' AS STRING) ELSE
+        '# note\nKEY_' || s_suppkey || '=first\nno value\n\n1x=' || s_name || '\nexport KEY_' || s_suppkey || '="' || s_name || '"' END AS value""")
+    path = scratch_path(spark, "property-files")
+    s.write.partitionBy("s_suppkey").text(path)
+    return f"{path}/*"
+
+
+def _key(col):
+    return F.regexp_extract(col, "s_suppkey=(-?\\d+)", 1).cast("long")
+
+
+@query("s7_property_errors", """SELECT s_suppkey, CAST(unnest([3, 5]) AS INTEGER) AS line, unnest(['no value', '1x=' || s_name]) AS text, unnest(['No value', 'Invalid key']) AS error FROM supplier WHERE s_suppkey % 5 <> 0
+UNION ALL SELECT s_suppkey, NULL, NULL, 'Not UTF-8' FROM supplier WHERE s_suppkey % 5 = 0""")
+def s7_errors(spark, sf):
+    return SF.property_errors(spark, property_files(spark, sf), "*.txt").select(_key("file").alias("s_suppkey"), "line", "text", "error")
+
+
+@query("s7_load_result", """SELECT count(*) FILTER (s_suppkey % 5 <> 0) AS files, count(*) FILTER (s_suppkey % 5 <> 0) AS variables, count(*) FILTER (s_suppkey % 5 <> 0) AS keys,
+2 * count(*) FILTER (s_suppkey % 5 <> 0) AS bad_lines, count(*) FILTER (s_suppkey % 5 = 0) AS unread_files FROM supplier""")
+def s7_result(spark, sf):
+    path = property_files(spark, sf)
+    return SF.properties_summary(SF.read_properties(spark, path, "*.txt"), SF.property_errors(spark, path, "*.txt"))
+
+
+def mixed_tree(spark, sf):
+    """One source file per supplier; some are not UTF-8, some larger than 2,000 bytes."""
+    s = table(spark, sf, "supplier").selectExpr("s_suppkey", """CASE s_suppkey % 4 WHEN 1 THEN CAST(X'C328' AS STRING) WHEN 2 THEN repeat('x = 1\n', 500)
+        ELSE 'function f_' || s_suppkey || '() {\n  return 1\n}' END AS value""")
+    path = scratch_path(spark, "mixed-tree")
+    s.write.partitionBy("s_suppkey").text(path)
+    return path
+
+
+ANY_TEXT = {"max_bytes": 2000, "extra_names": ("*.txt",)}
+
+
+_REJECTED = """CASE s_suppkey % 4 WHEN 1 THEN 'Not UTF-8' WHEN 2 THEN 'Larger than 2000 bytes' END"""
+
+
+@query("s8_scan_errors", f"SELECT s_suppkey, CAST(CASE s_suppkey % 4 WHEN 1 THEN 3 ELSE 3001 END AS BIGINT) AS size, {_REJECTED} AS error FROM supplier WHERE s_suppkey % 4 IN (1, 2)")
+def s8_errors(spark, sf):
+    return SF.scan_errors(spark, mixed_tree(spark, sf), **ANY_TEXT).select(_key("path").alias("s_suppkey"), "size", "error")
+
+
+@query("a6_outline_stats_errors", """SELECT count(*) AS total_files, 4 * count(*) FILTER (s_suppkey % 4 IN (0, 3)) AS total_lines, count(*) FILTER (s_suppkey % 4 IN (0, 3)) AS total_nodes,
+count(*) FILTER (s_suppkey % 4 IN (1, 2)) AS files_with_errors, 0 AS python_files, 0 AS javascript_files, 0 AS typescript_files FROM supplier""")
+def a6_errors(spark, sf):
+    tree = SF.scan_all(spark, mixed_tree(spark, sf), **ANY_TEXT)
+    lines = F.coalesce(F.size(F.split("content", "\n")), F.lit(0))
+    read = tree.select("path", "language", F.when(F.col("error").isNull(), lines).otherwise(0).alias("line_count"), F.col("error").isNotNull().alias("has_error"))
+    return A.outline_stats(read, W.outline(tree.filter("error IS NULL")))
+
+
 @query("s9_unwrap_results", """SELECT c_custkey, CAST(CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE 2 END AS BIGINT) AS total, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name FROM customer
 UNION ALL SELECT c_custkey, 2, -c_custkey, c_mktsegment FROM customer WHERE c_custkey % 4 <> 0""")
 def s9(spark, sf):
@@ -111,6 +168,22 @@ def x2(spark, sf):
     return X.run_available(X.assemble(events, ["conv_id"], "turn"), ["conv_id", "chunk"], "update", "assembled")
 
 
+@query("x2_assemble_stream", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text, CAST(count(*) AS BIGINT) AS pieces FROM conversations GROUP BY conv_id")
+def x2_stream(spark, sf):
+    """The same from several batches, out of order and with every third piece twice."""
+    own = pieces.rocksdb_session(spark)
+    chunk = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    ts = F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=F.col("turn").cast("int"))
+    one = table(own, sf, "conversations").select("conv_id", "turn", chunk.alias("data"), ts.alias("ts"))
+    twice = one.filter("turn % 3 = 0")
+    arrival = F.col("ts") + F.make_interval(mins=((F.col("turn") * 7 + F.col("conv_id")) % 5 + F.col("copy") * 3).cast("int"))
+    events = one.withColumn("copy", F.lit(0)).unionByName(twice.withColumn("copy", F.lit(1))).withColumn("arrival", arrival)
+    mark = {"conv_id": -1, "turn": 0, "data": '{"choices":[{"delta":{"content":""}}]}'}
+    stream_ = X.replay(events, "arrival", "ts", "1 hour", "pieces", mark)
+    runs = X.run_available(pieces.assemble_stream(stream_, ["conv_id"], "turn", "ts"), None, "append", "runs", reader=spark)
+    return pieces.joined_text(runs.filter("conv_id >= 0"), ["conv_id"])
+
+
 SPANS = """WITH s AS (SELECT event_id // 2 AS request_id, ts FROM events WHERE event_id % 2 = 0), e AS (SELECT event_id // 2 AS request_id, ts, CASE WHEN event_type = 'error' THEN 'request:error' ELSE 'request:end' END AS event
  FROM events WHERE event_id % 2 = 1 AND event_type <> 'signup')
 SELECT s.request_id, epoch_us(s.ts) AS start_us, epoch_us(e.ts) AS end_us, e.event AS outcome, (epoch_us(e.ts) - epoch_us(s.ts)) / 1000.0 AS duration_ms

@@ -263,6 +263,13 @@ def m5_leaves(spark, sf):
     return M.leaf_rows(docs, ["id"], "doc").withColumn("path", F.array_join("path", "."))
 
 
+@query("m5_unparsed", """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 1 THEN length(p_name) + 4 ELSE 1 END AS size,
+CASE WHEN p_partkey % 3 = 1 THEN 'Failed to parse JSON' ELSE 'Empty document' END AS error FROM part WHERE p_partkey % 3 <> 0""")
+def m5_unparsed(spark, sf):
+    docs = table(spark, sf, "part").selectExpr("p_partkey AS id", """CASE p_partkey % 3 WHEN 0 THEN '{"name":"' || p_name || '"}' WHEN 1 THEN '{"' || p_name || '":' ELSE ' ' END AS doc""")
+    return M.unparsed(docs, ["id"], "doc")
+
+
 CHANGES = "SELECT o_custkey AS c_custkey, max(o_orderpriority) AS c_name FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey UNION ALL SELECT -s_suppkey - 1, s_name FROM supplier"
 
 

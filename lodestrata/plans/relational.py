@@ -233,6 +233,15 @@ def w2(spark, sf):
     return first_wins(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
 
 
+@query("w2_override", """SELECT user_id, event_type, event_id, CASE WHEN row_number() OVER w = 1 THEN 'SET' ELSE 'OVERWRITE' END AS status,
+last_value(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS holds
+FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)""")
+def w2_override(spark, sf):
+    writes, key = table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"]
+    last = last_wins(writes, key, ["event_id"]).withColumnRenamed("event_id", "holds")
+    return first_wins(writes, key, ["event_id"], override=True).join(last, key)
+
+
 @query("w3_number_rows", """SELECT o_custkey, o_orderkey, 'FR-' || CASE WHEN r < 1000 THEN lpad(CAST(r AS VARCHAR), 3, '0') ELSE CAST(r AS VARCHAR) END AS id
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders)""")
 def w3(spark, sf):

@@ -245,15 +245,15 @@ VIEWS["formatted_files"] = """
 SELECT path, language, content FROM <<formatted_py>> UNION ALL SELECT path, language, content FROM <<formatted_js>>"""
 
 VIEWS["manifest_files"] = """
-SELECT s_suppkey AS manifest_ord, 'packages_mjs/app-' || CAST(s_suppkey AS STRING) || '/package.json' AS path,
+SELECT s_suppkey AS manifest_ord, CASE WHEN s_suppkey % 2 = 0 THEN 'packages_mjs/app-' || CAST(s_suppkey AS STRING) || '/package.json'
+       ELSE 'packages_py/pkg-' || CAST(s_suppkey AS STRING) || '/pyproject.toml' END AS path,
+       CASE WHEN s_suppkey % 2 = 0 THEN
        '{"name":"app-' || CAST(s_suppkey AS STRING) || '","version":"1.' || CAST(s_nationkey AS STRING)
        || '.0","dependencies":{"react":"^' || CAST(s_suppkey % 4 AS STRING) || '.0","core":"workspace:*"},"devDependencies":{"lib-'
-       || CAST(s_suppkey % 9 AS STRING) || '":"~' || CAST(s_suppkey AS STRING) || '"}}' AS content
-FROM <<supplier>> WHERE s_suppkey % 2 = 0
-UNION ALL
-SELECT s_suppkey, 'packages_py/pkg-' || CAST(s_suppkey AS STRING) || '/pyproject.toml',
+       || CAST(s_suppkey % 9 AS STRING) || '":"~' || CAST(s_suppkey AS STRING) || '"}}'
+       ELSE
        '[project]\nname = "pkg-' || CAST(s_suppkey AS STRING) || '"\nversion = "2.' || CAST(s_nationkey AS STRING)
        || '"\ndescription = ''' || s_name || '''\n\n[tool.poetry.dependencies]\nlib_' || CAST(s_suppkey % 9 AS STRING)
        || ' = "^' || CAST(s_suppkey AS STRING) || '"\nlocal = {path = "../x"}\n\n[tool.poetry.dev-dependencies]\n# none\npytest = "'
-       || CAST(s_suppkey % 6 AS STRING) || '"\n'
-FROM <<supplier>> WHERE s_suppkey % 2 = 1"""
+       || CAST(s_suppkey % 6 AS STRING) || '"\n' END AS content
+FROM <<supplier>>"""

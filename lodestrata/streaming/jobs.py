@@ -111,14 +111,16 @@ def counter_stream(commands: DataFrame) -> DataFrame:
     return ops.groupBy("key").agg(F.sum(signed).alias("value"))
 
 
-def run_available(stream: DataFrame, keys: list[str] | None, mode: str, name: str, tie: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, keys: list[str] | None, mode: str, name: str, tie: str | None = None,
+                  reader: SparkSession | None = None) -> DataFrame:
     """Run a stream over the input that is there and give its result as a batch frame.
 
     Each micro-batch overwrites its own folder, so a batch that is run again
     after a failure leaves no double rows. With ``keys`` the newest row per key is kept; of
-    two in one batch the one with the larger ``tie`` (an expression). No input gives no rows.
+    two in one batch the one with the larger ``tie`` (an expression). No input gives no rows. The
+    result belongs to the session ``reader``, if another than the stream's.
     """
-    spark = stream.sparkSession
+    spark = reader or stream.sparkSession
     out, marks = scratch_path(spark, name), scratch_path(spark, name + "-marks")
 
     batches = []
