@@ -13,10 +13,17 @@ query has not opened yet, joins their neighbours, scores the new ones and keeps
 ``pool``. A query starts at its own node. At the end the pool is scored exactly, in double
 precision on the original vectors, and copies of a vector are listed by vec_id.
 
-Nearness is the inner product. Base vectors are divided by the largest norm and get one more
+Rounds end when fewer than ``FEW_NEWS`` of all list entries are new, the search when fewer than
+``FEW_CHANGED`` of the queries have a new node among their best: both by what they find, not by a fixed number.
+
+Nearness is the inner product. Base vectors are divided by a large norm and get one more
 coordinate that makes them unit vectors; a query has 0 there. Inner products keep their
-order, and near in the graph means near in angle. Graph and search work on vectors of one
-byte per coordinate; the bytes that are shuffled per round are about
+order, and near in the graph means near in angle. That norm is the ``GIANTS``-th largest, so that a
+few outliers do not squeeze all others into one direction; the ``GIANTS`` nodes of the largest norms, a number
+that does not grow with the table, are compared with every query and are where its walk starts, beside its own node.
+
+Graph and search work on vectors of one byte per coordinate (the added one is kept whole, it would
+spoil the scale of the others); the bytes that are shuffled per round are about
 ``2 * degree * (dimensions + 20)`` a node, so rounds grow linearly with the table.
 
 Bounds: lists have at most ``degree`` forward and ``degree`` reverse neighbours (the nearest
@@ -45,18 +52,19 @@ TOP = 20
 DEGREE = 32
 #: Nearest members that a member is told about in one local join.
 TOLD = 8
-ROUNDS = 3
 LEAF = 1024
 TREES = 12
 BEAM = 40
 POOL = 200
-SEARCH_ROUNDS = 6
+FEW_NEWS = 0.01
+FEW_CHANGED = 0.005
+GIANTS = 256
 SEED = 42
 
 
 def valid_rows(vectors: DataFrame) -> DataFrame:
     """vec_id, row number and the components as bytes (float64) of the rows that take part."""
-    rows = numbered(vectors.select("vec_id", "embedding")).select("vec_id", ROW, F.col("embedding").cast("array<double>").alias("v"))
+    rows = numbered(vectors, "vec_id", "embedding").select("vec_id", ROW, F.col("embedding").cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,33 +91,41 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return data.reshape(n, -1) if n else data.reshape(0, 1)
 
 
-def small_vectors(nodes: DataFrame) -> DataFrame:
-    """(node, small): unit vectors of one byte a coordinate, the last coordinate being the added one."""
+def giants_of(nodes: DataFrame, most: int = GIANTS) -> list[tuple[int, np.ndarray]]:
+    """(node, vector) of the ``most`` nodes of the largest norms, largest first; a top-n, bounded for any table."""
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                most = float(np.linalg.norm(_matrix(batch.column(0), np.float64), axis=1).max())
-                yield pa.RecordBatch.from_pydict({"norm": [most]})
+                norm = np.linalg.norm(_matrix(batch.column(1), np.float64), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(norm)], names=["node", "raw", "norm"])
+
+    rows = nodes.select("node", "raw").mapInArrow(norms, "node long, raw binary, norm double")
+    return [(r.node, np.frombuffer(r.raw, np.float64)) for r in rows.orderBy(F.desc("norm"), "node").limit(most).collect()]
 
-    largest = nodes.select("raw").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0] or 1.0
 
+def small_vectors(nodes: DataFrame, largest: float) -> DataFrame:
+    """(node, small): unit vectors of one byte a coordinate, after the scale and the added coordinate as floats."""
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(1), np.float64) / largest
+            # A vector above the norm is cut to a unit vector here; it is found as a giant.
+            v /= np.maximum(1.0, np.linalg.norm(v, axis=1, keepdims=True))
             rest = np.sqrt(np.maximum(0.0, 1.0 - (v * v).sum(1, keepdims=True)))
-            full = np.hstack([v, rest])
             # Components of unit vectors are small: each row uses the whole range of a byte.
-            scale = np.maximum(np.abs(full).max(1, keepdims=True), 1e-30)
-            small = np.rint(full / scale * 127).astype(np.int8)
-            packed = [s.tobytes() + r.tobytes() for s, r in zip((scale / 127).astype(np.float32), small)]
+            scale = np.maximum(np.abs(v).max(1, keepdims=True), 1e-30)
+            small = np.rint(v / scale * 127).astype(np.int8)
+            head = np.hstack([scale / 127, rest]).astype(np.float32)
+            packed = [h.tobytes() + r.tobytes() for h, r in zip(head, small)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "small"])
 
     return nodes.select("node", "raw").mapInArrow(shrink, "node long, small binary")
 
 
 def _unpack(rows: list[bytes]) -> np.ndarray:
+    """The vectors with the added coordinate as the last one."""
     data = np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1)
-    return data[:, 4:].astype(np.float32) * np.ascontiguousarray(data[:, :4]).view(np.float32)
+    head = np.ascontiguousarray(data[:, :8]).view(np.float32)
+    return np.hstack([data[:, 8:].astype(np.float32) * head[:, :1], head[:, 1:]])
 
 
 def _meet(told: int):
@@ -231,15 +247,17 @@ def improve(graph: DataFrame, small: DataFrame, degree: int, told: int) -> DataF
     return saved(_best(rows.drop("centre").mapInArrow(_meet(told), _NEWS), graph, degree), "graph")
 
 
-def build_graph(small: DataFrame, n: int, degree: int = DEGREE, rounds: int = ROUNDS, told: int = TOLD,
+def build_graph(small: DataFrame, n: int, degree: int = DEGREE, few_news: float = FEW_NEWS, told: int = TOLD,
                 trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
-    """(node, near): the nearest ``degree`` nodes found, nearest first."""
+    """(node, near): the nearest ``degree`` nodes found, nearest first; rounds go on until few entries are new."""
     graph = first_lists(small, n, degree, trees, leaf, seed)
-    for _ in range(rounds):
+    while True:
         better = improve(graph, small, degree, told)
         discard(graph)
         graph = better
-    return graph
+        fresh, entries = graph.agg(F.sum(F.size(F.filter("near", lambda e: e["fresh"]))), F.sum(F.size("near"))).first()
+        if (fresh or 0) <= few_news * (entries or 0):
+            return graph
 
 
 def _score_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,33 +275,56 @@ def _rank(by: list, order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
-def search(queries: DataFrame, graph: DataFrame, small: DataFrame, degree: int = DEGREE, beam: int = BEAM,
-           pool: int = POOL, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def starts(of_query: DataFrame, giants: list[tuple[int, np.ndarray]], largest: float, beam: int) -> DataFrame:
+    """(q, node, s): the best ``beam`` giants of every query."""
+    ids = np.array([node for node, _ in giants], np.int64)
+    matrix = np.array([v / largest for _, v in giants], np.float32).reshape(len(giants), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            scores = _unpack(batch.column(1).to_pylist())[:, :-1] @ matrix.T
+            k = min(beam, len(ids))
+            best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            q = np.repeat(batch.column(0).to_numpy(), k)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[best].ravel()),
+                                              pa.array(np.take_along_axis(scores, best, 1).ravel().astype(np.float32))], names=["q", "node", "s"])
+
+    return of_query.mapInArrow(run, "q long, node long, s float").filter("q <> node")
+
+
+def search(queries: DataFrame, graph: DataFrame, small: DataFrame, giants: list[tuple[int, np.ndarray]], largest: float,
+           degree: int = DEGREE, beam: int = BEAM, pool: int = POOL, few_changed: float = FEW_CHANGED, top: int = TOP) -> DataFrame:
     """(q, node) of the ``pool`` nearest nodes that the walk of each query node ``q`` met."""
     edges = kept_edges(graph, degree)
     forward = graph.select("node", F.explode("near").alias("e")).select("node", F.col("e.w").alias("to"))
     both = forward.unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("to")))
     links = saved(both.groupBy("node").agg(F.collect_set("to").alias("to")), "links")
     of_query = saved(queries.join(small, F.col("q") == F.col("node")).select("q", F.col("small").alias("q_small")), "queries")
-    state = saved(of_query.select("q", F.col("q").alias("node"), F.lit(1e30).cast("float").alias("s"),
-                                  F.lit(True).alias("open")), "state")
-    for _ in range(rounds):
+    own = of_query.select("q", F.col("q").alias("node"), F.lit(1e30).cast("float").alias("s"))
+    state = saved(own.unionByName(starts(of_query, giants, largest, beam)).withColumn("open", F.lit(True)), "state")
+    asked = of_query.count()
+    while True:
         turn = _rank(["q", "open"], [F.desc("s"), F.col("node")])
-        ranked = saved(state.withColumn("turn", F.when(F.col("open"), turn)), "ranked")
+        ranked = saved(state.select("q", "node", "s", "open").withColumn("turn", F.when(F.col("open"), turn)), "ranked")
         to_open = ranked.filter(F.col("turn") <= beam)
         met = (to_open.join(links, "node").select("q", F.explode("to").alias("node")).distinct()
                .join(ranked.select("q", "node"), ["q", "node"], "left_anti"))
         scored = (met.join(of_query, "q").join(small, "node").select("q", "node", "q_small", "small")
                   .mapInArrow(_score_small, "q long, node long, s float"))
         opened = F.col("open") & ~F.coalesce(F.col("turn") <= beam, F.lit(False))
-        everything = ranked.select("q", "node", "s", opened.alias("open")).unionByName(
-            scored.withColumn("open", F.lit(True)))
+        everything = ranked.select("q", "node", "s", opened.alias("open"), F.lit(False).alias("new")).unionByName(
+            scored.withColumns({"open": F.lit(True), "new": F.lit(True)}))
         place = _rank(["q"], [F.desc("s"), F.col("node")])
-        after = saved(everything.withColumn("place", place).filter(F.col("place") <= pool).drop("place"), "state")
+        after = saved(everything.withColumn("place", place).filter(F.col("place") <= pool), "state")
         discard(ranked)
         discard(state)
         state = after
-    return state.select("q", "node")
+        # The query's own node is the first; it goes on while nodes come into the best ``top`` behind it.
+        changed = state.filter(F.col("new") & (F.col("place") <= top + 1)).select("q").distinct().count()
+        if changed <= few_changed * asked:
+            return state.select("q", "node")
 
 
 def _score_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,19 +336,22 @@ def _score_exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b))], names=["q", "node", "score"])
 
 
-def nearest(vectors: DataFrame, is_query: Column | str, top: int = TOP, degree: int = DEGREE, rounds: int = ROUNDS,
-            beam: int = BEAM, pool: int = POOL, search_rounds: int = SEARCH_ROUNDS, seed: int = SEED) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column | str, top: int = TOP, degree: int = DEGREE, few_news: float = FEW_NEWS,
+            beam: int = BEAM, pool: int = POOL, few_changed: float = FEW_CHANGED, leaf: int = LEAF, giants: int = GIANTS,
+            seed: int = SEED) -> DataFrame:
     """The ``top`` nearest rows of every query row: query_id, rank, vec_id, score."""
     rows = valid_rows(vectors)
     classes = rows.groupBy("raw").agg(F.min("vec_id").alias("__first")).select("raw")
     nodes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     named = saved(rows.join(nodes, "raw").select("vec_id", ROW, "node"), "named")
-    small = saved(small_vectors(nodes), "small")
+    large = giants_of(nodes, giants)
+    largest = float(np.linalg.norm(large[-1][1])) if large else 1.0
+    small = saved(small_vectors(nodes, largest), "small")
     n = nodes.count()
-    graph = build_graph(small, n, degree, rounds, seed=seed)
+    graph = build_graph(small, n, degree, few_news, leaf=leaf, seed=seed)
     asked = saved(named.filter(is_query), "asked")
-    met = search(asked.select(F.col("node").alias("q")).distinct(), graph, small, degree, beam, max(pool, top + 1),
-                 search_rounds)
+    met = search(asked.select(F.col("node").alias("q")).distinct(), graph, small, large, largest, degree, beam,
+                 max(pool, top + 1), few_changed, top)
     of_query = nodes.select(F.col("node").alias("q"), F.col("raw").alias("q_raw"))
     scored = (met.join(of_query, "q").join(nodes, "node").select("q", "node", "q_raw", "raw")
               .mapInArrow(_score_exact, "q long, node long, score double"))
