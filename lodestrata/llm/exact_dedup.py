@@ -43,7 +43,7 @@ BITS_PER_ROW = 16
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, row number, SHA-256 (hex) of the text without blanks, code points of the text."""
     text = F.coalesce("text", F.lit(""))
-    return numbered(docs.select("doc_id", "text")).select(
+    return numbered(docs, "doc_id", "text").select(
         "doc_id", ROW, F.sha2(F.regexp_replace(text, f"[{BLANK}]+", ""), 256).alias("text_sha256"),
         F.length(text).cast("long").alias("__len"))
 

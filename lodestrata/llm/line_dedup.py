@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ROW, numbered, saved, table
+from lodestrata.llm.common import DOC, ROW, fields_of, numbered, packed, saved, table
 from lodestrata.llm.components import connected_components
 
 SIMILARITY = 0.8
@@ -61,13 +61,20 @@ def units(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def remaining(lines: Column, drop: Column) -> Column:
+    """The lines whose place is not in the sorted list ``drop``: the stretches between the dropped ones, put together."""
+    starts = F.concat(F.array(F.lit(-1)), drop)
+    ends = F.concat(drop, F.array(F.size(lines)))
+    return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+
+
 def normalise(line: Column) -> Column:
     return F.btrim(F.lower(line), F.lit(" \t\r"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, row number, line number and normalised text of every line that has letters or digits."""
-    exploded = numbered(docs.select("doc_id", "text")).select("doc_id", ROW, F.posexplode(units(F.col("text"))).alias("line_no", "line"))
+    exploded = numbered(docs, "doc_id", "text").select("doc_id", ROW, F.posexplode(units(F.col("text"))).alias("line_no", "line"))
     return exploded.select("doc_id", ROW, "line_no", normalise(F.col("line")).alias("norm")).filter(F.col("norm").rlike(r"[\p{L}\p{N}]"))
 
 
@@ -201,7 +208,7 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     place_slot = F.pmod(F.xxhash64(ROW, "line_no"), F.lit(SLOTS))
     rows = F.broadcast(wanted.select(row_slot.alias("slot")).distinct())
     places = F.broadcast(wanted.select(place_slot.alias("slot")).distinct())
-    some = numbered(docs.select("text")).withColumn("slot", row_slot).join(rows, "slot", "left_semi")
+    some = numbered(docs, "text").withColumn("slot", row_slot).join(rows, "slot", "left_semi")
     lines = some.select(ROW, F.posexplode(units(F.col("text"))).alias("line_no", "line")).withColumn("slot", place_slot)
     found = lines.join(places, "slot", "left_semi").drop("slot").join(wanted, [ROW, "line_no"])
     return found.select("h", normalise(F.col("line")).alias("norm"))
@@ -220,6 +227,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per line with letters or digits: doc_id, row number, line_no, the group's kept line, and kept."""
+    docs = numbered(docs, "doc_id", "text")
     lines = saved(fingerprinted(lines_of(docs)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW, "line_no")
     classes = saved(lines.groupBy("h").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min(place).alias("first"),
@@ -247,15 +255,20 @@ def drop_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> Data
 
     ``n_chars``, where there is one, is the length of the new text.
     """
-    dropped = (line_groups(docs, similarity).filter("NOT kept").groupBy(F.col(ROW).alias("__key"))
-               .agg(F.collect_list("line_no").alias("__drop")))
-    joined = numbered(docs).join(dropped, F.col(ROW) == F.col("__key"), "left")
-    stay = F.filter(units(F.col("text")), lambda line, i: ~F.array_contains(F.col("__drop"), i))
-    out = joined.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    whole = packed(docs)
+    dropped = (line_groups(fields_of(whole, "doc_id", "text"), similarity).filter("NOT kept").groupBy(F.col(ROW).alias("__key"))
+               .agg(F.array_sort(F.collect_list("line_no")).alias("__drop")))
+    joined = whole.join(dropped, F.col(ROW) == F.col("__key"), "left")
+    doc, drop = F.col(DOC), F.col("__drop")
+    text = F.when(drop.isNull(), doc["text"]).otherwise(F.array_join(remaining(units(doc["text"]), drop), "\n"))
+    out = joined.withColumn("__text", text)
+    columns = []
+    for c in docs.columns:
+        if c == "n_chars":
+            columns.append(F.when(drop.isNull(), doc[c]).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("__text").alias(c) if c == "text" else doc[c].alias(c))
+    return out.select(*columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

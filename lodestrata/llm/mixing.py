@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ROW, WORD_RE, numbered, saved, table
+from lodestrata.llm.common import DOC, ROW, WORD_RE, fields_of, numbered, packed, saved, table
 from lodestrata.operators.running import global_rank
 
 #: Rows settled by one task of the tree.
@@ -45,7 +45,7 @@ MOST = 2.0
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, row number, source and number of words of every document."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
-    return numbered(docs.select("doc_id", "text", "source")).select("doc_id", ROW, "source", words.alias("size"))
+    return numbered(docs, "doc_id", "text", "source").select("doc_id", ROW, "source", words.alias("size"))
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -169,8 +169,9 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
 
     A document without words counts for nothing in any target and is passed on once.
     """
-    taken = mix(docs, weights, share, most, block, seed)
+    whole = packed(docs)
+    taken = mix(fields_of(whole, "doc_id", "text", "source"), weights, share, most, block, seed)
     times = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1))
     taken = taken.select(F.col(ROW).alias("__taken"), times.alias("__times")).filter("__times > 0")
-    return (numbered(docs).join(taken, F.col(ROW) == F.col("__taken"))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns))
+    return (whole.join(taken, F.col(ROW) == F.col("__taken"))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(f"{DOC}.*"))

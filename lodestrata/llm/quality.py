@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ROW, numbered, saved, table
+from lodestrata.llm.common import ROW, fields_of, keep_rows, numbered, packed, saved, table
 from lodestrata.operators.running import global_rank
 
 #: Buckets of words and pairs; as many again for shapes.
@@ -121,7 +121,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
                  pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())],
                 names=["doc_id", ROW, "log_weight", "n_ngrams", "noise", "key"])
 
-    return numbered(docs.select("doc_id", "text")).select("doc_id", ROW, "text").mapInArrow(
+    return numbered(docs, "doc_id", "text").select("doc_id", ROW, "text").mapInArrow(
         run, f"doc_id long, {ROW} long, log_weight double, n_ngrams long, noise double, key double")
 
 
@@ -135,8 +135,8 @@ def resample(docs: DataFrame, labels: DataFrame, level: float = LEVEL, seed: int
 
 def keep_good(docs: DataFrame, labels: DataFrame, level: float = LEVEL, seed: int = SEED) -> DataFrame:
     """The documents that ``resample`` keeps, with all their columns."""
-    kept = resample(docs, labels, level, seed).filter("kept").select(F.col(ROW).alias("__kept"))
-    return numbered(docs).join(kept, F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
+    whole = packed(docs)
+    return keep_rows(whole, resample(fields_of(whole, "doc_id", "text"), labels, level, seed).filter("kept"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

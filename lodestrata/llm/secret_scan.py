@@ -55,7 +55,7 @@ FEATURES = ("length", "digits", "capitals", "smalls", "distinct", "changes", "pa
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, row number, nth candidate of the row, its start, the string, and the text before and behind it."""
-    rows = numbered(docs.select("doc_id", "text")).select(
+    rows = numbered(docs, "doc_id", "text").select(
         "doc_id", ROW, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), "text").filter("size(found) > 0")
     rows = rows.withColumn("between", F.split("text", CANDIDATE))
     exploded = rows.select("doc_id", ROW, "found", "between", F.posexplode("found").alias("nth", "secret"))
@@ -145,7 +145,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, threshold:
     if findings is None:
         labelled = rows.filter("label IS NOT NULL")
     else:
-        given = numbered(findings.select("secret", "start", "before", "after", "label")).withColumn("nth", F.lit(0))
+        given = numbered(findings, "secret", "start", "before", "after", "label").withColumn("nth", F.lit(0))
         labelled = features(given, words)
     training = sample_findings(labelled)
     sides = training.groupBy("label").count().filter(F.col("count") >= MIN_PER_CLASS).count()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ROW, numbered, saved, table
+from lodestrata.llm.common import ROW, fields_of, keep_rows, numbered, packed, saved, table
 from lodestrata.llm.components import connected_components
 
 SHINGLE = 3
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                              np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found)],
                                              names=["doc_id", ROW, "fp"])
-    return numbered(docs.select("doc_id", "text")).select("doc_id", ROW, "text").mapInArrow(
+    return numbered(docs, "doc_id", "text").select("doc_id", ROW, "text").mapInArrow(
         run, f"doc_id long, {ROW} long, fp long")
 
 
@@ -200,5 +200,5 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """The documents that ``simhash_groups`` keeps, with all their columns."""
-    kept = simhash_groups(docs, shingle, radius, seed).filter("kept").select(F.col(ROW).alias("__kept"))
-    return numbered(docs).join(kept, F.col(ROW) == F.col("__kept"), "left_semi").drop(ROW)
+    whole = packed(docs)
+    return keep_rows(whole, simhash_groups(fields_of(whole, "doc_id", "text"), shingle, radius, seed).filter("kept"))
