@@ -8,7 +8,11 @@
 3. The fingerprint is cut into four blocks of 16 bits. Two fingerprints that differ in at most 3
    bits agree in a whole block (pigeonhole), so classes are joined on (block, value) and a pair
    goes on if at most ``MOST_BITS`` bits differ. That finds every pair within 3 bits and
-   most of those up to ``MOST_BITS`` (they need one block in common).
+   those up to ``MOST_BITS`` that have one block in common: changes that are few against the
+   length of a line. In shorter lines one word moves more bits than that, so the words are blocks too:
+   a line is cut into four quarters of its words, and classes are joined on all quarters but one, in lines of ``PAIRED``
+   words and more on any two quarters. Words that change in place in one quarter (two in
+   longer lines) leave a key as it was; every class of a key is compared with the key's smallest.
 4. Pairs are verified by edit similarity: 1 - Levenshtein distance / longer length, at least
    ``SIMILARITY``, in characters, or in words where a line is longer than ``LONG_CHARS``.
 5. Connected groups keep one occurrence, that of the smallest (doc_id, row, line number).
@@ -34,7 +38,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import DOC, ROW, fields_of, numbered, packed, saved, table
+from lodestrata.llm.common import DOC, ROW, discard, fields_of, numbered, packed, saved, table
 from lodestrata.llm.components import connected_components
 
 SIMILARITY = 0.8
@@ -45,6 +49,11 @@ BLOCK_BITS = 16
 #: A component is skipped in buckets where it has at least this many classes; changes the work, not the result.
 DOMINANT = 32
 
+#: Words from which two equal quarters are a key; in shorter lines it takes three.
+PAIRED = 16
+#: Keys of quarters of a line.
+QUARTER_KEYS = [f"k{i}" for i in range(6)]
+
 #: Slots of the filters for documents and lines whose texts are compared.
 SLOTS = 1 << 20
 #: Edits looked for before the whole band of the limit is.
@@ -101,8 +110,23 @@ def _majority_of_lanes(n: Column) -> Column:
     return _or(found)
 
 
+def quarter_keys(words: Column) -> list[Column]:
+    """Hashes of the words of a line without one of its quarters, or of two quarters; null where there is no such key.
+
+    In lines of at most four words a quarter is a word or nothing, and the hash of all words is a key as well, so a
+    word more or less is found too.
+    """
+    n = F.size(words)
+    cuts = [F.floor(n * F.lit(j) / F.lit(4)).cast("int") for j in range(5)]
+    quarter = [F.when(cuts[j + 1] > cuts[j], F.xxhash64(F.slice(words, cuts[j] + 1, cuts[j + 1] - cuts[j]))) for j in range(4)]
+    without = [F.when((n > 1) & (n < PAIRED) & quarter[j].isNotNull(), F.xxhash64(*[q for i, q in enumerate(quarter) if i != j])) for j in range(4)]
+    short = [*without, F.when(n < 5, F.xxhash64(*quarter)), F.lit(None).cast("long")]
+    pairs = [F.xxhash64(F.lit(i), F.lit(j), quarter[i], quarter[j]) for i in range(4) for j in range(i)]
+    return [F.when(n >= PAIRED, p).otherwise(s).alias(k) for p, s, k in zip(pairs, short, QUARTER_KEYS)]
+
+
 def fingerprinted(lines: DataFrame) -> DataFrame:
-    """doc_id, row number, line_no, h (hash of the normalised text), chars and SimHash ``sim`` of every line.
+    """doc_id, row number, line_no, h (hash of the normalised text), chars, keys of quarters and SimHash ``sim`` of every line.
 
     The features are pairs of neighbouring words (the last word by itself). Up to ``SEGMENT`` of
     them are counted in eight sums of packed lanes; a line of more is summed from several
@@ -110,11 +134,11 @@ def fingerprinted(lines: DataFrame) -> DataFrame:
     """
     words = F.split("norm", " ")
     pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
-    of_line = ["doc_id", "h", "chars", "words"]
+    of_line = ["doc_id", "h", "chars", "words", *QUARTER_KEYS]
     key = [ROW, "line_no"]
     # What belongs to the line is computed before the rows are multiplied.
     whole = lines.select("doc_id", *key, F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"),
-                         F.size(words).alias("words"), pairs.alias("pairs"))
+                         F.size(words).alias("words"), *quarter_keys(words), pairs.alias("pairs"))
     spread = whole.select(*key, *of_line, F.posexplode("pairs").alias("at", "p")).select(
         *key, *of_line, F.floor(F.col("at") / F.lit(SEGMENT)).cast("int").alias("part"), F.xxhash64("p.a", "p.b").alias("x"))
     sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(8)]
@@ -155,6 +179,16 @@ def chain_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             .filter(F.col("b").isNotNull() & _may_be_near(similarity)).select("a", "b").distinct())
 
 
+def quarter_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Each class with the smallest one that has a key of quarters in common: at most six pairs a class."""
+    keyed = saved(classes.select("h", "chars", F.explode(F.array_distinct(F.array_compact(F.array(*QUARTER_KEYS)))).alias("key")), "keyed")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "chars")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shorter, longer = F.least("chars", "hub.chars"), F.greatest("chars", "hub.chars")
+    lengths = (shorter >= F.lit(similarity - 1e-9) * longer) | (longer > LONG_CHARS)
+    return (keyed.join(hubs, "key").filter(lengths & (F.col("h") != F.col("hub.h")))
+            .select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).distinct())
+
+
 def block_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs of classes of different components that share a block and may be near."""
     key = F.explode(F.array(*[_block(q).bitwiseOR(F.lit(q << BLOCK_BITS)).cast("int") for q in range(BLOCKS)]))
@@ -181,20 +215,34 @@ def _word_codes(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), code), "")), "UTF-16BE")
 
 
-def similar(a: Column, b: Column, similarity: float = SIMILARITY) -> Column:
-    """Whether the edit similarity of two normalised lines is at least ``similarity``."""
+def similar(a: Column, b: Column, similarity: float = SIMILARITY, a_codes: Column | None = None, b_codes: Column | None = None,
+            longest: Column | None = None) -> Column:
+    """Whether the edit similarity of two normalised lines is at least ``similarity``.
+
+    Texts of one character per word (``_word_codes``) and the length of the longest word may be given. A word changed, put in
+    or taken out costs at most its length and a blank, so few changes of words prove the similarity in characters
+    without comparing these (one word is allowed for in case two have one code).
+    """
+    a_codes = _word_codes(a) if a_codes is None else a_codes
+    b_codes = _word_codes(b) if b_codes is None else b_codes
+
     def within(x: Column, y: Column, most: Column) -> Column:
         return F.call_function("levenshtein", x, y, most) >= 0
 
-    def near(x: Column, y: Column) -> Column:
-        longer = F.greatest(F.length(x), F.length(y))
-        limit = F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
+    def limit_of(x: Column, y: Column) -> Column:
+        return F.floor(F.greatest(F.length(x), F.length(y)) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
 
+    def near(x: Column, y: Column) -> Column:
+        limit = limit_of(x, y)
         # Most near lines are very near: a narrow band first, the whole band only where that fails.
         few = F.least(limit, F.lit(NARROW))
         return within(x, y, few) | ((limit > NARROW) & within(x, y, limit))
     long = F.greatest(F.length(a), F.length(b)) > LONG_CHARS
-    return F.when(long, near(_word_codes(a), _word_codes(b))).otherwise(near(a, b))
+    by_words = F.lit(False)
+    if longest is not None:
+        words = F.floor(limit_of(a, b) / (longest + 1)).cast("int") - 1
+        by_words = (words >= 0) & within(a_codes, b_codes, words)
+    return F.when(long, near(a_codes, b_codes)).otherwise(by_words | near(a, b))
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -211,7 +259,8 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     some = numbered(docs, "text").withColumn("slot", row_slot).join(rows, "slot", "left_semi")
     lines = some.select(ROW, F.posexplode(units(F.col("text"))).alias("line_no", "line")).withColumn("slot", place_slot)
     found = lines.join(places, "slot", "left_semi").drop("slot").join(wanted, [ROW, "line_no"])
-    return found.select("h", normalise(F.col("line")).alias("norm"))
+    texts = found.select("h", normalise(F.col("line")).alias("norm"))
+    return texts.select("h", "norm", _word_codes(F.col("norm")).alias("codes"), F.array_max(F.transform(F.split("norm", " "), F.length)).alias("longest"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -220,9 +269,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     wanted = saved(classes.join(named, "h", "left_semi").select("h", f"first.{ROW}", "first.line_no"), "wanted")
     texts = saved(texts_of(wanted, docs), "texts")
-    a = texts.select(F.col("h").alias("a"), F.col("norm").alias("a_norm"))
-    b = texts.select(F.col("h").alias("b"), F.col("norm").alias("b_norm"))
-    return saved(pairs.join(a, "a").join(b, "b").filter(similar(F.col("a_norm"), F.col("b_norm"), similarity)).select("a", "b"), "links")
+    sides = [texts.select(F.col("h").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("norm", "codes", "longest")]) for x in "ab"]
+    near = similar(F.col("a_norm"), F.col("b_norm"), similarity, F.col("a_codes"), F.col("b_codes"), F.greatest("a_longest", "b_longest"))
+    links = saved(pairs.join(sides[0], "a").join(sides[1], "b").filter(near).select("a", "b"), "links")
+    for read in (pairs, wanted, texts):
+        discard(read)
+    return links
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -231,8 +283,9 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines = saved(fingerprinted(lines_of(docs)), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW, "line_no")
     classes = saved(lines.groupBy("h").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min(place).alias("first"),
-                                           F.count(F.lit(1)).alias("count")), "classes")
-    near = verified(chain_pairs(classes, similarity), classes, docs, similarity)
+                                           F.count(F.lit(1)).alias("count"), *[F.first(k).alias(k) for k in QUARTER_KEYS]), "classes")
+    first_pairs = chain_pairs(classes, similarity).unionByName(quarter_pairs(classes, similarity)).distinct()
+    near = verified(first_pairs, classes, docs, similarity)
     groups = connected_components(near)
     named = saved(classes.select("h", "sim", "chars").join(groups, F.col("h") == F.col("node"), "left")
                   .select("h", "sim", "chars", F.coalesce("component", "h").alias("component")), "named")
