@@ -343,6 +343,25 @@ def outline_script(shielded: str, blocks: list) -> tuple[list[dict], list[dict]]
     return scopes, [g for g in guards if g.pop("found")]
 
 
+def import_runs(shielded: str) -> list[dict]:
+    """Runs of two or more import statements; blank lines and comments may lie between them."""
+    runs, run, number = [], None, 1
+    for text in shielded.split("\n"):
+        start, number = number, number + 1 + text.count(LINE_ENDS[1])
+        code = text.strip()
+        if not code:
+            continue
+        if not re.match(r"(?:import|from)\s", code):
+            run = None
+            continue
+        end = start + text.rstrip().count(LINE_ENDS[1])
+        if run is None:
+            run = {"start_line": start, "end_line": end, "import_count": 0}
+            runs.append(run)
+        run.update(end_line=end, import_count=run["import_count"] + 1)
+    return [r for r in runs if r["import_count"] > 1]
+
+
 def _header(text: str) -> str:
     """The header at the end of what stands before a brace: its last line, and those that it goes on from."""
     lines = text.split("\n")
@@ -356,6 +375,7 @@ _SCOPE = pa.struct([("node_type", pa.string()), ("name", pa.string()), ("start_l
                     ("depth", pa.int32()), ("parent_type", pa.string()), ("preview", pa.string()), ("indent", pa.int32())])
 _GUARD = pa.struct([("line", pa.int32()), ("function", pa.string()), ("condition", pa.string()), ("error", pa.string()),
                     ("message", pa.string())])
+_RUN = pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("import_count", pa.int64())])
 _SCHEMA = ("path string, language string, scopes array<struct<node_type:string,name:string,start_line:int,end_line:int,depth:int,"
            "parent_type:string,preview:string,indent:int>>, guards array<struct<line:int,function:string,condition:string,"
            "error:string,message:string>>")
@@ -376,6 +396,17 @@ def shielded(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "content").mapInArrow(run, "path string, language string, content string")
 
 
+def import_blocks(files: DataFrame) -> DataFrame:
+    """path and the file's runs of imports as an array."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [import_runs(shield(lang, t or "")[0]) for lang, t in zip(*(batch.column(i).to_pylist() for i in (1, 2)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(_RUN))], names=["path", "runs"])
+
+    return files.select("path", "language", "content").mapInArrow(
+        run, "path string, runs array<struct<start_line:int,end_line:int,import_count:long>>")
+
+
 def nested(files: DataFrame) -> DataFrame:
     """path, language, and the file's scopes and guards as arrays."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

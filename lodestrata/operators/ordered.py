@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.lexical import nested
+from lodestrata.operators import lexical
 from lodestrata.operators.paths import DEFAULT_FOLDS
 from lodestrata.operators.running import rank_within, running
 
 LINE_BLOCK = 10_000
-# Fixed value: an import whose bracket is still open at the end of the line, or the line after such a one.
-OPEN_IMPORT = "(?m)(?:^[ \\t]*(?:from[ \\t][^\\n(#]*\\(|import[ \\t][^\\n{(#]*\\{)|(?!\\A)\\G)[^)}\\n]*\\n"
-_INNER = "\u0001"
 
 
 def number_rows(df: DataFrame, order: list[str], prefix: str, by: list[str] = (), name: str = "id",
@@ -30,24 +27,13 @@ def code_lines(files: DataFrame, *keep: str) -> DataFrame:
         "path", "language", *keep, (F.col("_i") + 1).alias("line"), F.rtrim("text", F.lit("\r")).alias("text"))
 
 
-def import_blocks(files: DataFrame, block: int = LINE_BLOCK) -> DataFrame:
-    """Runs of two or more import statements; blank lines and comments may lie between them.
+def import_blocks(files: DataFrame) -> DataFrame:
+    """Runs of two or more import statements: path, start_line, end_line, import_count.
 
-    The inner lines of a bracketed import are marked first. A run is named by
-    the number of breaking lines before it, a running sum.
+    Blank lines and comments may lie between them; an import over several lines is one statement. Found in the
+    file's row, so no text is shuffled.
     """
-    marked = F.regexp_replace("content", OPEN_IMPORT, f"$0{_INNER}")
-    text = F.trim("text")
-    lines = code_lines(files.withColumn("content", marked))
-    inner = text.startswith(_INNER)
-    is_import = text.rlike("^(import|from)\\s")
-    breaks = ~is_import & ~inner & (text != "") & ~text.startswith("#") & ~text.startswith("//")
-    tagged = running(lines, ["path"], [F.col("line")], F.floor(F.col("line") / block).cast("long"),
-                     {"_run": ("sum", F.when(breaks, 1).otherwise(0))})
-    return (tagged.filter(is_import | inner).groupBy("path", "_run")
-            .agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"),
-                 F.count_if(is_import).alias("import_count"))
-            .filter(F.col("import_count") >= 2).drop("_run"))
+    return lexical.import_blocks(files).select("path", F.inline("runs"))
 
 
 def outermost(folds: DataFrame, block: int = LINE_BLOCK) -> DataFrame:
@@ -98,6 +84,6 @@ def outline(files: DataFrame) -> DataFrame:
     run over several lines; what stands in strings and comments is no code. A Python scope ends with its last
     code line, a script's with its closing brace.
     """
-    rows = nested(files).select("path", "language", F.inline("scopes"))
+    rows = lexical.nested(files).select("path", "language", F.inline("scopes"))
     return rows.select("path", "language", "node_type", "name", "start_line", "end_line",
                        (F.col("end_line") - F.col("start_line") + 1).alias("line_count"), "depth", "parent_type", "preview", "indent")
