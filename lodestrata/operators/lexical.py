@@ -15,13 +15,18 @@ next code line that is indented no deeper, script scopes at their closing brace.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Ship the pass with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SHIELD = {ord(c): 0xE000 + ord(c) for c in "()[]{}:;,=#@\n\"'`"}
 _PLAIN = "".join(map(chr, SHIELD))
 _SHIELDED = "".join(map(chr, SHIELD.values()))
