@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +16,27 @@ from lodestrata.sources.payloads import PROPERTY_LINE, property_entries
 
 # Fixed value: files above this size are not scanned.
 MAX_FILE_BYTES = 10 * 1024 * 1024
+#: Listing tasks per core; changes the work, not the result.
+LISTING_TASKS = 4
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by a few tasks a core. Spark's default is up to 10,000, one per folder where they are many small ones."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(before), LISTING_TASKS * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
 
 
 def _property_files(spark: SparkSession, location: str, pattern: str) -> DataFrame:
     """file, text (null where it is not UTF-8)."""
-    return (spark.read.option("pathGlobFilter", pattern).text(location, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("file"), F.try_validate_utf8("value").alias("text")))
+    with _listing(spark):
+        texts = spark.read.option("pathGlobFilter", pattern).text(location, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("file"), F.try_validate_utf8("value").alias("text"))
 
 
 def read_properties(spark: SparkSession, location: str, pattern: str = "*.env*") -> DataFrame:
@@ -67,8 +85,9 @@ def scan_all(spark: SparkSession, root: str, languages: tuple[str, ...] = ("pyth
     """
     extensions = [e for lang in languages for e in EXTENSIONS[lang]]
     names = [f"*.{e}" for e in extensions] + list(extra_names)
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "{" + ",".join(names) + "}").load(root))
+    with _listing(spark):
+        raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+               .option("pathGlobFilter", "{" + ",".join(names) + "}").load(root))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     relative = F.regexp_replace(full, "^.*?" + _quoted(base) + "/", "")

@@ -1,8 +1,12 @@
 """Plans and tasks stay bounded where Spark's estimates, or the number of files or splits, would mislead them."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestrata.operators import joins as J
+from lodestrata.plans import flows
+from lodestrata.sources import files as SF
 
 
 def plan_of(df):
@@ -19,3 +23,21 @@ def test_scopes_from_texts_are_not_broadcast(spark):
         assert "Broadcast" not in plan_of(found)
     assert {(r.path, r.trail) for r in J.breadcrumbs(points, scopes, cell=8).collect()} == {("a.py", "c4 > c5"), ("b.py", "")}
     assert {(r.path, r.scope_name) for r in J.nearest_scope(points, scopes).collect()} == {("a.py", "c5"), ("b.py", None)}
+
+
+def test_many_small_files_are_written_and_listed_by_the_cores(spark, tmp_path):
+    rows = spark.range(1, 101).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "CAST(1 AS INT) AS s_nationkey", "0.0D AS s_acctbal")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    sc, folder = spark.sparkContext, flows.property_files(spark, str(tmp_path))
+    before = spark.conf.get(SF.LISTING)
+    sc.setJobGroup("listing", "listing")
+    try:
+        errors = SF.property_errors(spark, folder, "*.txt")
+        stages = [s for j in sc.statusTracker().getJobIdsForGroup("listing") for s in sc.statusTracker().getJobInfo(j).stageIds]
+        assert 0 < sum(sc.statusTracker().getStageInfo(s).numTasks for s in stages) <= SF.LISTING_TASKS * sc.defaultParallelism
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(SF.LISTING) == before
+    found = errors.collect()
+    assert len(found) == 2 * 80 + 20 and len({r.file for r in found}) == 100
+    assert len({re.search(r"part-(\d+)", r.file).group(1) for r in found}) > 1
