@@ -1,4 +1,4 @@
-"""Near-duplicate documents of the pipeline: MinHash bands, exact Jaccard similarity of shingle sets.
+"""Near-duplicate documents of the pipeline: SimHash links of op 5, and MinHash bands with exact Jaccard similarity.
 
 1. A document is the set of its 64-bit hashes of ``SHINGLE`` neighbouring words (one hash of all its words
    where it has fewer). Documents with equal sets are one class from here on.
@@ -6,7 +6,9 @@
    probability 1 - (1 - s^6)^20: 0.998 at 0.8, 0.9999 at 0.85.
 3. Pairs that share a key are verified exactly: sizes of intersection and union of the two sets. Only sets of
    classes that share a key with another are computed again from the texts; other texts are not shuffled.
-4. Connected groups keep the document of the smallest (doc_id, row).
+4. Fingerprints of the same shingles (repeats included) that differ in at most ``RADIUS`` bits link their documents as
+   in ``simhash_dedup``: all fingerprints are compared there in tiles. The bands find what lies further apart.
+5. Groups connected by links of either kind keep the document of the smallest (doc_id, row).
 
 A large group of near copies does not give all its pairs. First every class of a key is compared with the
 smallest one there, and what this connects is one component. Then only classes outside of the component that a key has
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import ROW, fields_of, keep_rows, numbered, packed, saved
 from lodestrata.llm.components import connected_components
+from lodestrata.llm.simhash_dedup import RADIUS, fingerprint, links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -72,19 +75,21 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> lis
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, row number, hash and size of the shingle set, and band keys of every document."""
+    """doc_id, row number, fingerprint, hash and size of the shingle set, and band keys of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         factors, masks = multipliers(seed)
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", shingle, seed) for t in batch.column(2).cast(pa.binary())]
+            texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
+            sets = [shingle_set(t, shingle, seed) for t in texts]
+            prints = np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64)
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(names), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(prints), pa.array(names), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([band_keys(s, factors, masks) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", ROW, "set", "n", "keys"])
+                names=["doc_id", ROW, "fp", "set", "n", "keys"])
     return numbered(docs, "doc_id", "text").select("doc_id", ROW, "text").mapInArrow(
-        run, f"doc_id long, {ROW} long, set long, n long, keys array<long>")
+        run, f"doc_id long, {ROW} long, fp long, set long, n long, keys array<long>")
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -114,6 +119,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return saved(pairs.join(a, "a").join(b, "b").filter(common >= F.lit(similarity) * union - 1e-9).select("a", "b"), "links")
 
 
+def simhash_links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links of the classes (``set``) whose fingerprints (``fp``) differ in at most ``radius`` bits; connects, not all pairs."""
+    prints = saved(rows.groupBy("fp").agg(F.min("set").alias("first")), "prints")
+    equal = rows.select("fp", "set").distinct().join(prints, "fp").select(F.col("set").alias("a"), F.col("first").alias("b"))
+    a, b = (prints.select(F.col("fp").alias(f"{x}_fp"), F.col("first").alias(x)) for x in "ab")
+    apart = links(prints.select("fp"), radius).toDF("a_fp", "b_fp").join(a, "a_fp").join(b, "b_fp").select("a", "b")
+    return saved(equal.unionByName(apart).filter("a <> b").distinct(), "alike")
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, row number, component_id, and whether it is the one that stays."""
     docs = numbered(docs, "doc_id", "text")
@@ -129,7 +143,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     stars = shared.select(F.col("set").alias("a"), F.col("n").alias("a_n"), F.col("hub.set").alias("b"), F.col("hub.n").alias("b_n"))
     near = verified(stars.filter((F.col("a") != F.col("b")) & _sizes_allow(similarity)).select("a", "b").distinct(), sets, similarity)
-    groups = saved(connected_components(near), "groups")
+    groups = saved(connected_components(near.unionByName(simhash_links(rows))), "groups")
     named = saved(shared.select("key", "set", "n").join(groups, F.col("set") == F.col("node"), "left")
                   .select("key", "set", "n", F.coalesce("component", "set").alias("component")), "named")
     most = saved(named.groupBy("key", "component").count()

@@ -46,3 +46,13 @@ def test_stage_links_all_documents_of_similarity_0_8(spark, tmp_path):
     assert stay.columns == docs.columns
     assert {r.doc_id for r in stay.collect()} == {i for i in range(len(texts)) if find(i) == i}
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
+
+
+def test_stage_links_what_simhash_links(spark):
+    # Repeats decide the fingerprint, not the set: a third of the shingles in common, but no bit that differs.
+    cycle = "a b c d e f g " * 60
+    texts = [cycle + "one two three", "other words stand in this text", cycle + "four five six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    assert {r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()} == {0, 1}
