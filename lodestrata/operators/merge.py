@@ -115,7 +115,7 @@ def _nodes(layers: DataFrame) -> DataFrame:
     sent = layers.select("*", F.posexplode("path").alias("_i", "_")).withColumn(
         "_at", F.slice("path", F.lit(1), F.col("_i") + 1))
     return (sent.groupBy("doc_id", F.col("_at").alias("path"))
-            .agg(F.max_by(F.struct("value", "vtype"), F.when(own, F.col("layer"))).alias("_last"),
+            .agg(F.max_by(F.when(own, F.struct("value", "vtype")), F.when(own, F.col("layer"))).alias("_last"),
                  F.max(F.when(own, F.col("layer"))).alias("layer"),
                  F.max(F.when(own & (F.col("vtype") != "map"), F.col("layer"))).alias("_scalar"),
                  F.max(F.when(~own, F.col("layer"))).alias("_below")))
@@ -189,7 +189,8 @@ def overlay(base: DataFrame, over: DataFrame, context: DataFrame,
     ``base`` and ``over`` are leaf rows (doc_id, path, value, vtype); ``context``
     has doc_id and context (JSON text).
     """
-    filled = over.join(context.select("doc_id", "context"), "doc_id", "left").select(
+    # Contexts are made of texts, which Spark takes for a few bytes: they are shuffled, not broadcast.
+    filled = over.join(context.select("doc_id", "context").hint("merge"), "doc_id", "left").select(
         "doc_id", F.lit(1).alias("layer"), "path",
         F.when(F.col("vtype") == "string", render_expr("value", "context")).otherwise(F.col("value")).alias("value"),
         "vtype")

@@ -6,7 +6,7 @@ from lodestrata.operators import joins as J
 from lodestrata.operators import merge as M
 from lodestrata.operators import ordered as W
 from lodestrata.operators.registry import PayloadParsers, ValueFunctions, default_parser, with_computed
-from lodestrata.plans.base import query, table, view
+from lodestrata.plans.base import query, spread, table, view
 
 NOW = "2024-02-01 00:00:00"
 
@@ -77,7 +77,7 @@ def layers(spark, sf):
     rows = F.array_compact(F.array(*[F.when(F.expr(test), F.struct(
         F.lit(layer).alias("layer"), F.array(*[F.lit(x) for x in path.split(".")]).alias("path"),
         F.expr(value).alias("value"), F.lit(kind).alias("vtype"))) for test, layer, path, value, kind in leaves]))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.inline(rows))
+    return spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("doc_id"), F.inline(rows))
 
 
 @query("m1_deep_merge", MERGED + "SELECT doc_id, path, value, vtype, layer FROM merged")
@@ -216,7 +216,7 @@ UNION ALL SELECT c_custkey, 'greet', 'Hi ' || c_name || '!', 1 FROM customer
 UNION ALL SELECT c_custkey, 'seg.now', c_mktsegment, 1 FROM customer
 UNION ALL SELECT c_custkey, 'nation', CAST(c_nationkey AS VARCHAR), 1 FROM customer""")
 def m3(spark, sf):
-    c = view(spark, sf, "contexts").withColumn("doc_id", F.col("c_custkey"))
+    c = view(spark, sf, "contexts", parallel=True).withColumn("doc_id", F.col("c_custkey"))
 
     def leaf(path, value, kind="string"):
         return F.struct(F.array(*[F.lit(x) for x in path.split(".")]).alias("path"), value.alias("value"), F.lit(kind).alias("vtype"))
@@ -350,7 +350,7 @@ UNION ALL SELECT c_custkey, 'DB', NULL, 'Unsupported MIME type: text/x-yaml' FRO
 def u3(spark, sf):
     parsers = PayloadParsers()
     parsers.register_parser("DB")(default_parser)
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer"))
     body = F.expr("""CASE c_custkey % 3 WHEN 0 THEN 'data:application/json;base64,' || base64(encode('{"host":"' || c_name || '","seg":"' || c_mktsegment || '"}', 'utf-8'))
         WHEN 1 THEN 'data:text/plain;base64,' || base64(encode('# x\nexport HOST="' || c_name || '" # c\nNOPE\n', 'utf-8')) ELSE 'data:text/x-yaml;base64,YTogMQ==' END""")
     variables = c.select(F.col("c_custkey").alias("scope"), F.lit("DB").alias("key"), body.alias("value")).unionByName(

@@ -33,7 +33,7 @@ p AS (SELECT c_custkey, s, unnest(['{{ user.name }}', '{{city|"nowhere"}}', '{{e
  unnest(['MUSTACHE', 'MUSTACHE', 'MUSTACHE', 'MUSTACHE', 'MUSTACHE', 'MUSTACHE', 'MUSTACHE', 'MUSTACHE', 'DOT_PATH', 'DOT_PATH']) AS syntax FROM t)
 SELECT c_custkey, raw, path, "default" AS default_, CAST(strpos(s, raw) - 1 AS INT) AS start_, CAST(strpos(s, raw) - 1 + length(raw) AS INT) AS end_, syntax FROM p""")
 def t2(spark, sf):
-    c = view(spark, sf, "contexts").select("c_custkey", "template")
+    c = view(spark, sf, "contexts", parallel=True).select("c_custkey", "template")
     return T.placeholders(c, "template").select("c_custkey", "raw", "path", F.col("default").alias("default_"),
                                                 F.col("start").alias("start_"), F.col("end").alias("end_"), "syntax")
 
