@@ -278,7 +278,7 @@ def _rank(by: list, order: list[Column]) -> Column:
 def starts(of_query: DataFrame, giants: list[tuple[int, np.ndarray]], largest: float, beam: int) -> DataFrame:
     """(q, node, s): the best ``beam`` giants of every query."""
     ids = np.array([node for node, _ in giants], np.int64)
-    matrix = np.array([v / largest for _, v in giants], np.float32).reshape(len(giants), -1)
+    matrix = np.array([v / largest for _, v in giants], np.float32).reshape(len(giants), -1 if giants else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
