@@ -1,8 +1,8 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
 1. Texts are cut into lines; a line is normalised (lower case, blanks at its ends cut) and
-   hashed. One exploded aggregate gives each line its 64-bit SimHash over pairs of
-   neighbouring words: the 64 counters are eight sums of packed 7-bit lanes.
+   hashed. In the line's row its pairs of neighbouring words give the 64-bit SimHash: the 64 counters
+   are eight sums of packed 7-bit lanes.
 2. Lines with equal normalised text are one class from here on (map-side combined), so a
    line that occurs a million times is one row. Texts are not shuffled.
 3. The fingerprint is cut into four blocks of 16 bits. Two fingerprints that differ in at most 3
@@ -59,7 +59,7 @@ SLOTS = 1 << 20
 #: Edits looked for before the whole band of the limit is.
 NARROW = 32
 
-#: A sum has eight lanes of a byte. Up to 127 pairs of words are summed in one row, so a lane keeps its top bit free.
+#: A sum has eight lanes of a byte. Up to 127 pairs of words are in one sum, so a lane keeps its top bit free.
 LANES = 0x0101010101010101
 LOW_LANES = 0x0001010101010101
 SEGMENT = 127
@@ -95,8 +95,8 @@ def _bit(b: int) -> Column:
     return F.lit(1 << b if b < 63 else -(1 << 63))
 
 
-def _majority_of_lanes(n: Column) -> Column:
-    """Bits set in more than half of ``n``, from eight sums; bit k + 8 j is lane j of sum k.
+def _majority_of_lanes(n: Column, sums: Column) -> Column:
+    """Bits set in more than half of ``n``, from a struct of eight sums; bit k + 8 j is lane j of sum k.
 
     Adding 127 - n div 2 to every lane sets its top bit where the count is above n div 2. The
     last lane is compared by itself, because its top bit would be the sign.
@@ -104,9 +104,9 @@ def _majority_of_lanes(n: Column) -> Column:
     add = (F.lit(SEGMENT) - F.shiftright(n, 1)) * F.lit(LOW_LANES)
     found = []
     for k in range(8):
-        low = F.col(f"s{k}").bitwiseAND((1 << 56) - 1) + add
+        low = sums[f"s{k}"].bitwiseAND((1 << 56) - 1) + add
         found.append(F.shiftleft(F.shiftrightunsigned(low.bitwiseAND(LOW_LANES << 7), 7), k))
-        found.append(F.when(F.shiftrightunsigned(f"s{k}", 56) * 2 > n, _bit(k + 56)).otherwise(F.lit(0)))
+        found.append(F.when(F.shiftrightunsigned(sums[f"s{k}"], 56) * 2 > n, _bit(k + 56)).otherwise(F.lit(0)))
     return _or(found)
 
 
@@ -128,27 +128,28 @@ def quarter_keys(words: Column) -> list[Column]:
 def fingerprinted(lines: DataFrame) -> DataFrame:
     """doc_id, row number, line_no, h (hash of the normalised text), chars, keys of quarters and SimHash ``sim`` of every line.
 
-    The features are pairs of neighbouring words (the last word by itself). Up to ``SEGMENT`` of
-    them are counted in eight sums of packed lanes; a line of more is summed from several
-    such rows, lane by lane.
+    The features are pairs of neighbouring words (the last word by itself), counted in the line's row, so nothing
+    is multiplied or shuffled. Up to ``SEGMENT`` of them are counted in eight sums of packed lanes; a line of more has
+    several such segments, summed lane by lane.
     """
     words = F.split("norm", " ")
     pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
-    of_line = ["doc_id", "h", "chars", "words", *QUARTER_KEYS]
-    key = [ROW, "line_no"]
-    # What belongs to the line is computed before the rows are multiplied.
-    whole = lines.select("doc_id", *key, F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"),
-                         F.size(words).alias("words"), *quarter_keys(words), pairs.alias("pairs"))
-    spread = whole.select(*key, *of_line, F.posexplode("pairs").alias("at", "p")).select(
-        *key, *of_line, F.floor(F.col("at") / F.lit(SEGMENT)).cast("int").alias("part"), F.xxhash64("p.a", "p.b").alias("x"))
-    sums = [F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(LANES))).alias(f"s{k}") for k in range(8)]
-    parts = saved(spread.groupBy(*key, "part").agg(*[F.any_value(c).alias(c) for c in of_line], *sums), "parts")
-    line = [*key, *of_line]
-    short = parts.filter(F.col("words") <= SEGMENT).select(*line, _majority_of_lanes(F.col("words").cast("long")).alias("sim"))
-    counts = [F.sum(F.shiftrightunsigned(f"s{b % 8}", b - b % 8).bitwiseAND(255)).alias(f"c{b}") for b in range(64)]
-    long = (parts.filter(F.col("words") > SEGMENT).groupBy(*line).agg(*counts)
-            .select(*line, _or([F.when(F.col(f"c{b}") * 2 > F.col("words"), _bit(b)).otherwise(F.lit(0)) for b in range(64)]).alias("sim")))
-    return short.unionByName(long).drop("words")
+    of_line = ["doc_id", ROW, "line_no", "h", "chars", *QUARTER_KEYS]
+    hashed = lines.select("doc_id", ROW, "line_no", F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"), *quarter_keys(words),
+                          F.transform(pairs, lambda p: F.xxhash64(p["a"], p["b"])).alias("pairs"))
+
+    def lane_sum(segment: Column, k: int) -> Column:
+        return F.aggregate(segment, F.lit(0).cast("long"), lambda s, x: s + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES)))
+
+    def count(b: int) -> Column:
+        return F.aggregate("segments", F.lit(0).cast("long"), lambda c, s: c + F.shiftrightunsigned(s[f"s{b % 8}"], b - b % 8).bitwiseAND(255))
+
+    starts = F.sequence(F.lit(1), F.size("pairs"), F.lit(SEGMENT))
+    n = F.size("pairs").cast("long")
+    summed = hashed.select(*of_line, n.alias("n"), F.transform(starts, lambda at: F.struct(
+        *[lane_sum(F.slice("pairs", at, SEGMENT), k).alias(f"s{k}") for k in range(8)])).alias("segments"))
+    long = _or([F.when(count(b) * 2 > F.col("n"), _bit(b)).otherwise(F.lit(0)) for b in range(64)])
+    return summed.select(*of_line, F.when(F.col("n") <= SEGMENT, _majority_of_lanes(F.col("n"), F.col("segments")[0])).otherwise(long).alias("sim"))
 
 
 def _block(q: int) -> Column:
@@ -185,8 +186,10 @@ def quarter_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFra
     hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "chars")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     shorter, longer = F.least("chars", "hub.chars"), F.greatest("chars", "hub.chars")
     lengths = (shorter >= F.lit(similarity - 1e-9) * longer) | (longer > LONG_CHARS)
-    return (keyed.join(hubs, "key").filter(lengths & (F.col("h") != F.col("hub.h")))
-            .select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).distinct())
+    found = saved(keyed.join(hubs, "key").filter(lengths & (F.col("h") != F.col("hub.h")))
+                  .select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).distinct(), "quarters")
+    discard(keyed)
+    return found
 
 
 def block_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -264,8 +267,8 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of classes whose texts are similar; only texts of classes in a pair are read out."""
-    pairs = saved(pairs, "pairs")
+    """The pairs (a, b) of classes whose texts are similar; only texts of classes in a pair are read out. Saved pairs are removed."""
+    pairs = pairs if hasattr(pairs, "_saved_at") else saved(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     wanted = saved(classes.join(named, "h", "left_semi").select("h", f"first.{ROW}", "first.line_no"), "wanted")
     texts = saved(texts_of(wanted, docs), "texts")
@@ -284,12 +287,15 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW, "line_no")
     classes = saved(lines.groupBy("h").agg(F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.min(place).alias("first"),
                                            F.count(F.lit(1)).alias("count"), *[F.first(k).alias(k) for k in QUARTER_KEYS]), "classes")
-    first_pairs = chain_pairs(classes, similarity).unionByName(quarter_pairs(classes, similarity)).distinct()
+    quarters = quarter_pairs(classes, similarity)
+    first_pairs = saved(chain_pairs(classes, similarity).unionByName(quarters).distinct(), "pairs")
+    discard(quarters)
     near = verified(first_pairs, classes, docs, similarity)
     groups = connected_components(near)
     named = saved(classes.select("h", "sim", "chars").join(groups, F.col("h") == F.col("node"), "left")
                   .select("h", "sim", "chars", F.coalesce("component", "h").alias("component")), "named")
     more = verified(block_pairs(named, similarity), classes, docs, similarity)
+    discard(named)
     # What is connected already goes in as stars, so few rounds are left.
     known = groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     groups = connected_components(known.unionByName(more))

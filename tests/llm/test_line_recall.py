@@ -1,5 +1,6 @@
 """Recall of the fuzzy lines by length and number of changes, and work in proportion to the lines."""
 
+import os
 import random
 
 import pytest
@@ -62,3 +63,34 @@ def test_word_bound_never_accepts_what_is_not_similar(spark):
     longest = F.array_max(F.transform(F.split(F.concat_ws(" ", "a", "b"), " "), F.length))
     wrong = df.filter(line_dedup.similar(F.col("a"), F.col("b")) != line_dedup.similar(F.col("a"), F.col("b"), 0.8, *codes, longest))
     assert wrong.count() == 0
+
+
+def test_lines_are_fingerprinted_in_their_rows(spark, tmp_path):
+    # Lines of one, 127, 128 and 300 words: one sum of lanes, and several.
+    rng = random.Random(7)
+    lines = [" ".join("".join(rng.choices(LETTERS, k=3)) for _ in range(n)) for n in (1, 2, 127, 128, 254, 255, 300)]
+    spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    found = line_dedup.fingerprinted(line_dedup.lines_of(spark.read.parquet(f"{tmp_path}/d")))
+    # No row per word, nothing put together again, no table on the way.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Union" not in plan and plan.count("Generate") == 2  # files and lines
+    pairs = spark.createDataFrame([(i, a, b) for i, t in enumerate(lines) for w in [t.split()] for a, b in zip(w, [*w[1:], None])],
+                                  "line_no int, a string, b string")
+    want = {}
+    for r in pairs.selectExpr("line_no", "xxhash64(a, b) AS x").collect():
+        want.setdefault(r.line_no, []).append(r.x)
+    majority = {i: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in xs) > len(xs)) for i, xs in want.items()}
+    assert {r.line_no: r.sim % (1 << 64) for r in found.collect()} == majority
+
+
+def test_key_tables_are_removed(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i % 9}{j}" for j in range(6))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    made = []
+    before, line_dedup.saved = line_dedup.saved, lambda df, name="table": made.append(before(df, name)) or made[-1]
+    try:
+        assert line_dedup.line_groups(spark.read.parquet(f"{tmp_path}/d")).count() == 30
+    finally:
+        line_dedup.saved = before
+    left = [t._saved_at.rsplit("/", 1)[1].split("-")[0] for t in made if os.path.exists(t._saved_at.removeprefix("file:"))]
+    assert not {"parts", "keyed", "quarters", "pairs", "named"} & set(left) and {"lines", "classes"} <= set(left)
