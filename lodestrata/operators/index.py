@@ -24,6 +24,8 @@ from lodestrata.session import scratch_path
 
 BLOCK_ROWS = 4096
 BUCKETS = 32
+#: Tasks that write a bucket, at most.
+PARTS = 16
 
 
 def _bucket(term: Column) -> Column:
@@ -35,34 +37,63 @@ def _saturation(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean))
 
 
+def _run_starts(sorted_array: str, n: Column, same) -> Column:
+    """Places (from 0) in a sorted array at which a new value starts; null where there are none."""
+    before = lambda i: F.get(sorted_array, i - 1)
+    return F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~same(F.get(sorted_array, i), before(i))))
+
+
+def _run_length(starts: str, at: Column, i: Column, n: Column) -> Column:
+    return F.coalesce(F.get(starts, i + 1), n) - at
+
+
+def counted_words(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """id, field, length, term, tf of every row: words are sorted and counted in the row, nothing is shuffled."""
+    texts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.sort_array(tokens(f)).alias("t")) for f in fields]))
+    words = df.select(F.col(id_col).alias("id"), texts.alias("x")).select("id", "x.field", "x.t", F.size("x.t").alias("length"))
+    starts = words.withColumn("starts", _run_starts("t", F.col("length"), lambda a, b: a == b))
+    counts = F.transform("starts", lambda at, i: F.struct(
+        F.get("t", at).alias("term"), _run_length("starts", at, i, F.col("length")).alias("tf")))
+    return starts.select("id", "field", "length", F.inline(counts))
+
+
+def _one_per_id(rows: DataFrame) -> DataFrame:
+    """Postings ``p`` sorted by id, with those of an id that comes in several rows put together."""
+    n = F.size("p")
+    starts = rows.withColumn("starts", F.when(F.size(F.array_distinct("p.id")) < n, _run_starts(
+        "p", n, lambda a, b: a["id"].eqNullSafe(b["id"]))))
+    merged = F.transform("starts", lambda at, i: F.struct(
+        F.get("p", at)["id"].alias("id"),
+        F.aggregate(F.slice("p", at + 1, _run_length("starts", at, i, n)), F.lit(0), lambda s, x: s + x["tf"]).alias("tf"),
+        F.get("p", at)["length"].alias("length")))
+    return starts.withColumn("p", F.coalesce(merged, "p")).drop("starts")
+
+
 def build_index(df: DataFrame, id_col: str, fields: list[str], stored: list[str], path: str | None = None,
                 block_rows: int = BLOCK_ROWS) -> str:
     """Write the index of ``fields`` below ``path`` (default: the shared folder); gives the path.
 
-    Only words are shuffled, counted per row before. ``id_col`` names each row once.
+    Only words are shuffled, once, counted per row before: they go straight to the task that writes their
+    bucket. ``id_col`` names each row once; rows that share an id are one row to the index.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, "index")
     df.select(F.col(id_col).alias("id"), *[c for c in stored if c != "id"]).write.parquet(f"{path}/rows")
     blocks = max(1, -(-spark.read.parquet(f"{path}/rows").count() // block_rows))
-    texts = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("t")) for f in fields]))
-    words = df.select(F.col(id_col).alias("id"), texts.alias("x")).select(
-        "id", "x.field", F.size("x.t").alias("length"), F.explode("x.t").alias("term"))
-    counted = words.groupBy("id", "field", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("length").alias("length"))
-    rows = counted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    posting = F.array_sort(F.collect_list(F.struct("id", "tf", "length")))
-    lists = rows.groupBy("field", "term", "block").agg(posting.alias("p"))
     sizes = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(f)).alias("n")) for f in fields])).alias("x"))
     (sizes.select("x.*").groupBy("field").agg(F.count_if(F.col("n") > 0).alias("n"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("mean"))
      .coalesce(1).write.parquet(f"{path}/fields"))
+    rows = counted_words(df, id_col, fields).withColumns({
+        "block": F.pmod(F.xxhash64("id"), F.lit(blocks)), "bucket": _bucket(F.col("term"))}).withColumn("part", F.pmod("block", F.lit(PARTS)))
+    posting = F.sort_array(F.collect_list(F.struct("id", "tf", "length")))
+    lists = _one_per_id(rows.repartition("bucket", "part").groupBy("bucket", "part", "term", "field", "block").agg(posting.alias("p")))
     # One row per field.
     means = F.broadcast(spark.read.parquet(f"{path}/fields").select("field", "mean"))
     best = F.array_max(F.transform("p", lambda x: _saturation(x["tf"], x["length"], F.col("mean"))))
     (lists.join(means, "field").select(
-        "field", "term", "block", F.transform("p", lambda x: x["id"]).alias("ids"), F.transform("p", lambda x: x["tf"]).alias("tfs"),
-        F.transform("p", lambda x: x["length"]).alias("lengths"), best.alias("best"), _bucket(F.col("term")).alias("bucket"))
-     .repartition("bucket", F.pmod("block", F.lit(16))).sortWithinPartitions("bucket", "term", "field", "block")
-     .write.partitionBy("bucket").parquet(f"{path}/postings"))
+        "field", "term", "block", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"),
+        best.alias("best"), "bucket")
+     .sortWithinPartitions("bucket", "term", "field", "block").write.partitionBy("bucket").parquet(f"{path}/postings"))
     return path
 
 

@@ -31,6 +31,23 @@ def test_scores_equal_the_scan(spark, texts, tmp_path, query):
     assert hits == ({r.id for r in P.match(texts, "body", query).collect()} if query else set())
 
 
+def test_words_are_counted_in_their_rows(spark, tmp_path):
+    rows = [(1, "b a b, A", "x"), (1, "b", "x"), (2, "", None), (3, None, "x x"), (None, "a", "x"), (None, "a c", "x")]
+    docs = spark.createDataFrame(rows, "id long, body string, title string")
+    counted = IX.counted_words(docs, "id", ["body", "title"])
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id or 0, r.field, r.term, r.tf, r.length) for r in counted.collect()) == sorted([
+        (1, "body", "a", 2, 4), (1, "body", "b", 2, 4), (1, "body", "b", 1, 1), (0, "body", "a", 1, 1), (0, "body", "a", 1, 2),
+        (0, "body", "c", 1, 2), (1, "title", "x", 1, 1), (1, "title", "x", 1, 1), (3, "title", "x", 2, 2),
+        (0, "title", "x", 1, 1), (0, "title", "x", 1, 1)])
+    path = IX.build_index(docs, "id", ["body", "title"], [], str(tmp_path / "ix"))
+    # Rows that share an id, or have none, are one row to the index.
+    postings = {(r.field, r.term): dict(zip(r.ids, r.tfs)) for r in spark.read.parquet(f"{path}/postings").withColumn(
+        "ids", F.transform("ids", lambda i: F.coalesce(i, F.lit(0)))).groupBy("field", "term").agg(
+        F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("tfs")).alias("tfs")).collect()}
+    assert postings == {("body", "a"): {0: 2, 1: 2}, ("body", "b"): {1: 3}, ("body", "c"): {0: 1}, ("title", "x"): {0: 2, 1: 2, 3: 2}}
+
+
 def test_blocks_below_the_bound_are_not_opened(spark, texts, tmp_path):
     path = IX.build_index(texts, "id", ["body"], [], str(tmp_path / "ix"), block_rows=16)
     plan = IX.search_indexed(spark, path, "zeta", ["body"], 3)._jdf.queryExecution().optimizedPlan().toString()
