@@ -20,13 +20,20 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def without(text: Column, signs: str) -> Column:
+    """The text without the given signs: a byte search for each, where ``translate`` looks every character up."""
+    for sign in signs:
+        text = F.replace(text, F.lit(sign), F.lit(""))
+    return text
+
+
 def match_pieces(text: Column, pattern: str, groups: int) -> Column:
     """Split text at the matches of ``pattern``: text, match, text, match, ..., text.
 
     Each match piece holds the whole match and its groups, parted by a control
     character. One regex pass, in the row, no shuffle.
     """
-    clean = F.translate(text, _MARK + _SEP, "")
+    clean = without(text, _MARK + _SEP)
     fields = _SEP.join(f"${i}" for i in range(groups + 1))
     return F.split(F.regexp_replace(clean, pattern, f"{_MARK}{fields}{_MARK}"), _MARK)
 
@@ -47,9 +54,9 @@ def match_spans(text: Column, pattern: str, groups: int, line_ends: str = "\n")
     about the root of the number of pieces (block totals first, then inside each block), so no
     long array is copied for every match. ``line_ends`` are the signs that end a line.
     """
-    pieces = F.transform(match_pieces(text, pattern, groups), lambda p, i: let(F.split(p, _SEP), lambda f: F.struct(
+    pieces = F.transform(match_pieces(text, pattern, groups), lambda p, i: let(F.when(i % 2 == 1, F.split(p, _SEP)).otherwise(F.array(p)), lambda f: F.struct(
         (i % 2 == 1).alias("hit"), f.alias("f"), F.length(f[0]).alias("size"),
-        (F.length(f[0]) - F.length(F.translate(f[0], line_ends, ""))).alias("lines"))))
+        (F.length(f[0]) - F.length(without(f[0], line_ends))).alias("lines"))))
 
     def walk(items: Column, line: Column, at: Column, kind: str, keep, entry) -> Column:
         return F.aggregate(

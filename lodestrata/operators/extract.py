@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.template import match_spans
+from lodestrata.functions.template import match_spans, without
 from lodestrata.operators.joins import nearest_scope
 from lodestrata.operators.lexical import LINE_ENDS, nested, plain, shielded
 
@@ -45,10 +45,11 @@ JS_REEXPORT = "export\\s+(?:\\{([^}]*)\\}|(\\*)(?:\\s+as\\s+\\w+)?)\\s+from\\s+[
 PY_SKIP = "(?s:\"\"\".*?\"\"\"|'''.*?''')|#[^\\n]*|"
 PY_IMPORT = PY_SKIP + "(?m:^|;)[ \\t]*import[ \\t]+([^\\n#;]+)"
 PY_FROM = PY_SKIP + "(?m:^|;)[ \\t]*from[ \\t]+(\\.*[\\w.]*)[ \\t]+import[ \\t]+(?:\\(([^)]*)\\)|([^\\n#;(]+))"
-JS_CLASS = "(?:export\\s+)?(?:default\\s+)?class\\s+(\\w+)(?:\\s+extends\\s+(\\w+(?:\\.\\w+)*))?[^{}\\n]*\\{"
+# Patterns that begin with optional words look at the first letter before they try these at every place.
+JS_CLASS = "(?=[edc])(?:export\\s+)?(?:default\\s+)?class\\s+(\\w+)(?:\\s+extends\\s+(\\w+(?:\\.\\w+)*))?[^{}\\n]*\\{"
 PY_CLASS = "(?m)^((?:[ \\t]*@[^\\n]*\\n)*)([ \\t]*)class[ \\t]+(\\w+)[ \\t]*(?:\\(([^)]*)\\))?[ \\t]*:"
-JS_FUNCTION = "(?:export\\s+)?(?:default\\s+)?(async\\s+)?function\\s+(\\w+)\\s*\\((" + _ROUND + ")\\)"
-JS_ARROW = "(?:export\\s+)?const\\s+(\\w+)\\s*=\\s*(async\\s+)?\\((" + _ROUND + ")\\)\\s*(?::[^=\\n]+)?=>"
+JS_FUNCTION = "(?=[edaf])(?:export\\s+)?(?:default\\s+)?(async\\s+)?function\\s+(\\w+)\\s*\\((" + _ROUND + ")\\)"
+JS_ARROW = "(?=[ec])(?:export\\s+)?const\\s+(\\w+)\\s*=\\s*(async\\s+)?\\((" + _ROUND + ")\\)\\s*(?::[^=\\n]+)?=>"
 PY_DEF = ("(?m)^((?:[ \\t]*@[^\\n]*\\n)*)([ \\t]*)(async[ \\t]+)?def[ \\t]+(\\w+)[ \\t]*"
           "\\((" + _ROUND + ")\\)[ \\t]*(?:->[ \\t]*([^:\\n]+))?:")
 JS_METHOD = ("(?m)^[ \\t]+((?:(?:async|static|public|private|protected|get|set)[ \\t]+)*)(\\w+)[ \\t]*"
@@ -56,7 +57,7 @@ JS_METHOD = ("(?m)^[ \\t]+((?:(?:async|static|public|private|protected|get|set)[
 JS_FIELD = ("(?m)^[ \\t]+((?:(?:static|public|private|protected|readonly)[ \\t]+)*)(#?\\w+)[ \\t]*"
             "(?::[ \\t]*([^=;\\n]+))?(?:=[ \\t]*([^;\\n]+))?;[ \\t]*$")
 PY_FIELD = "(?m)^[ \\t]+()([A-Za-z_]\\w*)[ \\t]*(?::[ \\t]*([^=\\n]+?))?[ \\t]*(?:=(?!=)[ \\t]*([^\\n]+))?$"
-JS_CONSTANT = "(?:export\\s+)?const\\s+([A-Z][A-Z0-9_]*)\\s*(?::\\s*([^=]+?))?\\s*=\\s*([^;\\n]+)"
+JS_CONSTANT = "(?=[ec])(?:export\\s+)?const\\s+([A-Z][A-Z0-9_]*)\\s*(?::\\s*([^=]+?))?\\s*=\\s*([^;\\n]+)"
 PY_CONSTANT = "(?m)^([A-Za-z_]\\w*)[ \\t]*(?::[ \\t]*([^=\\n]+?))?[ \\t]*=(?!=)[ \\t]*([^\\n]+)$"
 JS_EXPORT_LIST = "export\\s+\\{([^}]+)\\}"
 JS_EXPORT_DECL = "export\\s+(?:default\\s+)?(?:async\\s+)?(?:const|let|var|function|class)\\s+(\\w+)"
@@ -168,7 +169,7 @@ def imports(files: DataFrame) -> DataFrame:
 
 def _lines_in(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
-    return F.length(text) - F.length(F.translate(text, "\n", ""))
+    return F.length(text) - F.length(without(text, "\n"))
 
 
 def _decorators(c: Column) -> Column:

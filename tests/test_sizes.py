@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import template as T
+from lodestrata.operators import aggregates as A
 from lodestrata.operators import joins as J
 from lodestrata.operators import merge as M
 from lodestrata.plans import flows, layered
@@ -59,3 +61,29 @@ def test_contexts_from_texts_are_not_broadcast(spark):
     out = M.overlay(base, over, context)
     assert re.search(r"Join LeftOuter, .*strategy=merge", out._jdf.queryExecution().optimizedPlan().toString())
     assert sorted((r.path[0], r.value) for r in out.collect()) == [("k", "v"), ("n", "x")]
+
+
+def test_counts_from_texts_are_not_broadcast(spark):
+    # One small row for Spark's estimate, a thousand items in it.
+    items = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("i")).select(
+        F.concat(F.lit("f"), F.col("i") % 10).alias("path"), F.when(F.col("i") % 2 == 0, "classes").otherwise("constants").alias("kind"))
+    items = items.unionByName(spark.createDataFrame([(None, "classes"), ("f1", None), ("f1", "other"), ("none", "other")], "path string, kind string"))
+    files = spark.createDataFrame([("f1",), ("f1",), ("f2",), ("none",), (None,)], "path string")
+    out = A.file_summary(files, items)
+    assert "Broadcast" not in plan_of(out)
+    assert sorted((str(r.path), r.summary) for r in out.collect()) == [
+        ("None", {}), ("f1", {"constants": 100}), ("f1", {"constants": 100}), ("f2", {"classes": 100}), ("none", {})]
+
+
+def test_matches_are_read_without_a_look_up_per_character(spark):
+    # Signs used as marks in the text itself, a line end at a match, an empty group, pieces beyond FEW_PIECES.
+    text = "a\u0001=1\nb=\u0002\n\u2028c=3" + "\nd=4" * 200
+    spans = T.match_spans(F.col("text"), "([a-z])=(\\d?)\n?", 2, "\n\u2028")
+    df = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(spans.alias("m"))
+    assert "translate" not in plan_of(df)
+    rows = [r.m for r in df.collect()]
+    clean = text.translate({1: None, 2: None})
+    wanted = [([m.group(), m.group(1), m.group(2)], 1 + len(re.findall("[\n\u2028]", clean[:m.start()])), m.start())
+              for m in re.finditer("([a-z])=(\\d?)\n?", clean)]
+    assert [(x.f, x.line, x.at) for x in rows[0]] == wanted and len(wanted) == 203
+    assert rows[1] is None and rows[2] == []
