@@ -110,15 +110,19 @@ def _majority_of_lanes(n: Column, sums: Column) -> Column:
     return _or(found)
 
 
-def quarter_keys(words: Column) -> list[Column]:
-    """Hashes of the words of a line without one of its quarters, or of two quarters; null where there is no such key.
+def quarters(words: Column) -> list[Column]:
+    """Hashes of the four quarters of the words of a line; null where a quarter has no word."""
+    n = F.size(words)
+    cuts = [F.floor(n * F.lit(j) / F.lit(4)).cast("int") for j in range(5)]
+    return [F.when(cuts[j + 1] > cuts[j], F.xxhash64(F.slice(words, cuts[j] + 1, cuts[j + 1] - cuts[j]))) for j in range(4)]
+
+
+def quarter_keys(n: Column, quarter: list[Column]) -> list[Column]:
+    """Hashes of the words of a line of ``n`` words without one of its quarters, or of two quarters; null where there is no such key.
 
     In lines of at most four words a quarter is a word or nothing, and the hash of all words is a key as well, so a
     word more or less is found too.
     """
-    n = F.size(words)
-    cuts = [F.floor(n * F.lit(j) / F.lit(4)).cast("int") for j in range(5)]
-    quarter = [F.when(cuts[j + 1] > cuts[j], F.xxhash64(F.slice(words, cuts[j] + 1, cuts[j + 1] - cuts[j]))) for j in range(4)]
     without = [F.when((n > 1) & (n < PAIRED) & quarter[j].isNotNull(), F.xxhash64(*[q for i, q in enumerate(quarter) if i != j])) for j in range(4)]
     short = [*without, F.when(n < 5, F.xxhash64(*quarter)), F.lit(None).cast("long")]
     pairs = [F.xxhash64(F.lit(i), F.lit(j), quarter[i], quarter[j]) for i in range(4) for j in range(i)]
@@ -132,11 +136,13 @@ def fingerprinted(lines: DataFrame) -> DataFrame:
     is multiplied or shuffled. Up to ``SEGMENT`` of them are counted in eight sums of packed lanes; a line of more has
     several such segments, summed lane by lane.
     """
-    words = F.split("norm", " ")
-    pairs = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
-    of_line = ["doc_id", ROW, "line_no", "h", "chars", *QUARTER_KEYS]
-    hashed = lines.select("doc_id", ROW, "line_no", F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"), *quarter_keys(words),
-                          F.transform(pairs, lambda p: F.xxhash64(p["a"], p["b"])).alias("pairs"))
+    line, of_line = ["doc_id", ROW, "line_no", "h", "chars"], ["doc_id", ROW, "line_no", "h", "chars", *QUARTER_KEYS]
+    # Words and quarters are columns of their own: written into the keys, a line would be split again in every use.
+    split = lines.select("doc_id", ROW, "line_no", F.xxhash64("norm").alias("h"), F.length("norm").alias("chars"), F.split("norm", " ").alias("words"))
+    cut = split.select(*line, "words", *[q.alias(f"q{j}") for j, q in enumerate(quarters(F.col("words")))])
+    following = F.slice("words", 2, F.greatest(F.size("words"), F.lit(1)))
+    hashed = cut.select(*line, *quarter_keys(F.size("words"), [F.col(f"q{j}") for j in range(4)]),
+                        F.zip_with("words", following, lambda a, b: F.xxhash64(a, b)).alias("pairs"))
 
     def lane_sum(segment: Column, k: int) -> Column:
         return F.aggregate(segment, F.lit(0).cast("long"), lambda s, x: s + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES)))
@@ -182,14 +188,13 @@ def chain_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
 def quarter_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Each class with the smallest one that has a key of quarters in common: at most six pairs a class."""
-    keyed = saved(classes.select("h", "chars", F.explode(F.array_distinct(F.array_compact(F.array(*QUARTER_KEYS)))).alias("key")), "keyed")
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("h", "chars")).alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shorter, longer = F.least("chars", "hub.chars"), F.greatest("chars", "hub.chars")
+    keyed = classes.select("h", "chars", F.explode(F.array(*QUARTER_KEYS)).alias("key")).filter(F.col("key").isNotNull())
+    # Numbers only, so the keys are combined by hash and not by sorting.
+    hubs = keyed.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("last"), F.min_by("chars", "h").alias("hub_chars")).filter("hub <> last")
+    shorter, longer = F.least("chars", "hub_chars"), F.greatest("chars", "hub_chars")
     lengths = (shorter >= F.lit(similarity - 1e-9) * longer) | (longer > LONG_CHARS)
-    found = saved(keyed.join(hubs, "key").filter(lengths & (F.col("h") != F.col("hub.h")))
-                  .select(F.least("h", "hub.h").alias("a"), F.greatest("h", "hub.h").alias("b")).distinct(), "quarters")
-    discard(keyed)
-    return found
+    return saved(keyed.join(hubs.drop("last"), "key").filter(lengths & (F.col("h") != F.col("hub")))
+                 .select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct(), "quarters")
 
 
 def block_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

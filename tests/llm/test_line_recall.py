@@ -94,3 +94,12 @@ def test_key_tables_are_removed(spark, tmp_path):
         line_dedup.saved = before
     left = [t._saved_at.rsplit("/", 1)[1].split("-")[0] for t in made if os.path.exists(t._saved_at.removeprefix("file:"))]
     assert not {"parts", "keyed", "quarters", "pairs", "named"} & set(left) and {"lines", "classes"} <= set(left)
+
+
+def test_a_line_is_split_once(spark, tmp_path):
+    """Six keys of quarters and the pairs of words all read one list of words."""
+    spark.createDataFrame([(0, "one two three four five")], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    found = line_dedup.fingerprinted(line_dedup.lines_of(spark.read.parquet(f"{tmp_path}/d")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Once into lines, once into words, once the path of the input file.
+    assert plan.count("split(") <= 3
