@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.template import match_spans, without
 from lodestrata.operators.joins import nearest_scope
-from lodestrata.operators.lexical import LINE_ENDS, nested, plain, shielded
+from lodestrata.operators.lexical import LINE_ENDS, matched, nested, plain, read
+from lodestrata.session import written
 
 
 def _nested(opening: str, closing: str, depth: int = 24) -> str:
@@ -71,6 +72,24 @@ INSTANCE_FIELDS = ("_instance", "instance", "_singleton")
 INSTANCE_GETTERS = ("get_instance", "getInstance", "instance")
 
 
+# Patterns over shielded text by name: language family, pattern, groups.
+CODE = {
+    "py_class": ("python", PY_CLASS, ["decor", "indent", "name", "base_list"]),
+    "py_def": ("python", PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"]),
+    "py_field": ("python", PY_FIELD, ["words", "name", "type", "default"]),
+    "py_constant": ("python", PY_CONSTANT, ["name", "type", "value"]),
+    "js_class": ("script", JS_CLASS, ["name", "base"]),
+    "js_function": ("script", JS_FUNCTION, ["async", "name", "params_text"]),
+    "js_arrow": ("script", JS_ARROW, ["name", "async", "params_text"]),
+    "js_method": ("script", JS_METHOD, ["words", "name", "params_text"]),
+    "js_field": ("script", JS_FIELD, ["words", "name", "type", "default"]),
+    "js_constant": ("script", JS_CONSTANT, ["name", "type", "value"]),
+}
+CLASS_CODE = ("py_class", "js_class")
+FUNCTION_CODE = ("py_def", "js_function", "js_arrow")
+MEMBER_CODE = ("py_def", "py_field", "js_method", "js_field")
+
+
 def matches(pattern: str, groups: list[str], content: str = "content") -> Column:
     """All matches of a pattern in the row's text: ARRAY<STRUCT<line,start,raw,groups...>>; empty groups are null."""
     return F.transform(match_spans(F.col(content), pattern, len(groups), LINE_ENDS), lambda m: F.struct(
@@ -98,6 +117,28 @@ def _extract(files: DataFrame, python: list[Column], script: list[Column]) -> Da
     return files.select("path", "language", F.inline(rows))
 
 
+def _in_code(files: DataFrame, python: list[tuple], script: list[tuple]) -> DataFrame:
+    """The same from the shielded text: (name in ``CODE``, shape) or (name, shape, where) of each pattern.
+
+    The pass that shields the text finds the matches, so the text stays there.
+    """
+    def shaped(name: str, shape, where=None) -> Column:
+        return F.transform(F.filter(name, where) if where is not None else F.col(name), shape)
+
+    rows = F.when(F.col("language") == "python", F.concat(*[shaped(*p) for p in python])).when(
+        F.col("language").isin("javascript", "typescript"), F.concat(*[shaped(*p) for p in script]))
+    return matched(files, {p[0]: CODE[p[0]] for p in (*python, *script)}).select("path", "language", F.inline(rows))
+
+
+def read_once(files: DataFrame, *names: str, with_guards: bool = False) -> DataFrame:
+    """The files as the lexical pass leaves them: scopes, the matches of the named patterns of ``CODE``, and guards if asked for.
+
+    For reports that need several of :func:`classes`, :func:`functions`, :func:`members`, :func:`guards` and the outline: given this instead
+    of the files, they read the columns, and no text is gone through again. The table is written once to the shared folder.
+    """
+    return written(read(files, {n: CODE[n] for n in names}, with_scopes=True, with_guards=with_guards), "code")
+
+
 def _none_array() -> Column:
     return F.array().cast("array<string>")
 
@@ -187,8 +228,7 @@ def classes(files: DataFrame) -> DataFrame:
         return F.struct(m["name"].alias("name"), m["line"].alias("line"), F.array_compact(F.array(m["base"])).alias("bases"),
                         _none_array().alias("decorators"))
 
-    found = _extract(shielded(files), [_each(PY_CLASS, ["decor", "indent", "name", "base_list"], py)],
-                     [_each(JS_CLASS, ["name", "base"], js)])
+    found = _in_code(files, [("py_class", py)], [("js_class", js)])
     return found.withColumn("bases", F.transform("bases", plain))
 
 
@@ -210,8 +250,7 @@ def functions(files: DataFrame, plain_params: bool = True) -> DataFrame:
     def js(m):
         return row(m, m["line"], _no_text(), _none_array(), F.lit(0))
 
-    found = _extract(shielded(files), [_each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py)],
-                     [_each(JS_FUNCTION, ["async", "name", "params_text"], js), _each(JS_ARROW, ["name", "async", "params_text"], js)])
+    found = _in_code(files, [("py_def", py)], [("js_function", js), ("js_arrow", js)])
     return found.withColumns({c: plain(c) for c in (["params_text"] if plain_params else []) + ["return_type"]})
 
 
@@ -243,14 +282,13 @@ def members(files: DataFrame, scopes: DataFrame) -> DataFrame:
     def is_field(m):
         return ~m["name"].isin("async", "static", "get", "set", "return", "pass", "break", "continue")
 
-    rows = _extract(
-        shielded(files),
-        [_each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py_method, lambda m: m["indent"].isNotNull()),
-         _each(PY_FIELD, ["words", "name", "type", "default"], field(lambda m: m["type"].isNull()),
-               lambda m: is_field(m) & (m["type"].isNotNull() | m["default"].isNotNull()))],
-        [_each(JS_METHOD, ["words", "name", "params_text"], js_method, lambda m: ~m["name"].isin(*NOT_METHODS)),
-         _each(JS_FIELD, ["words", "name", "type", "default"],
-               field(lambda m: F.coalesce(m["words"], F.lit("")).contains("static")), is_field)])
+    rows = _in_code(
+        files,
+        [("py_def", py_method, lambda m: m["indent"].isNotNull()),
+         ("py_field", field(lambda m: m["type"].isNull()),
+          lambda m: is_field(m) & (m["type"].isNotNull() | m["default"].isNotNull()))],
+        [("js_method", js_method, lambda m: ~m["name"].isin(*NOT_METHODS)),
+         ("js_field", field(lambda m: F.coalesce(m["words"], F.lit("")).contains("static")), is_field)])
     # The scope around a method header is the method itself, so look one scope further out.
     outer = scopes.filter(F.col("node_type").isin("class", "function", "method", "async function", "async method",
                                                   "arrow fn", "constructor"))
@@ -304,15 +342,11 @@ def definitions(files: DataFrame) -> DataFrame:
     def plain_row(kind):
         return lambda m: row(kind, m, m["line"], F.lit(0))
 
-    found = _extract(
-        shielded(files),
-        [_each(PY_CLASS, ["decor", "indent", "name", "base_list"], py_class),
-         _each(PY_DEF, ["decor", "indent", "async", "name", "params_text", "return_type"], py_def),
-         _each(PY_CONSTANT, ["name", "type", "value"], plain_row("constants"), _is_constant)],
-        [_each(JS_CLASS, ["name", "base"], lambda m: row("classes", m, m["line"], F.lit(0), F.array_compact(F.array(m["base"])))),
-         _each(JS_FUNCTION, ["async", "name", "params_text"], plain_row("functions")),
-         _each(JS_ARROW, ["name", "async", "params_text"], plain_row("functions")),
-         _each(JS_CONSTANT, ["name", "type", "value"], plain_row("constants"))])
+    found = _in_code(
+        files,
+        [("py_class", py_class), ("py_def", py_def), ("py_constant", plain_row("constants"), _is_constant)],
+        [("js_class", lambda m: row("classes", m, m["line"], F.lit(0), F.array_compact(F.array(m["base"])))),
+         ("js_function", plain_row("functions")), ("js_arrow", plain_row("functions")), ("js_constant", plain_row("constants"))])
     bases = F.transform("bases", plain)
     error = (F.col("kind") == "classes") & _is_error("language", "name", bases)
     return found.withColumns({"kind": F.when(error, "exceptions").otherwise(F.col("kind")), "bases": bases})
@@ -348,7 +382,7 @@ def guards(files: DataFrame) -> DataFrame:
     In Python an ``if`` (``elif``) with a raise anywhere in its statement, in scripts one with a throw
     directly in its branch. Of several raises the last one with a text counts.
     """
-    return nested(files).select("path", "language", F.inline("guards"))
+    return nested(files, "guards").select("path", "language", F.inline("guards"))
 
 
 # A parameter: no comma outside of brackets.
@@ -420,10 +454,10 @@ def class_patterns(class_rows: DataFrame, member_rows: DataFrame) -> DataFrame:
 
 
 def data_models(class_rows: DataFrame, member_rows: DataFrame) -> DataFrame:
-    """Classes that hold data, with their number of typed fields."""
+    """Classes that hold data, with their number of typed fields. Both sides come from texts and are never broadcast by a size estimate."""
     typed = (member_rows.filter((F.col("kind") == "field") & F.col("type").isNotNull())
              .groupBy(F.col("path").alias("_path"), F.col("owner").alias("_owner")).agg(F.count(F.lit(1)).alias("fields")))
-    joined = class_rows.join(typed, (F.col("path") == F.col("_path")) & (F.col("name") == F.col("_owner")), "left")
+    joined = class_rows.join(typed.hint("merge"), (F.col("path") == F.col("_path")) & (F.col("name") == F.col("_owner")), "left")
     n = F.coalesce("fields", F.lit(0))
     ends = reduce(lambda a, b: a | b, [F.col("name").endswith(s) for s in ENTITY_SUFFIXES])
     is_dataclass = F.array_contains("decorators", "dataclass")

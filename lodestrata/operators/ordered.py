@@ -84,6 +84,6 @@ def outline(files: DataFrame) -> DataFrame:
     run over several lines; what stands in strings and comments is no code. A Python scope ends with its last
     code line, a script's with its closing brace.
     """
-    rows = lexical.nested(files).select("path", "language", F.inline("scopes"))
+    rows = lexical.nested(files, "scopes").select("path", "language", F.inline("scopes"))
     return rows.select("path", "language", "node_type", "name", "start_line", "end_line",
                        (F.col("end_line") - F.col("start_line") + 1).alias("line_count"), "depth", "parent_type", "preview", "indent")

@@ -193,8 +193,8 @@ def e11(spark, sf):
 
 @query("e12_data_models", """SELECT path, name, line, CAST(1 AS BIGINT) AS fields, language = 'python' AS is_dataclass, language = 'python' AS is_abstract FROM <<x_classes>> WHERE name LIKE 'Item%' OR name LIKE 'View%'""")
 def e12(spark, sf):
-    f = files(spark, sf)
-    return E.data_models(E.classes(f), E.members(f, scopes(spark, sf)))
+    f = E.read_once(files(spark, sf), *E.CLASS_CODE, *E.MEMBER_CODE)
+    return E.data_models(E.classes(f), E.members(f, W.outline(f)))
 
 
 @query("e13_routes", "SELECT path, name, line FROM <<x_functions>> WHERE name = 'get_instance'")
