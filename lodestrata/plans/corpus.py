@@ -13,7 +13,7 @@ from lodestrata.operators import ordered as W
 from lodestrata.operators import paths as PA
 from lodestrata.operators.registry import Extractors
 from lodestrata.plans.base import VIEWS, query, view
-from lodestrata.session import stable
+from lodestrata.session import written
 
 
 def files(spark, sf):
@@ -441,11 +441,10 @@ def a11_counts(spark, sf):
 (SELECT string_agg(name, ', ' ORDER BY path) FROM (SELECT path, name FROM <<x_classes>> WHERE name LIKE '%Error' ORDER BY path, name LIMIT 2)) AS exception_names,
 true AS json_serialization, true AS file_persistence, true AS has_guards""")
 def a13(spark, sf):
-    f = files(spark, sf)
-    # Scopes and members feed several facts: computed once, kept in the shared folder.
-    s = stable(W.outline(f))
-    m = stable(E.members(f, s))
-    models = E.data_models(E.classes(f), m).withColumn("ord", F.col("path"))
+    # The texts, the members and the models feed several facts: gone through once, kept in the shared folder.
+    f = E.read_once(files(spark, sf), *dict.fromkeys((*E.CLASS_CODE, *E.FUNCTION_CODE, *E.MEMBER_CODE)), with_guards=True)
+    m = written(E.members(f, W.outline(f)), "members")
+    models = written(E.data_models(E.classes(f), m), "models").withColumn("ord", F.col("path"))
     return A.capabilities(models, methods(f, m), E.guards(f), E.error_classes(f).withColumn("ord", F.col("path")))
 
 

@@ -1,6 +1,7 @@
 """Code matches are found in the lexical pass, once for several operators, and members stay where the join dealt them."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,13 @@ def test_data_models_go_through_the_texts_once(spark, tmp_path):
     assert "MapInArrow" not in plan_of(out)
     rows = out.collect()
     assert len(rows) == 70 and {r.fields for r in rows} == {1} and sum(r.is_dataclass for r in rows) == 40
+
+
+def test_capabilities_go_through_the_texts_once(spark, tmp_path):
+    out = corpus.a13(spark, tables(spark, tmp_path))
+    assert "MapInArrow" not in plan_of(out)
+    row = out.collect()[0].asDict()
+    assert row == {"models": 70, "has_dataclass": True, "has_abstract": True, "model_names": row["model_names"], "public_methods": 40 * 3 + 30 * 4,
+                   "rules": 40 * 2 + 30, "exceptions": 70, "exception_names": row["exception_names"], "json_serialization": True,
+                   "file_persistence": True, "has_guards": True}
+    assert re.fullmatch(r"View\d+, View\d+, View\d+", row["model_names"]) and re.fullmatch(r"My\d+Error, My\d+Error", row["exception_names"])
