@@ -300,10 +300,10 @@ def members(files: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def nearest_scope_above(points: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Innermost of the given scopes that holds a point and starts on an earlier line."""
+    """Innermost of the given scopes that holds a point and starts on an earlier line, for points in any."""
     later = scopes.withColumns({"start_line": F.col("start_line") + 1,
                                 "node_type": F.when(F.col("node_type") == "class", "class").otherwise("function")})
-    return nearest_scope(points, later.filter(F.col("start_line") <= F.col("end_line")))
+    return nearest_scope(points, later.filter(F.col("start_line") <= F.col("end_line")), how="inner")
 
 
 def _is_constant(m) -> Column:

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lodestrata.operators import extract as E
+from lodestrata.operators import joins as J
 from lodestrata.operators import lexical as L
 from lodestrata.operators import ordered as W
 from lodestrata.plans import corpus
@@ -88,3 +89,17 @@ def test_capabilities_go_through_the_texts_once(spark, tmp_path):
                    "rules": 40 * 2 + 30, "exceptions": 70, "exception_names": row["exception_names"], "json_serialization": True,
                    "file_persistence": True, "has_guards": True}
     assert re.fullmatch(r"View\d+, View\d+, View\d+", row["model_names"]) and re.fullmatch(r"My\d+Error, My\d+Error", row["exception_names"])
+
+
+def test_members_and_nearest_scopes_are_shuffled_once(spark):
+    files = spark.createDataFrame(FILES, SCHEMA).repartition(3)
+    scopes = W.outline(files)
+    points = spark.createDataFrame([("a.py", 9), ("a.py", 9), ("b.js", 5), ("b.js", 1), ("x", 1), (None, 1)], "path string, line int")
+    # Points and scopes are dealt to the join, and its pairs stay there.
+    for df in (E.members(files, scopes), J.nearest_scope(points, scopes)):
+        assert len(re.findall(r"Exchange hashpartitioning\(", plan_of(df).split("== Initial Plan ==")[0])) == 2
+    assert sorted((str(r.path), r.line, r.scope_name) for r in J.nearest_scope(points, scopes).collect()) == [
+        ("None", 1, None), ("a.py", 9, "load"), ("b.js", 1, "View"), ("b.js", 5, "load"), ("x", 1, None)]
+    assert sorted((r.path, r.owner, r.name, r.line) for r in E.members(files, scopes).filter("path <> 'c.ts'").collect()) == [
+        ("a.py", "Item", "_x", 5), ("a.py", "Item", "load", 8), ("a.py", "Item", "size", 4),
+        ("b.js", "View", "instance", 2), ("b.js", "View", "load", 4), ("b.js", "View", "n", 3)]
